@@ -49,7 +49,7 @@ def casefold(text: Column) -> Column:
     special = "".join(table)
 
     def fold(low: Column) -> Column:
-        pairs = F.create_map(*[F.lit(part) for item in table.items() for part in item])
+        pairs = F.expr("map(" + ",".join(f"'{part}'" for item in table.items() for part in item) + ")")
         folded = F.array_join(F.transform(F.split(low, ""), lambda c: F.coalesce(pairs[c], c)), "")
         ascii_only = F.octet_length(low) == F.length(low)
         return F.when(ascii_only | (F.translate(low, special, "") == low), low).otherwise(folded)

@@ -66,44 +66,56 @@ def marked_parts(text: Column, pattern: str) -> Column:
     return F.split(F.regexp_replace(safe, f"(?:{pattern})", f"{_MARK}$0{_MARK}"), _MARK)
 
 
-def _spans(text: Column, kind: str, pattern: str) -> Column:
-    """Spans of one pattern: walk the parts, adding up lengths, keeping the odd ones."""
-    start = F.struct(F.lit(0).alias("pos"), F.lit(False).alias("hit"), F.expr(f"cast(array() as array<{_SPAN}>)").alias("out"))
+def _candidates(text: Column) -> Column:
+    """Per pattern its kind and the marked parts of the text; no parts where it cannot match."""
+    nothing = F.expr("cast(array() as array<string>)")
+
+    def build(x: Column) -> Column:
+        t, digits = x["t"], x["digits"]
+        groups = []
+        for kind, need, pattern in PATTERNS:
+            # Cheap tests first: parts are built only where the pattern occurs.
+            found = t.rlike(pattern)
+            if need is not None:
+                found = t.contains(need) & found
+            if kind not in DIGITLESS_KINDS:
+                found = digits & found
+            parts = F.when(found, marked_parts(t, pattern)).otherwise(nothing)
+            groups.append(F.struct(F.lit(kind).alias("kind"), parts.alias("parts")))
+        return F.array(*groups)
+
+    return let(F.struct(text.alias("t"), text.rlike(_D).alias("digits")), build)
+
+
+def _spans(candidate: Column) -> Column:
+    """Spans of one pattern: walk the parts, adding up lengths, keeping every second one."""
+    start = F.expr(f"struct(0 as pos, false as hit, cast(array() as array<{_SPAN}>) as out)")
 
     def step(acc: Column, part: Column) -> Column:
-        end = acc["pos"] + F.length(part)
-        span = F.struct(acc["pos"].alias("start"), end.alias("end"), F.lit(kind).alias("kind"))
-        return F.struct(
-            end.alias("pos"),
-            (~acc["hit"]).alias("hit"),
-            F.when(acc["hit"], F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"),
-        )
+        def build(end: Column) -> Column:
+            span = F.struct(acc["pos"].alias("start"), end.alias("end"), candidate["kind"].alias("kind"))
+            return F.struct(
+                end.alias("pos"),
+                (~acc["hit"]).alias("hit"),
+                F.when(acc["hit"], F.array_append(acc["out"], span)).otherwise(acc["out"]).alias("out"),
+            )
+
+        return build(acc["pos"] + F.length(part))
 
-    return F.aggregate(marked_parts(text, pattern), start, step, lambda acc: acc["out"])
+    return F.aggregate(candidate["parts"], start, step, lambda acc: acc["out"])
 
 
 def token_spans(text: Column) -> Column:
     """Kept spans ``array<struct<start,end,kind>>`` in text order; offsets are 0-based code points."""
     none = F.expr(f"cast(array() as array<{_SPAN}>)")
 
-    def candidates(t: Column, patterns) -> Column:
-        groups = []
-        for kind, need, pattern in patterns:
-            # A cheap test first: the fold runs only where the pattern occurs.
-            found = t.rlike(pattern) if need is None else t.contains(need) & t.rlike(pattern)
-            groups.append(F.when(found, _spans(t, kind, pattern)).otherwise(none))
-        return F.array(*groups)
-
-    def keep(acc: Column, spans: Column) -> Column:
+    def keep(acc: Column, candidate: Column) -> Column:
         def free(s: Column) -> Column:
             return ~F.exists(acc, lambda k: (s["start"] < k["end"]) & (s["end"] > k["start"]))
 
-        return F.concat(acc, F.filter(spans, free))
+        return F.when(F.size(candidate["parts"]) == 0, acc).otherwise(F.concat(acc, F.filter(_spans(candidate), free)))
 
-    t = F.coalesce(text, F.lit(""))
-    without_digits = [p for p in PATTERNS if p[0] in DIGITLESS_KINDS]
-    spans = F.when(t.rlike(_D), candidates(t, PATTERNS)).otherwise(candidates(t, without_digits))
-    return F.sort_array(F.aggregate(spans, none, keep))
+    return F.sort_array(F.aggregate(_candidates(F.coalesce(text, F.lit(""))), none, keep))
 
 
 def normalize_token(kind: Column, value: Column) -> Column:

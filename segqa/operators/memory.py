@@ -13,7 +13,7 @@ from segqa.functions.locale import with_note
 from segqa.functions.rules import TRANSLATION_TYPE, USAGE_TYPE, relocale, translation
 from segqa.functions.text import let, normalize_ws
 from segqa.operators.translation import Translator
-from segqa.plans.scale import skew_join
+from segqa.plans.scale import materialize, skew_join
 
 CACHE_SCHEMA_VERSION = "1"
 CACHE_COLUMNS = (
@@ -116,7 +116,8 @@ def route_reuse(
         .join(have, keys, "left")
     )
     translated = F.col("existing").isNotNull()
-    groups = base.groupBy("job_id", "group_key").agg(
+    # Several branches read the groups, so they are computed once.
+    groups = materialize(base.groupBy("job_id", "group_key").agg(
         F.count(F.lit(1)).alias("n"),
         F.any_value("norm").alias("norm"),
         F.min_by(
@@ -125,7 +126,7 @@ def route_reuse(
         ).alias("memory"),
         F.min_by("segment_id", F.when(~translated, F.col("order_index"))).alias("first_id"),
         F.min(F.when(~translated, F.col("order_index"))).alias("first_at"),
-    )
+    ))
     open_groups = groups.where(F.col("memory").isNull() & F.col("first_at").isNotNull())
     cached = cache_hits(open_groups.select("job_id", "group_key", "norm"), cache, scope)
     plans = groups.select("job_id", "group_key", "memory", "first_id", "first_at").join(
@@ -187,14 +188,18 @@ def translate_distinct(routed: DataFrame, translator: Translator, target_languag
         F.count(F.lit(1)).alias("n"),
         F.min_by(F.struct("job_id", "segment_id", "source_text"), F.struct("job_id", "order_index")).alias("r"),
     )
-    representatives = texts.select("text_key", "r.*")
-    done = translator.translate(representatives).select(
+    representatives = texts.select("text_key", "n", "r.*")
+    # Written down before anything reads it, so that no text is sent out twice.
+    done = materialize(translator.translate(representatives).select(
         "text_key",
+        "n",
         F.col("job_id").alias("rep_job"),
         F.col("segment_id").alias("rep_segment"),
         let(F.col("translation"), lambda t: relocale(t, target_language)).alias("made"),
+    ))
+    rows = skew_join(
+        todo, done.drop("n"), ["text_key"], "inner", spread_by=["job_id", "segment_id"], counts=done.select("text_key", "n")
     )
-    rows = skew_join(todo, done, ["text_key"], "inner", spread_by=["job_id", "segment_id"], counts=texts.select("text_key", "n"))
     made = F.col("made")
     own_job = F.col("rep_job") == F.col("job_id")
     abroad = copy_translation(
@@ -215,7 +220,9 @@ def translate_corpus(
     segments: DataFrame, translations: DataFrame, cache: DataFrame, translator: Translator, config: JobConfig
 ) -> DataFrame:
     """Every segment with its route and translation."""
-    routed = route_reuse(segments, translations, cache, scope_hash(cache_scope(config)), config.target_language)
+    routed = materialize(
+        route_reuse(segments, translations, cache, scope_hash(cache_scope(config)), config.target_language)
+    )
     reused = routed.where(~F.col("route").isin("miss", "duplicate"))
     return reused.unionByName(translate_distinct(routed, translator, config.target_language))
 

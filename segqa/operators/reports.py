@@ -208,6 +208,7 @@ def missing_segments(texts: DataFrame, translations: DataFrame) -> DataFrame:
         expected,
         output.select("job_id", (F.length("out") > DIRECT_TEXT).alias("long"), F.when(F.length("out") <= DIRECT_TEXT, F.col("out")).alias("out")),
         ["job_id"], "inner", spread_by=["segment_id"],
+        counts=translations.groupBy("job_id").agg(F.count(F.lit(1)).alias("n")),
     )
     near = located.where(~F.col("long") & ~F.contains(F.col("out"), F.col("prefix"))).select(*KEYS)
     far = located.where("long").select(*KEYS, "prefix")

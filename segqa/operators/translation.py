@@ -23,6 +23,7 @@ from segqa.functions.rules import (
     translation,
     verdict,
 )
+from segqa.functions.text import let
 from segqa.sources.glossary import Term
 
 Batch = Callable[[pd.DataFrame], pd.DataFrame]
@@ -136,7 +137,9 @@ def revise(
     with_proposal = rows.where(F.col("proposal").isNotNull()).withColumn(
         "translation", relocale(proposed, target_language)
     )
-    again = translator.translate(rows.where(F.col("proposal").isNull()))
+    again = translator.translate(rows.where(F.col("proposal").isNull())).withColumn(
+        "translation", let(F.col("translation"), lambda t: relocale(t, target_language))
+    )
     both = with_proposal.unionByName(again)
     return both.withColumn("attempts", F.coalesce("attempts", F.lit(0)) + 1).drop("current", "proposal")
 

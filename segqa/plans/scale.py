@@ -7,6 +7,7 @@ join without ever putting such a group into one task.
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,10 +16,9 @@ from pyspark.sql import Window as W
 
 # Rows of one group handled by one window partition.
 CHUNK = 8192
-# A join key is hot when it holds more than 1/HOT_SHARE of all rows (so there are
-# fewer than HOT_SHARE hot keys) and more than HOT_FLOOR rows.
-HOT_SHARE = 1000
+# A join key is hot from this many rows on; the HOT_KEYS largest ones are salted.
 HOT_FLOOR = 200_000
+HOT_KEYS = 1000
 SALTS = 64
 
 
@@ -27,6 +27,18 @@ def row_count_within(df: DataFrame, limit: int) -> bool:
     return df.limit(limit + 1).count() <= limit
 
 
+def hot_keys(counts: DataFrame, on: Sequence[str]) -> DataFrame | None:
+    """Keys of ``counts(on..., n)`` with more than ``HOT_FLOOR`` rows, largest first.
+
+    At most ``HOT_KEYS`` of them: any further key holds less than 1/HOT_KEYS of all rows.
+    This short list is the only thing that passes through the driver.
+    """
+    on = list(on)
+    top = counts.where(F.col("n") > HOT_FLOOR).orderBy(F.desc("n")).limit(HOT_KEYS).select(*on)
+    rows = top.collect()
+    return counts.sparkSession.createDataFrame(rows, top.schema) if rows else None
+
+
 def skew_join(
     big: DataFrame,
     small: DataFrame,
@@ -38,25 +50,21 @@ def skew_join(
 ) -> DataFrame:
     """Join rows to a table that has one row per key, salting the hot keys of ``big``.
 
-    Hot keys come from a count on the key columns (``counts``: keys plus ``n``, when
-    the caller has it already). Fewer than ``HOT_SHARE`` keys can be hot, so that list
-    is safe to broadcast; their rows are spread over ``SALTS`` join keys and the one
-    matching row of ``small`` is repeated that often.
+    Hot keys come from a count on the key columns (``counts``: keys plus ``n``, when the
+    caller has it already). Their rows are spread over ``SALTS`` join keys, and the one
+    matching row of ``small`` is repeated that often. Without hot keys it is a plain join.
     """
     on = list(on)
     if counts is None:
         counts = big.groupBy(*on).agg(F.count(F.lit(1)).alias("n"))
-    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("t"))
-    hot = counts.where(
-        (F.col("n") > HOT_FLOOR) & (F.col("n") > total.scalar() / HOT_SHARE)
-    ).select(*on, F.lit(True).alias("__hot"))
-    hot = F.broadcast(hot)
-    salted_big = big.join(hot, on, "left").withColumn(
-        "__salt",
-        F.when(F.col("__hot"), F.pmod(F.xxhash64(*spread_by), F.lit(SALTS)).cast("int")).otherwise(F.lit(0)),
-    ).drop("__hot")
-    salts = F.when(F.col("__hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
-    salted_small = small.join(hot, on, "left").withColumn("__salt", F.explode(salts)).drop("__hot")
+    hot = hot_keys(counts, on)
+    if hot is None:
+        return big.join(small, on, how)
+    hot = F.broadcast(hot.withColumn("__hot", F.lit(True)))
+    spread = F.when(F.col("__hot"), F.pmod(F.xxhash64(*spread_by), F.lit(SALTS)).cast("int")).otherwise(F.lit(0))
+    copies = F.when(F.col("__hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    salted_big = big.join(hot, on, "left").withColumn("__salt", spread).drop("__hot")
+    salted_small = small.join(hot, on, "left").withColumn("__salt", F.explode(copies)).drop("__hot")
     return salted_big.join(salted_small, [*on, "__salt"], how).drop("__salt")
 
 
@@ -127,16 +135,20 @@ def with_neighbours(
 def shared_dir(spark: SparkSession) -> str:
     """The folder the cluster names for checkpoints; a temporary one only where none is named."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if named:
-        return named.rstrip("/")
-    path = tempfile.mkdtemp(prefix="segqa-")
-    spark.sparkContext.setCheckpointDir(path)
-    return path
+    if not named:
+        # Only a session without a cluster folder gets here, as in tests.
+        named = tempfile.mkdtemp(prefix="segqa-")
+        spark.sparkContext.setCheckpointDir(named)
+    return named.rstrip("/")
+
 
+def materialize(df: DataFrame) -> DataFrame:
+    """Write ``df`` as a table in the shared folder and read it back.
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint of ``df`` in the shared folder."""
+    Cuts the lineage of results that several branches use, survives lost executors, and
+    gives the planner real sizes and column pruning for what follows.
+    """
     spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(shared_dir(spark))
-    return df.checkpoint()
+    path = f"{shared_dir(spark)}/segqa-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -16,7 +16,7 @@ from segqa.operators.review import explode_findings, resolve, review
 from segqa.operators.segments import protect
 from segqa.operators.translation import Reviewer, Translator, revise
 from segqa.operators.validation import validate_pairs
-from segqa.plans.scale import cut_lineage, skew_join
+from segqa.plans.scale import materialize, skew_join
 from segqa.sources.glossary import Term
 
 KEYS = ["job_id", "segment_id"]
@@ -38,11 +38,10 @@ def _pairs(work: DataFrame) -> DataFrame:
 
 
 def _judge(work: DataFrame, terms: Sequence[Term], config: JobConfig) -> tuple[DataFrame, DataFrame, DataFrame]:
-    issues = validate_pairs(_pairs(work), terms, config.target_language)
+    issues = materialize(validate_pairs(_pairs(work), terms, config.target_language))
     findings = explode_findings(work)
     attempts = work.where(F.col("attempts") > 0).select(*KEYS, F.col("attempts").alias("n"))
-    routes = resolve(work, issues, findings, attempts, config)
-    return issues, findings, routes
+    return issues, findings, materialize(resolve(work, issues, findings, attempts, config))
 
 
 def review_loop(
@@ -52,43 +51,38 @@ def review_loop(
     """Validate, resolve and revise for at most ``max_revision_attempts + 1`` cycles.
 
     ``work`` comes reviewed. A job goes into the next cycle only if one of its segments
-    was revised; there all its segments are reviewed again. Each cycle is checkpointed.
+    was revised; there all its segments are reviewed again. The tables of a cycle are
+    written down, so the plan does not grow with the cycles.
     """
     cycles = config.max_revision_attempts + 1
     for cycle in range(1, cycles + 1):
-        work = cut_lineage(work)
-        _, findings, routes = _judge(work, terms, config)
+        work = materialize(work)
+        issues, findings, routes = _judge(work, terms, config)
+        unresolved = routes.where("unresolved").select(*KEYS)
         to_revise = routes.where("revise").select(*KEYS)
         if to_revise.isEmpty():
             break
         flagged = work.join(to_revise, KEYS, "left_semi").select(*KEYS, "source_text", "translation", "attempts")
-        revised = revise(flagged, findings, translator, config.target_language).select(
+        revised = materialize(revise(flagged, findings, translator, config.target_language).select(
             *KEYS, F.col("translation").alias("__t"), F.col("attempts").alias("__a")
-        )
+        ))
         merged = work.join(revised, KEYS, "left").withColumns({
             "translation": F.coalesce("__t", "translation"), "attempts": F.coalesce("__a", "attempts")
         }).drop("__t", "__a")
-        # Unresolved segments of this cycle, should no further cycle run for the job.
-        marks = routes.select(*KEYS, "unresolved")
-        merged = merged.drop("unresolved").join(marks, KEYS, "left").withColumn(
-            "unresolved", F.coalesce("unresolved", F.lit(False))
-        )
         if cycle == cycles:
-            return _final(cut_lineage(merged), work, terms, config)
+            # No cycle is left to judge these revisions; the last judgement stands.
+            work = merged
+            break
         active = to_revise.select("job_id").distinct().withColumn("__again", F.lit(True))
-        merged = cut_lineage(skew_join(merged, active, ["job_id"], "left", spread_by=["segment_id"]))
+        merged = materialize(skew_join(
+            merged, active, ["job_id"], "left", spread_by=["segment_id"],
+            counts=work.groupBy("job_id").agg(F.count(F.lit(1)).alias("n")),
+        ))
         rest = merged.where(F.col("__again").isNull()).drop("__again")
-        again = merged.where("__again").drop("__again", "findings", "verdict", "applied", "unresolved")
+        again = merged.where("__again").drop("__again", "findings", "verdict", "applied")
         reviewed = review(again, reviewer, config, memory)
-        work = rest.drop("unresolved").unionByName(reviewed.select(*[c for c in rest.columns if c != "unresolved"]))
-    issues, findings, routes = _judge(work, terms, config)
-    return RunState(work, issues, findings, routes.where("unresolved").select(*KEYS))
-
-
-def _final(merged: DataFrame, judged: DataFrame, terms: Sequence[Term], config: JobConfig) -> RunState:
-    """State after the last cycle ended with a revision: what was judged keeps standing."""
-    issues, findings, _ = _judge(judged, terms, config)
-    return RunState(merged.drop("unresolved"), issues, findings, merged.where("unresolved").select(*KEYS))
+        work = rest.unionByName(reviewed.select(*rest.columns))
+    return RunState(work, issues, findings, unresolved)
 
 
 def run_corpus(
@@ -96,7 +90,7 @@ def run_corpus(
     reviewer: Reviewer, config: JobConfig, memory: DataFrame | None = None,
 ) -> tuple[RunState, DataFrame]:
     """From segments to resolved findings, for all jobs at once; also returns the routed rows."""
-    routed = cut_lineage(translate_corpus(segments, translations, cache, translator, config))
+    routed = materialize(translate_corpus(segments, translations, cache, translator, config))
     source = protect(segments).select(*KEYS, "block_type", "protected_tokens")
     pairs = routed.select(*KEYS, "order_index", "source_text", "translation").join(source, KEYS)
     work = review(pairs, reviewer, config, memory).withColumn("attempts", F.lit(0))

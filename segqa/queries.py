@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,7 +21,7 @@ from segqa.operators import decisions as dec
 from segqa.operators import layout, memory, phrases, reports, segments, translation, validation
 from segqa.operators import review as rev
 from segqa.plans import workflow
-from segqa.plans.scale import shared_dir
+from segqa.plans.scale import materialize, shared_dir
 from segqa.sources import job_store
 from segqa.sources.documents import read_segments
 from segqa.sources.glossary import terms_table
@@ -32,7 +33,14 @@ QUERIES: dict[str, Query] = {}
 
 
 def query(fn: Query) -> Query:
-    QUERIES[fn.__name__] = fn
+    """Register a query; whole numbers come out as bigint, as in the SQL they are checked against."""
+    @wraps(fn)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        df = fn(spark, sf_dir)
+        ints = [f.name for f in df.schema.fields if f.dataType.typeName() == "integer"]
+        return df.withColumns({c: F.col(c).cast("bigint") for c in ints}) if ints else df
+
+    QUERIES[fn.__name__] = run
     return fn
 
 
@@ -184,8 +192,9 @@ def s12_restore_jobs(spark, sf):
 
 @query
 def s13_report_sink(spark, sf):
-    base = _audit(spark, sf)
-    parts = reports.nested_reports(base, _issues(spark, sf), fx.findings(spark, sf))
+    issues, found, unresolved = _judged(spark, sf)
+    base = materialize(_audit(spark, sf, issues, found, unresolved))
+    parts = reports.nested_reports(base, issues, found)
     return parts.select(
         "job_id", "part", "segments_total",
         F.greatest(F.coalesce(F.size("issues"), F.lit(0)), F.lit(0)).alias("issues"),
@@ -437,7 +446,7 @@ def x4_rule_translate(spark, sf):
 
 def _routed(spark, sf):
     return memory.route_reuse(
-        fx.doc_segments(spark, sf), fx.known_translations(spark, sf), fx.known_cache(spark, sf), fx.SCOPE, "German"
+        materialize(fx.doc_segments(spark, sf)), fx.known_translations(spark, sf), fx.known_cache(spark, sf), fx.SCOPE, "German"
     )
 
 
@@ -834,7 +843,14 @@ def r6_decisions_build(spark, sf):
 
 
 def _unresolved(spark, sf):
-    return _resolved(spark, sf).where("unresolved").select("job_id", "segment_id")
+    return materialize(_resolved(spark, sf).where("unresolved").select("job_id", "segment_id"))
+
+
+def _judged(spark, sf):
+    """Issues, findings and unresolved segments, written down once for the queries that read them repeatedly."""
+    issues, found = materialize(_issues(spark, sf)), materialize(fx.findings(spark, sf))
+    routes = rev.resolve(fx.report_segments(spark, sf), issues, found, fx.attempts(spark, sf), fx.CONFIG)
+    return issues, found, materialize(routes.where("unresolved").select("job_id", "segment_id"))
 
 
 def _decided(spark, sf):
@@ -890,14 +906,14 @@ def r10_segment_issues(spark, sf):
 
 @query
 def r11_review_queue(spark, sf):
-    items = rev.segment_issues(_issues(spark, sf), fx.findings(spark, sf))
-    return rev.review_queue(_unresolved(spark, sf), items, 3)
+    issues, found, unresolved = _judged(spark, sf)
+    return rev.review_queue(unresolved, rev.segment_issues(issues, found), 3)
 
 
 @query
 def r11_review_queue_selected(spark, sf):
-    items = rev.segment_issues(_issues(spark, sf), fx.findings(spark, sf))
-    return rev.review_queue(_unresolved(spark, sf), items, 2, ["major", "minor"])
+    issues, found, unresolved = _judged(spark, sf)
+    return rev.review_queue(unresolved, rev.segment_issues(issues, found), 2, ["major", "minor"])
 
 
 @query
@@ -914,16 +930,14 @@ def r12_auto_accept(spark, sf):
 
 # Reports
 
-def _audit(spark, sf):
+def _audit(spark, sf, issues, found, unresolved):
     usages = fx.report_translations(spark, sf).select("job_id", F.col("translation.token_usage").alias("token_usage"))
-    return reports.audit_report(
-        fx.report_segments(spark, sf), _unresolved(spark, sf), _issues(spark, sf), fx.findings(spark, sf), usages=usages
-    )
+    return reports.audit_report(fx.report_segments(spark, sf), unresolved, issues, found, usages=usages)
 
 
 @query
 def a1_audit_report(spark, sf):
-    return _audit(spark, sf)
+    return _audit(spark, sf, *_judged(spark, sf))
 
 
 @query
@@ -1067,7 +1081,7 @@ def st1_incremental(spark, sf):
         fx.REUSE_CONFIG, available_now=True,
     ).awaitTermination()
     return stream.read_results(spark, out).select(
-        "job_id", "segment_id", "route", F.col("translation.translated_text").alias("text"), "verdict"
+        "job_id", "segment_id", F.col("translation.translated_text").alias("text"), "verdict"
     )
 
 
