@@ -14,6 +14,7 @@ from segqa.functions.glossary import strings
 from segqa.functions.rules import USAGE_TYPE, translation
 from segqa.operators.memory import cache_key, cache_scope, scope_hash
 from segqa.operators.phrases import phrase_rows
+from segqa.plans.scale import spread
 from segqa.sources.documents import read_segments
 from segqa.sources.glossary import Term, load_terms
 
@@ -30,7 +31,7 @@ def terms() -> tuple[Term, ...]:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 # one page per document, twenty documents per job.

@@ -120,7 +120,10 @@ def token_spans(text: Column) -> Column:
 
 def normalize_token(kind: Column, value: Column) -> Column:
     """Comparable form of a token text."""
-    clean = strip_ws(value)
+    return let(strip_ws(value), lambda clean: _normal_form(kind, clean))
+
+
+def _normal_form(kind: Column, clean: Column) -> Column:
     unit = F.lower(F.translate(clean, "µ²", "u2"))
     code = F.upper(F.regexp_replace(clean, f"{WS}+", ""))
     comparator = F.when(clean == "≤", F.lit("<=")).when(clean == "≥", F.lit(">=")).otherwise(clean)
@@ -147,7 +150,8 @@ def extract_tokens(text: Column, prefix: Column | str = "TOKEN") -> Column:
                 F.concat(head, F.lit("_"), (index + 1).cast("string")).alias("token_id"),
                 span["kind"].alias("kind"),
                 value.alias("text"),
-                normalize_token(span["kind"], value).alias("normalized"),
+                # Matches neither start nor end with whitespace, so there is nothing to strip.
+                _normal_form(span["kind"], value).alias("normalized"),
                 span["start"].alias("start"),
                 span["end"].alias("end"),
             )

@@ -529,7 +529,11 @@ def oracle_sql() -> dict[str, str]:
         "v3_negation_documents": f"select job_id, segment_id, {_SOURCE_NEG} as negated from f1",
         "v4_relevant_terms": "select job_id, segment_id, source from used",
         "v5_approved_term": f"select {issue_cols} from v5",
-        "v6_forbidden_term": f"select {issue_cols} from v6",
+        "v6_forbidden_term": """select job_id, segment_id, 'warning' as severity, 'forbidden_term' as issue_type, source as source_value, f as translated_value,
+            'Termin ''' || f || ''' jest zabroniony dla ''' || source || '''.' as message
+            from (select u.job_id, u.segment_id, u.source, unnest(u.forbidden) as f,
+                case when f2.c % 3 = 0 then replace(u.translated_text, 'Migracja globalna', 'Ogólna migracja') else u.translated_text end as text
+              from used u join f2 using (job_id, segment_id)) where contains(lower(text), lower(f))""",
         "v7_validate_corpus": f"select {issue_cols} from v7",
         "v8_prepare_segments": """select f2.job_id, f2.segment_id, count(t.kind) as tokens, coalesce(string_agg(t.kind || '=' || t.normalized, ';' order by t.ord), '') as list
             from f2 left join tok t on t.job_id = f2.job_id and t.segment_id = f2.segment_id and t.side = 'source' group by all""",

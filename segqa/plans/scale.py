@@ -27,6 +27,15 @@ def row_count_within(df: DataFrame, limit: int) -> bool:
     return df.limit(limit + 1).count() <= limit
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Repartition a table whose few splits would leave most cores idle.
+
+    Tables with enough splits, as any large one has, are returned as they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() * 4 <= cores else df
+
+
 def hot_keys(counts: DataFrame, on: Sequence[str]) -> DataFrame | None:
     """Keys of ``counts(on..., n)`` with more than ``HOT_FLOOR`` rows, largest first.
 

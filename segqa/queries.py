@@ -357,19 +357,22 @@ def v4_relevant_terms(spark, sf):
     )
 
 
-def _glossary_issues(spark, sf, issue_type):
+def _glossary_issues(pairs, issue_type):
     found = validation.glossary_issues(F.col("source_text"), F.col("translated_text"), fx.terms())
-    return validation.explode_issues(fx.report_pairs(spark, sf), found).where(F.col("issue_type") == issue_type)
+    return validation.explode_issues(pairs, found).where(F.col("issue_type") == issue_type)
 
 
 @query
 def v5_approved_term(spark, sf):
-    return _glossary_issues(spark, sf, "untranslated_fragment")
+    return _glossary_issues(fx.report_pairs(spark, sf), "untranslated_fragment")
 
 
 @query
 def v6_forbidden_term(spark, sf):
-    return _glossary_issues(spark, sf, "forbidden_term")
+    """Report pairs where every third customer got the forbidden wording for overall migration."""
+    worded = F.when(F.col("c") % 3 == 0, F.replace(F.col("translated_text"), F.lit("Migracja globalna"), F.lit("Ogólna migracja")))
+    pairs = fx.report_pairs(spark, sf).withColumn("translated_text", F.coalesce(worded, F.col("translated_text")))
+    return _glossary_issues(pairs, "forbidden_term")
 
 
 @query
@@ -1066,7 +1069,7 @@ def _stream_dirs(spark):
 
 
 def _read_stream(spark, sf, name):
-    schema = fx.table(spark, sf, name).schema
+    schema = spark.read.parquet(f"{sf}/{name}.parquet").schema
     return spark.readStream.schema(schema).parquet(f"{sf}/{name}*.parquet")
 
 
