@@ -105,15 +105,15 @@ def report_translations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # reuse state over F1.
 
-def known_translations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = doc_segments(spark, sf_dir).where("doc_id % 10 = 0")
+def known_translations(segments: DataFrame) -> DataFrame:
+    rows = segments.where("doc_id % 10 = 0")
     return rows.select(
         "job_id", "segment_id", as_translation(F.concat(F.lit("PL: "), F.col("source_text"))).alias("translation")
     )
 
 
-def known_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = doc_segments(spark, sf_dir).where("doc_id % 10 = 1")
+def known_cache(segments: DataFrame) -> DataFrame:
+    rows = segments.where("doc_id % 10 = 1")
     first = F.min(F.struct("job_id", "segment_id")).alias("f")
     return rows.groupBy("source_text").agg(first).select(
         cache_key(F.col("source_text"), F.lit(SCOPE)).alias("cache_key"),
@@ -148,11 +148,11 @@ def prefix_client():
     return call
 
 
-def output_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+def output_texts(segments: DataFrame) -> DataFrame:
     """Output text per job: the translations of F3, every thirteenth left out, some with a placeholder."""
-    segments = doc_segments(spark, sf_dir).where("doc_id % 10 = 0 and order_index % 13 <> 5")
+    kept = segments.where("doc_id % 10 = 0 and order_index % 13 <> 5")
     item = F.struct("order_index", F.concat(F.lit("PL: "), F.col("source_text")).alias("t"))
-    joined = segments.groupBy("job_id").agg(F.sort_array(F.collect_list(item)).alias("items"))
+    joined = kept.groupBy("job_id").agg(F.sort_array(F.collect_list(item)).alias("items"))
     body = F.array_join(F.transform("items", lambda i: i["t"]), " ")
     leak = F.when(F.col("job_id") % 7 == 0, F.lit(" {{TOKEN_1}}")).otherwise(F.lit(""))
     return joined.select("job_id", F.concat(body, leak).alias("text"))

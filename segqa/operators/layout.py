@@ -13,7 +13,7 @@ from pyspark.sql import Window as W
 
 from segqa.functions.text import let, normalize_ws
 from segqa.operators.segments import block_type
-from segqa.plans.scale import running_offsets
+from segqa.plans.scale import materialize, running_offsets
 from segqa.sources.documents import segment_id
 
 PAGE = ("doc_id", "page_number")
@@ -166,11 +166,12 @@ def reading_order(lines: DataFrame, cells: DataFrame) -> DataFrame:
     running count of earlier pages.
     """
     # Lines before cells on equal tops; cells keep table, row and column order.
-    items = lines.withColumn("kind", F.lit(0)).withColumn("table_no", F.lit(0)).withColumn("row_index", F.lit(0)) \
-        .withColumn("column_index", F.col("local_index").cast("int")).unionByName(
-            cells.withColumn("kind", F.lit(1)).withColumn("block_type", F.lit("table_cell")),
-            allowMissingColumns=True,
-        )
+    from_lines = lines.withColumns({
+        "kind": F.lit(0), "table_no": F.lit(0), "row_index": F.lit(0), "column_index": F.col("local_index").cast("int")
+    })
+    from_cells = cells.withColumns({"kind": F.lit(1), "block_type": F.lit("table_cell")})
+    # Ranking and counting both read the items; assembling lines twice would cost more.
+    items = materialize(from_lines.unionByName(from_cells, allowMissingColumns=True))
     page = W.partitionBy(*PAGE).orderBy("top_key", "kind", "table_no", "row_index", "column_index")
     ranked = items.withColumn("__rank", F.row_number().over(page) - 1)
     sizes = items.groupBy(*PAGE).agg(F.count(F.lit(1)).alias("n"))

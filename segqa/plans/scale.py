@@ -33,7 +33,7 @@ def spread(df: DataFrame) -> DataFrame:
     Tables with enough splits, as any large one has, are returned as they are.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() * 4 <= cores else df
+    return df.repartition(cores) if df.rdd.getNumPartitions() * 2 <= cores else df
 
 
 def hot_keys(counts: DataFrame, on: Sequence[str]) -> DataFrame | None:
@@ -86,7 +86,8 @@ def running_offsets(
     so no window partition sees more than a chunk (or one row per chunk).
     """
     keys = list(keys)
-    cut = counts.withColumn("__chunk", F.floor(F.col(position) / chunk))
+    # One row per position; written down because both levels read it.
+    cut = materialize(counts).withColumn("__chunk", F.floor(F.col(position) / chunk))
     inner = W.partitionBy(*keys, "__chunk").orderBy(position).rowsBetween(W.unboundedPreceding, W.currentRow)
     inside = cut.withColumn("__in", F.sum(value).over(inner) - F.col(value))
     outer = W.partitionBy(*keys).orderBy("__chunk").rowsBetween(W.unboundedPreceding, W.currentRow)

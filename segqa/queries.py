@@ -447,18 +447,25 @@ def x4_rule_translate(spark, sf):
     )
 
 
-def _routed(spark, sf):
-    return memory.route_reuse(
-        materialize(fx.doc_segments(spark, sf)), fx.known_translations(spark, sf), fx.known_cache(spark, sf), fx.SCOPE, "German"
+def _segments(spark, sf):
+    """The document segments as a table, for queries that read them more than once."""
+    return materialize(fx.doc_segments(spark, sf))
+
+
+def _routed(segs):
+    return memory.route_reuse(segs, fx.known_translations(segs), fx.known_cache(segs), fx.SCOPE, "German")
+
+
+def _translated(spark, sf):
+    segs = _segments(spark, sf)
+    return memory.translate_corpus(
+        segs, fx.known_translations(segs), fx.known_cache(segs), fx.PrefixTranslator(), fx.REUSE_CONFIG
     )
 
 
 @query
 def x5_translate_distinct(spark, sf):
-    done = memory.translate_corpus(
-        fx.doc_segments(spark, sf), fx.known_translations(spark, sf), fx.known_cache(spark, sf),
-        fx.PrefixTranslator(), fx.REUSE_CONFIG,
-    )
+    done = _translated(spark, sf)
     return done.select("job_id", "segment_id", "route", F.col("translation.translated_text").alias("text"))
 
 
@@ -553,7 +560,8 @@ def m2_cache_key(spark, sf):
 
 @query
 def m3_job_memory(spark, sf):
-    found = memory.job_memory(fx.doc_segments(spark, sf), fx.known_translations(spark, sf))
+    segs = _segments(spark, sf)
+    found = memory.job_memory(segs, fx.known_translations(segs))
     return found.select(
         "job_id", _sha("normalized_source").alias("source_hash"), "segment_id",
         F.col("translation.translated_text").alias("text"),
@@ -562,10 +570,9 @@ def m3_job_memory(spark, sf):
 
 @query
 def m4_cache_lookup(spark, sf):
-    segs = fx.doc_segments(spark, sf).select(
-        "job_id", F.col("segment_id").alias("group_key"), F.col("source_text").alias("norm")
-    )
-    hits = memory.cache_hits(segs, fx.known_cache(spark, sf), fx.SCOPE)
+    segs = _segments(spark, sf)
+    groups = segs.select("job_id", F.col("segment_id").alias("group_key"), F.col("source_text").alias("norm"))
+    hits = memory.cache_hits(groups, fx.known_cache(segs), fx.SCOPE)
     return hits.select(
         "job_id", F.col("group_key").alias("segment_id"), F.col("cached.translation.translated_text").alias("text"),
         F.col("cached.origin_job_id").alias("origin_job_id"), F.col("cached.origin_segment_id").alias("origin_segment_id"),
@@ -574,15 +581,12 @@ def m4_cache_lookup(spark, sf):
 
 @query
 def m5_reuse_routing(spark, sf):
-    return _routed(spark, sf).select("job_id", "segment_id", "route")
+    return _routed(_segments(spark, sf)).select("job_id", "segment_id", "route")
 
 
 @query
 def m6_fan_out_copy(spark, sf):
-    done = memory.translate_corpus(
-        fx.doc_segments(spark, sf), fx.known_translations(spark, sf), fx.known_cache(spark, sf),
-        fx.PrefixTranslator(), fx.REUSE_CONFIG,
-    )
+    done = _translated(spark, sf)
     return done.select(
         "job_id", "segment_id", F.array_join("translation.translator_notes", "|").alias("notes"),
         F.col("translation.token_usage").isNull().alias("no_usage"),
@@ -636,7 +640,7 @@ def m9_cache_backfill(spark, sf):
 
 @query
 def m10_reuse_counters(spark, sf):
-    return memory.reuse_counters(_routed(spark, sf))
+    return memory.reuse_counters(_routed(_segments(spark, sf)))
 
 
 # Phrase memory
@@ -946,10 +950,10 @@ def a1_audit_report(spark, sf):
 @query
 def a1_audit_reuse(spark, sf):
     """The reuse part of the report over the routed documents."""
-    segs = fx.doc_segments(spark, sf)
+    segs = _segments(spark, sf)
     none = segs.limit(0)
     issues = none.select("job_id", "segment_id", F.lit("").alias("severity"))
-    return reports.audit_report(segs, none, issues, issues, _routed(spark, sf)).select(
+    return reports.audit_report(segs, none, issues, issues, _routed(segs)).select(
         "job_id", "segments_total", "translation_memory_hits", "persistent_translation_cache_hits", "translation_memory_misses"
     )
 
@@ -1009,27 +1013,28 @@ def a6_status_normalize(spark, sf):
     return _job_states(spark, sf).select("job_id", reports.normalize_status().alias("status"))
 
 
-def _expected_output(spark, sf):
-    segs = fx.doc_segments(spark, sf).where("doc_id % 10 = 0")
-    return segs.select("job_id", "segment_id", F.concat(F.lit("PL: "), F.col("source_text")).alias("translated_text"))
+def _expected_output(segs):
+    return segs.where("doc_id % 10 = 0").select("job_id", "segment_id", F.concat(F.lit("PL: "), F.col("source_text")).alias("translated_text"))
 
 
 @query
 def a7_output_verification(spark, sf):
-    return reports.verify_output(fx.output_texts(spark, sf), _expected_output(spark, sf)).select(
+    segs = _segments(spark, sf)
+    return reports.verify_output(fx.output_texts(segs), _expected_output(segs)).select(
         "job_id", "ok", "extracted_text_chars", "missing_segments", F.size("messages").alias("messages")
     )
 
 
 @query
 def a7_missing_segments(spark, sf):
-    return reports.missing_segments(fx.output_texts(spark, sf), _expected_output(spark, sf))
+    segs = _segments(spark, sf)
+    return reports.missing_segments(fx.output_texts(segs), _expected_output(segs))
 
 
 @query
 def a8_placeholder_leaks(spark, sf):
     leaks = reports.placeholder_leaks(F.col("text"))
-    return fx.output_texts(spark, sf).select("job_id", F.array_join(leaks, ",").alias("leaks"))
+    return fx.output_texts(fx.doc_segments(spark, sf)).select("job_id", F.array_join(leaks, ",").alias("leaks"))
 
 
 def _preview_pairs(spark, sf):
@@ -1127,7 +1132,7 @@ def flagship_corpus_audit(spark, sf):
     segs = fx.report_segments(spark, sf)
     config = fx.CONFIG
     none = fx.report_translations(spark, sf).limit(0).select("job_id", "segment_id", "translation")
-    cache = fx.known_cache(spark, sf).limit(0)
+    cache = spark.createDataFrame([], memory.CACHE_COLUMNS)
     state, routed = workflow.run_corpus(
         segs, none, cache, fx.terms(), translation.RuleTranslator(fx.terms()), translation.RuleReviewer(), config
     )

@@ -132,6 +132,8 @@ def safe_sink(write: Callable[[DataFrame, int], None]) -> Callable[[DataFrame, i
             write(batch, epoch)
         except Exception:  # noqa: BLE001 - progress display must not interrupt the work
             log.exception("progress sink failed for batch %s", epoch)
+            # The batch still has to run through, or its state would not be committed.
+            batch.write.format("noop").mode("overwrite").save()
 
     return run
 
