@@ -22,7 +22,7 @@ from segqa.functions.rules import finding, merge_verdict, translation
 from segqa.functions.text import casefold, clean_phrase, let, normalize_phrase, normalize_ws, strip_ws
 from segqa.operators.memory import touch_by_key, upsert_by_key
 from segqa.operators.validation import pair_issues
-from segqa.plans.scale import row_count_within
+from segqa.plans.scale import row_count_within, skew_join
 from segqa.sources.glossary import Term
 
 PHRASE_COLUMNS = (
@@ -349,7 +349,8 @@ def suggest_refinement(translations: DataFrame, issues: DataFrame, matches: Data
     current = translations.select(*keys, "translated_text").withColumn(
         "current_low", F.lower(clean_phrase(F.col("translated_text"), 1000))
     )
-    rows = issues.join(current, keys).withColumns({
+    # A segment may have any number of issues, but only one current text.
+    rows = skew_join(issues, current, keys, "inner", spread_by=["pos"]).withColumns({
         "proposal": clean_phrase(F.col("proposed_translation"), 600),
         "evidence": clean_phrase(F.col("translation_evidence"), 600),
     })

@@ -202,22 +202,26 @@ def missing_segments(texts: DataFrame, translations: DataFrame) -> DataFrame:
     fragments of exactly the lengths asked for, so that finding a prefix is an
     equality join however many segments or however much text a job has.
     """
-    output = texts.select("job_id", F.lower(normalize_ws(F.col("text"))).alias("out"))
+    is_long = F.length("text") > DIRECT_TEXT
+    output = texts.select("job_id", F.lower(normalize_ws(F.col("text"))).alias("out"), is_long.alias("long"))
     expected = _expected_prefixes(translations)
     located = skew_join(
         expected,
-        output.select("job_id", (F.length("out") > DIRECT_TEXT).alias("long"), F.when(F.length("out") <= DIRECT_TEXT, F.col("out")).alias("out")),
+        output.select("job_id", "long", F.when(~F.col("long"), F.col("out")).alias("out")),
         ["job_id"], "inner", spread_by=["segment_id"],
         counts=translations.groupBy("job_id").agg(F.count(F.lit(1)).alias("n")),
     )
     near = located.where(~F.col("long") & ~F.contains(F.col("out"), F.col("prefix"))).select(*KEYS)
+    # Without a long text the index is not needed.
+    if texts.where(is_long).isEmpty():
+        return near
     far = located.where("long").select(*KEYS, "prefix")
 
     wanted = far.select("job_id", "prefix").distinct()
     lengths = wanted.groupBy("job_id").agg(F.collect_set(F.length("prefix")).alias("lengths"))
     starts = F.sequence(F.lit(1), F.length("out"), F.lit(TEXT_BLOCK))
     # A block reaches over its end so that fragments across the border stay whole.
-    blocks = output.where(F.length("out") > DIRECT_TEXT).select("job_id", "out", F.explode(starts).alias("at")).select(
+    blocks = output.where("long").select("job_id", "out", F.explode(starts).alias("at")).select(
         "job_id", "at", F.substring("out", F.col("at"), F.lit(TEXT_BLOCK + PREFIX - 1)).alias("block")
     )
     sized = skew_join(blocks, lengths, ["job_id"], "inner", spread_by=["at"])

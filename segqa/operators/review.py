@@ -11,7 +11,7 @@ from segqa.functions.rules import FINDING_TYPE, is_blocking
 from segqa.functions.text import short_text
 from segqa.operators.phrases import add_phrase_findings, phrase_apply, phrase_matches
 from segqa.operators.translation import Reviewer
-from segqa.plans.scale import CHUNK, number_rows
+from segqa.plans.scale import CHUNK, number_rows, running_offsets, skew_join
 
 KEYS = ["job_id", "segment_id"]
 QUEUE_DEFAULT = ("critical", "major", "warning")
@@ -117,14 +117,20 @@ def findings_table(findings: DataFrame, segments: DataFrame, translations: DataF
     view is the descending order of ``number``.
     """
     seg = segments.select(*KEYS, "page_number", "order_index", "source_text")
-    rows = findings.join(seg, KEYS, "left").join(translations.select(*KEYS, "translated_text"), KEYS, "left")
+    known = seg.join(translations.select(*KEYS, "translated_text"), KEYS, "left")
+    rows = skew_join(findings, known, KEYS, "left", spread_by=["pos"])
 
     def evidence(column: str, whole: str) -> Column:
         return F.coalesce(F.when(F.col(column) != "", F.col(column)), F.col(whole))
 
-    numbered = number_rows(
-        rows, ["job_id"], F.coalesce("order_index", F.lit(0)), ["order_index", "segment_id", "pos"], "number", chunk
-    )
+    # Findings of earlier segments, plus the place among the findings of the own segment;
+    # both are counted in chunks, so neither a long job nor a crowded segment is one task.
+    placed = rows.withColumn("__at", F.coalesce("order_index", F.lit(-1)).cast("long"))
+    inside = number_rows(placed, ["job_id", "__at"], F.col("pos"), ["pos", "segment_id"], "__in", chunk)
+    sizes = placed.groupBy("job_id", "__at").agg(F.count(F.lit(1)).alias("__n"))
+    earlier = running_offsets(sizes, ["job_id"], "__at", "__n", "__before", chunk).drop("__n")
+    numbered = skew_join(inside, earlier, ["job_id", "__at"], "inner", spread_by=["pos"], counts=sizes.withColumnRenamed("__n", "n")) \
+        .withColumn("number", F.col("__in") + F.col("__before"))
     return numbered.select(
         "job_id",
         (F.col("number") + 1).alias("number"),

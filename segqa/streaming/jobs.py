@@ -5,17 +5,17 @@ from __future__ import annotations
 import logging
 from collections.abc import Callable, Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
-from pyspark.sql.utils import AnalysisException
 
 from segqa.config import JobConfig
+from segqa.functions.text import normalize_ws
 from segqa.operators.memory import cache_rows, cache_scope, group_key, route_reuse, scope_hash, translate_distinct
 from segqa.operators.review import review
 from segqa.operators.translation import Reviewer, Translator, empty_translation
 from segqa.operators.validation import pair_issues
-from segqa.functions.text import normalize_ws
 from segqa.sources.documents import page_blocks, segment_id
 from segqa.sources.glossary import Term
 

@@ -249,3 +249,23 @@ def test_progress_sink_failure_does_not_stop(spark, tmp_path):
     ).trigger(availableNow=True).start()
     query.awaitTermination()
     assert query.exception() is None
+
+
+def test_progress_windows(spark):
+    rows = [("2024-01-01 00:10:00", "a", 1), ("2024-01-01 00:50:00", "a", 5), ("2024-01-01 01:10:00", "a", 2)]
+    events = spark.createDataFrame(rows, "at string, stage string, current int").withColumn("ts", F.col("at").cast("timestamp"))
+    got = stream.progress_windows(events).orderBy("window_start").collect()
+    assert [(r.events, r.current) for r in got] == [(2, 5), (1, 2)]
+
+
+def test_reports_are_written_as_json(spark, tmp_path):
+    path = str(tmp_path / "reports")
+    job_store.write_reports(spark.createDataFrame([("a", 1), ("b", 2)], "job_id string, segments_total int"), path)
+    back = spark.read.json(path)
+    assert {(r.job_id, r.segments_total) for r in back.collect()} == {("a", 1), ("b", 2)}
+
+
+def test_language_options():
+    from segqa.sources.languages import LANGUAGES, options_with_current
+
+    assert options_with_current("Klingon")[0] == "Klingon" and options_with_current("Polish") == list(LANGUAGES)
