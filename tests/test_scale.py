@@ -108,3 +108,25 @@ def test_reports_in_parts_hold_every_entry_once(spark):
     ids = [i.segment_id for r in parts if r.job_id == 1 for i in r.issues]
     assert len(ids) == len(set(ids)) == 250 and max(len(r.issues or []) for r in parts) <= 100
     assert sorted(r.job_id for r in parts if r.job_id > 1) == [2, 3]
+
+
+def test_hot_text_is_routed_alike_with_and_without_salting(spark, monkeypatch):
+    from segqa import fixtures as fx
+    from segqa.operators import memory
+
+    segs = spark.range(900).select(
+        (F.col("id") % 2).alias("job_id"), F.format_string("s%04d", "id").alias("segment_id"), F.col("id").alias("order_index"),
+        F.when(F.col("id") % 3 == 0, F.lit("Strona 1")).otherwise(F.concat(F.lit("t"), (F.col("id") % 100).cast("string"))).alias("source_text"),
+    )
+    known = segs.where("segment_id = 's0101'").select("job_id", "segment_id", fx.as_translation(F.lit("znane")).alias("translation"))
+
+    def run():
+        cache = spark.createDataFrame([], memory.CACHE_COLUMNS)
+        out = memory.translate_corpus(segs, known, cache, fx.PrefixTranslator(), JobConfig())
+        return sorted((r.segment_id, r.route, r.translation.translated_text, tuple(r.translation.translator_notes)) for r in out.collect())
+
+    plain = run()
+    monkeypatch.setattr(scale, "HOT_FLOOR", 50)
+    assert run() == plain and len(plain) == 900
+    # Fifty numbered texts and one page mark per job; "t1" of job 1 is known already.
+    assert sum(route == "miss" for _, route, _, _ in plain) == 2 * 51 - 1
