@@ -232,8 +232,8 @@ select doc_id, 1 + ((k {div} 12) {div} 40) as page_number, (k {div} 12) as true_
 
 def word_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = table(spark, sf_dir, "documents").select(
-        "doc_id", F.posexplode(F.filter(F.split("text", "[ \n]+"), lambda w: w != "")).alias("k", "word")
-    )
+        "doc_id", F.posexplode_outer(F.filter(F.split("text", "[ \n]+"), lambda w: w != "")).alias("k", "word")
+    ).where(F.col("word").isNotNull())
     return spark.sql(F6_SQL.format(div="div", w="{w}"), w=words)
 
 

@@ -106,9 +106,10 @@ def page_lines(words: DataFrame, gap: float = 3.0) -> DataFrame:
 
 def assemble_lines(words: DataFrame, gap: float = 3.0) -> DataFrame:
     """Lines with text, box and font features; ``line_no`` counts from 0 on each page."""
+    # The outer form keeps the planner from computing the array a second time to test it.
     return page_lines(words, gap).select(
-        *PAGE, "median_size", F.posexplode("lines").alias("line_no", "line")
-    ).select(*PAGE, "line_no", "line.*", "median_size")
+        *PAGE, "median_size", F.posexplode_outer("lines").alias("line_no", "line")
+    ).where(F.col("line").isNotNull()).select(*PAGE, "line_no", "line.*", "median_size")
 
 
 def page_median_font(lines: DataFrame) -> DataFrame:

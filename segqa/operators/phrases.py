@@ -273,7 +273,8 @@ def phrase_finding_array(matches: Column, source: Column, translated: Column) ->
 
 def phrase_findings(matched: DataFrame) -> DataFrame:
     found = phrase_finding_array(F.col("matches"), F.col("source_text"), F.col("translated_text"))
-    return matched.select("job_id", "segment_id", F.inline(found))
+    # The outer form keeps the planner from computing the array a second time to test it.
+    return matched.select("job_id", "segment_id", F.inline_outer(found)).where(F.col("category").isNotNull())
 
 
 def add_phrase_findings(reviewed: DataFrame) -> DataFrame:

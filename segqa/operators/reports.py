@@ -233,8 +233,8 @@ def missing_segments(texts: DataFrame, translations: DataFrame) -> DataFrame:
         )
 
     found = sized.select(
-        "job_id", F.explode(F.array_distinct(F.flatten(F.transform("lengths", fragments)))).alias("prefix")
-    ).distinct()
+        "job_id", F.explode_outer(F.array_distinct(F.flatten(F.transform("lengths", fragments)))).alias("prefix")
+    ).where(F.col("prefix").isNotNull()).distinct()
     lost = wanted.join(found, ["job_id", "prefix"], "left_anti")
     missing = skew_join(far, lost, ["job_id", "prefix"], "inner", spread_by=["segment_id"]).select(*KEYS)
     return near.unionByName(missing)

@@ -45,7 +45,9 @@ def review(
 
 def explode_findings(reviews: DataFrame) -> DataFrame:
     """One row per finding, numbered within its segment."""
-    return reviews.select(*KEYS, F.posexplode("findings").alias("pos", "f")).select(*KEYS, "pos", "f.*")
+    # The outer form keeps the planner from computing the array a second time to test it.
+    rows = reviews.select(*KEYS, F.posexplode_outer("findings").alias("pos", "f"))
+    return rows.where(F.col("f").isNotNull()).select(*KEYS, "pos", "f.*")
 
 
 def resolve(

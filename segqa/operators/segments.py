@@ -62,7 +62,8 @@ def token_inventory(segments: DataFrame) -> DataFrame:
             lambda k: F.struct(k.alias("k"), key_count(all_keys, k).alias("n")),
         ),
     )
-    per_segment = segments.select("job_id", F.inline(counted))
+    # The outer form keeps the planner from computing the array a second time to test it.
+    per_segment = segments.select("job_id", F.inline_outer(counted)).where(F.col("k").isNotNull())
     by_job = per_segment.groupBy("k", "job_id").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("s"))
     by_key = by_job.groupBy("k").agg(
         F.sum("n").alias("occurrences"), F.sum("s").alias("segments"), F.count(F.lit(1)).alias("jobs")

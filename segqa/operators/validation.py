@@ -142,7 +142,9 @@ def pair_issues(
 
 
 def explode_issues(pairs: DataFrame, issues: Column, *keys: str) -> DataFrame:
-    return pairs.select(*(keys or ("job_id", "segment_id")), F.inline(issues))
+    # The outer form keeps the planner from computing the array a second time to test it.
+    rows = pairs.select(*(keys or ("job_id", "segment_id")), F.inline_outer(issues))
+    return rows.where(F.col("severity").isNotNull())
 
 
 def missing_tokens(pairs: DataFrame) -> DataFrame:

@@ -282,8 +282,8 @@ def _both_sides(spark, sf):
 def _tokens(spark, sf):
     prefix = F.upper(F.translate("segment_id", "-", "_"))
     return _both_sides(spark, sf).select(
-        "job_id", "segment_id", "side", F.col("text").alias("whole"), F.inline(extract_tokens(F.col("text"), prefix))
-    )
+        "job_id", "segment_id", "side", F.col("text").alias("whole"), F.inline_outer(extract_tokens(F.col("text"), prefix))
+    ).where(F.col("kind").isNotNull())
 
 
 @query
@@ -294,7 +294,7 @@ def t1_extract_tokens(spark, sf):
 @query
 def t1_tokens_documents(spark, sf):
     tokens = extract_tokens(F.col("source_text"))
-    found = fx.doc_segments(spark, sf).select("job_id", "segment_id", F.inline(tokens))
+    found = fx.doc_segments(spark, sf).select("job_id", "segment_id", F.inline_outer(tokens))
     return found.where(F.col("kind").isin("comparator", "abbreviation")).groupBy("job_id", "segment_id", "kind").agg(
         F.count("*").alias("tokens")
     )
@@ -681,7 +681,7 @@ def _matched(spark, sf):
 
 @query
 def h2_phrase_match(spark, sf):
-    return _matched(spark, sf).select("job_id", "segment_id", F.posexplode("matches").alias("pos", "m")).select(
+    return _matched(spark, sf).select("job_id", "segment_id", F.posexplode_outer("matches").alias("pos", "m")).where(F.col("m").isNotNull()).select(
         "job_id", "segment_id", "pos", "m.reason", "m.replace_text", "m.preferred_text"
     )
 

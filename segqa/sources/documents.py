@@ -35,9 +35,10 @@ def read_segments(pages: DataFrame) -> DataFrame:
     located = blocks.withColumn("page_number", F.col("page_number").cast("long")).join(
         offsets, ["job_id", "page_number"]
     )
+    # The outer form keeps the planner from computing the array a second time to test it.
     return located.select(
-        "job_id", "page_number", *rest, "offset", F.posexplode("__blocks").alias("__i", "__b")
-    ).select(
+        "job_id", "page_number", *rest, "offset", F.posexplode_outer("__blocks").alias("__i", "__b")
+    ).where(F.col("__b").isNotNull()).select(
         "job_id",
         "page_number",
         *rest,

@@ -32,7 +32,9 @@ def stream_segments(pages: DataFrame) -> DataFrame:
     """
     rest = [c for c in pages.columns if c not in ("job_id", "page_number", "text")]
     page = F.col("page_number").cast("long")
-    return pages.select("job_id", page.alias("page_number"), *rest, F.explode(page_blocks(F.col("text"))).alias("b")).select(
+    return pages.select("job_id", page.alias("page_number"), *rest, F.explode_outer(page_blocks(F.col("text"))).alias("b")).where(
+        F.col("b").isNotNull()
+    ).select(
         "job_id", "page_number", *rest,
         segment_id(F.col("page_number"), F.col("b.pos")).alias("segment_id"),
         (F.col("page_number") * PAGE_STRIDE + F.col("b.pos")).alias("order_index"),
