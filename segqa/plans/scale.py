@@ -6,6 +6,7 @@ join without ever putting such a group into one task.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Sequence
@@ -143,13 +144,19 @@ def with_neighbours(
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder the cluster names for checkpoints; a temporary one only where none is named."""
+    """The folder the cluster names for checkpoints.
+
+    A session whose driver and tasks are one process may do without: it gets a temporary
+    folder. On a cluster a folder of the driver's machine would lose rows, so that is an error.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not named:
-        # Only a session without a cluster folder gets here, as in tests.
-        named = tempfile.mkdtemp(prefix="segqa-")
-        spark.sparkContext.setCheckpointDir(named)
-    return named.rstrip("/")
+    if named:
+        return named.rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    folder = tempfile.mkdtemp(prefix="segqa-")
+    spark.sparkContext.setCheckpointDir(folder)
+    return folder
 
 
 def materialize(df: DataFrame) -> DataFrame:
