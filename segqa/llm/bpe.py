@@ -24,6 +24,10 @@ import pyarrow as pa
 import regex
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
+from tokenizers import Regex
+from tokenizers.normalizers import NFC, Lowercase
+from tokenizers.normalizers import Sequence as NormalizerSequence
+from tokenizers.pre_tokenizers import Split
 
 from segqa.llm.arrow import with_fields
 
@@ -88,6 +92,7 @@ class Vocabulary:
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.special_pattern = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")")
         self.tokens = {i: t for t, i in (ids | self.special).items()}
+        self.library: tuple | None = None
         self.words = regex.compile(WORDS)
         self.words_in_lines = regex.compile(rf"\n|{WORDS}")
 
@@ -117,29 +122,33 @@ class Vocabulary:
             if part in self.special:
                 found.append(self.special[part])
             elif part:
-                found += self._words(lower(part), self.words)
+                found += self._newer(part) if _unassigned(part) else self.words.findall(lower(part))
         return found
 
-    def _words(self, plain: str, pattern: regex.Pattern) -> list[str]:
-        # The pattern library may know newer letters than Unicode's tables here; they count as unassigned.
-        if plain.isascii() or not any(unicodedata.category(c) == "Cn" for c in set(plain)):
-            return pattern.findall(plain)
-        shadow = "".join("\uffff" if unicodedata.category(c) == "Cn" else c for c in plain)
-        return [plain[m.start() : m.end()] for m in pattern.finditer(shadow)]
+    def _newer(self, text: str) -> list[str]:
+        """Words of a text with characters that Unicode's tables here do not have yet, by the library's own tables."""
+        if self.library is None:
+            self.library = (NormalizerSequence([NFC(), Lowercase()]), Split(Regex(WORDS), "removed", invert=True))
+        normalizer, splitter = self.library
+        return [w for w, _ in splitter.pre_tokenize_str(normalizer.normalize_str(text))]
 
     def split_lines(self, runs: list[str]) -> list[list[str | int]]:
         """``split`` of many runs in one go."""
-        found: list[list[str | int]] = []
-        plain = [r for r in runs if "<" not in r]
+        odd = ["<" in r or _unassigned(r) for r in runs]
         words: list[str | int] = []
-        for word in self._words(lower("\n".join(plain) + "\n"), self.words_in_lines) if plain else ():
+        found: list[list[str | int]] = []
+        for word in self.words_in_lines.findall(lower("".join(f"{r}\n" for r, o in zip(runs, odd, strict=True) if not o))):
             if word == "\n":
                 found.append(words)
                 words = []
             else:
                 words.append(word)
         ready = iter(found)
-        return [next(ready) if "<" not in r else self.split(r) for r in runs]
+        return [self.split(r) if o else next(ready) for r, o in zip(runs, odd, strict=True)]
+
+
+def _unassigned(text: str) -> bool:
+    return not text.isascii() and any(unicodedata.category(c) == "Cn" for c in text)
 
 
 def lower(text: str) -> str:
