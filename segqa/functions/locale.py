@@ -6,7 +6,6 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from segqa.functions.text import NOT_AFTER_WORD, WS, is_decimal_comma_name, let
-from segqa.functions.tokens import marked_parts
 
 # The note added by the rewrite, the decimal-dot number pattern and
 # the words after which a number is a structural reference.
@@ -29,15 +28,19 @@ def localize_decimals(text: Column) -> Column:
     t = F.coalesce(text, F.lit(""))
 
     def rewrite(parts: Column) -> Column:
-        def piece(part: Column, index: Column) -> Column:
+        """``gaps`` is the text around the numbers found: one more than there are numbers."""
+        gaps, found = parts["gaps"], parts["found"]
+
+        def piece(number: Column, index: Column) -> Column:
+            before = F.get(gaps, index)
             # ',' groups thousands and '.' is the decimal point in the matched form.
-            number = F.translate(part, ",.", " ,")
-            is_match = index % 2 == 1
-            return F.when(is_match & ~structural_guard(F.get(parts, index - 1)), number).otherwise(part)
+            local = F.translate(number, ",.", " ,")
+            return F.concat(before, F.when(structural_guard(before), number).otherwise(local))
 
-        return F.array_join(F.transform(parts, piece), "")
+        return F.concat(F.array_join(F.transform(found, piece), ""), F.element_at(gaps, -1))
 
-    return F.when(t.rlike(r"\p{Nd}\.\p{Nd}"), let(marked_parts(t, _NUMBER), rewrite)).otherwise(t)
+    parts = F.struct(F.split(t, _NUMBER, -1).alias("gaps"), F.regexp_extract_all(t, F.lit(_NUMBER), F.lit(0)).alias("found"))
+    return F.when(t.rlike(r"\p{Nd}\.\p{Nd}"), let(parts, rewrite)).otherwise(t)
 
 
 def with_note(notes: Column, note: Column) -> Column:

@@ -95,7 +95,8 @@ def undo_decisions(
     """Take decisions back (R8): notes removed, confidence medium, segments unresolved again.
 
     Edited texts stay as they are. The unresolved list carries ``order_index`` for its
-    order; the caller clears outputs and sets the job to needs_human_review.
+    order, nulls last: ids without a segment have none. The caller clears outputs and sets
+    the job to needs_human_review.
     """
     undone = decisions.select(*KEYS).distinct().withColumn("__undo", F.lit(True))
     rows = translations.join(undone, KEYS, "left")
@@ -110,6 +111,4 @@ def undo_decisions(
     )
     known = segments.select(*KEYS, "order_index")
     back = undone.select(*KEYS).join(known, KEYS)
-    # Ids without a segment sort last.
-    open_now = unresolved.select(*KEYS).join(known, KEYS, "left").unionByName(back).distinct()
-    return after, open_now.withColumn("order_index", F.coalesce("order_index", F.lit(10**9)))
+    return after, unresolved.select(*KEYS).join(known, KEYS, "left").unionByName(back).distinct()

@@ -175,8 +175,9 @@ def translate_distinct(routed: DataFrame, translator: Translator, target_languag
     """Translate each distinct missing text of the corpus once and hand copies to all others.
 
     The translator sees one representative per text, the first by (job, order). Its own
-    row keeps the translation as returned; the first occurrence in any other job reuses
-    it as from the persistent cache, later ones as from the first segment of their job.
+    row keeps the translation as returned and stays a miss; the first occurrence in any other
+    job reuses it as from the persistent cache and is routed so, later ones as from the first
+    segment of their job.
     """
     todo = routed.where(F.col("route").isin("miss", "duplicate"))
     # Blank texts carry their segment id as key, so the job keeps them apart.
@@ -213,7 +214,9 @@ def translate_distinct(routed: DataFrame, translator: Translator, target_languag
         .when(own_job, copy_translation(made, in_job))
         .otherwise(let(abroad, lambda a: copy_translation(a, in_job)))
     )
-    return rows.withColumn("translation", result).select(*[c for c in routed.columns if c != "translation"], "translation")
+    route = F.when((F.col("route") == "miss") & ~own_job, "persistent").otherwise(F.col("route"))
+    made_rows = rows.withColumn("translation", result).withColumn("route", route)
+    return made_rows.select(*[c for c in routed.columns if c != "translation"], "translation")
 
 
 def translate_corpus(
@@ -228,7 +231,7 @@ def translate_corpus(
 
 
 def reuse_counters(routed: DataFrame) -> DataFrame:
-    """Hits and misses per job (M10); later copies of a translated text count as memory hits."""
+    """Hits and misses per job (M10) of a translated corpus; later copies of a translated text count as memory hits."""
     route = F.col("route")
     return routed.groupBy("job_id").agg(
         F.count_if(route.isin("memory", "duplicate")).alias("memory_hits"),

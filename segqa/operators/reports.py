@@ -12,6 +12,7 @@ from segqa.plans.scale import CHUNK, number_rows, skew_join
 
 KEYS = ["job_id", "segment_id"]
 FINISHED = ("completed", "completed_with_output_warnings")
+# The names of the metrics of a report.
 METRICS = (
     "segments_total", "segments_human_review_required", "deterministic_issues", "critical_deterministic_issues",
     "review_findings", "critical_or_major_review_findings", "translation_memory_hits",
@@ -200,10 +201,11 @@ def missing_segments(texts: DataFrame, translations: DataFrame) -> DataFrame:
     contains its own start, so the prefix alone decides. Output texts of usual size
     are searched in place. Longer ones are cut into blocks and turned into distinct
     fragments of exactly the lengths asked for, so that finding a prefix is an
-    equality join however many segments or however much text a job has.
+    equality join however many segments or however much text a job has. Both ways give the
+    same rows; a null or blank text holds no translation.
     """
     is_long = F.length("text") > DIRECT_TEXT
-    output = texts.select("job_id", F.lower(normalize_ws(F.col("text"))).alias("out"), is_long.alias("long"))
+    output = texts.select("job_id", F.lower(normalize_ws(F.coalesce("text", F.lit("")))).alias("out"), F.coalesce(is_long, F.lit(False)).alias("long"))
     expected = _expected_prefixes(translations)
     located = skew_join(
         expected,
@@ -212,14 +214,12 @@ def missing_segments(texts: DataFrame, translations: DataFrame) -> DataFrame:
         counts=translations.groupBy("job_id").agg(F.count(F.lit(1)).alias("n")),
     )
     near = located.where(~F.col("long") & ~F.contains(F.col("out"), F.col("prefix"))).select(*KEYS)
-    # Without a long text the index is not needed.
-    if texts.where(is_long).isEmpty():
-        return near
     far = located.where("long").select(*KEYS, "prefix")
 
     wanted = far.select("job_id", "prefix").distinct()
     lengths = wanted.groupBy("job_id").agg(F.collect_set(F.length("prefix")).alias("lengths"))
-    starts = F.sequence(F.lit(1), F.length("out"), F.lit(TEXT_BLOCK))
+    # A long text may still be blank, and has no block then.
+    starts = F.filter(F.sequence(F.lit(1), F.length("out") + 1, F.lit(TEXT_BLOCK)), lambda at: at <= F.length("out"))
     # A block reaches over its end so that fragments across the border stay whole.
     blocks = output.where("long").select("job_id", "out", F.explode(starts).alias("at")).select(
         "job_id", "at", F.substring("out", F.col("at"), F.lit(TEXT_BLOCK + PREFIX - 1)).alias("block")
@@ -243,8 +243,8 @@ def missing_segments(texts: DataFrame, translations: DataFrame) -> DataFrame:
 def verify_output(texts: DataFrame, translations: DataFrame) -> DataFrame:
     """One verdict per job with an output text (A7, A8); the missing ids are in :func:`missing_segments`."""
     lost = missing_segments(texts, translations).groupBy("job_id").agg(F.count(F.lit(1)).alias("missing"))
-    leaks = placeholder_leaks(F.col("text"))
-    return texts.select("job_id", F.length("text").alias("extracted_text_chars"), leaks.alias("placeholder_leaks")).join(
+    leaks = placeholder_leaks(F.coalesce("text", F.lit("")))
+    return texts.select("job_id", F.length(F.coalesce("text", F.lit(""))).alias("extracted_text_chars"), leaks.alias("placeholder_leaks")).join(
         lost, "job_id", "left"
     ).select(
         "job_id",

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from segqa.config import JobConfig
-from segqa.functions.glossary import prompt_terms
+from segqa.functions.glossary import prompt_block
 from segqa.functions.rules import (
     FINDING_TYPE,
     PROPOSAL_NOTE,
@@ -152,7 +152,7 @@ def prompt_payload(segments: DataFrame, terms: Sequence[Term], config: JobConfig
         F.lit(config.domain).alias("domain"),
         F.lit(config.mode).alias("mode"),
         F.struct(*[c for c in segments.columns if c not in ("translation", "findings", "job_id")]).alias("segment"),
-        F.lit(prompt_terms(terms, config.target_language)).alias("glossary"),
+        prompt_block(terms, config.target_language).alias("glossary"),
     ]
     if "translation" in segments.columns:
         parts.append(F.col("translation").alias("current_translation" if instruction else "translation"))

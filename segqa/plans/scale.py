@@ -17,10 +17,10 @@ from pyspark.sql import Window as W
 
 # Rows of one group handled by one window partition.
 CHUNK = 8192
-# A join key is hot from this many rows on; the HOT_KEYS largest ones are salted.
+# A join key is hot from this many rows on, and is dealt to one join key for each so many rows.
 HOT_FLOOR = 200_000
-HOT_KEYS = 1000
-SALTS = 64
+# The keys that are salted; any other holds less than one part in HOT_KEYS of all rows.
+HOT_KEYS = 10_000
 
 
 def row_count_within(df: DataFrame, limit: int) -> bool:
@@ -29,22 +29,22 @@ def row_count_within(df: DataFrame, limit: int) -> bool:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Repartition a table whose few splits would leave most cores idle.
+    """Deal a table of a single split, which is at most one split's size, to all cores.
 
-    Tables with enough splits, as any large one has, are returned as they are.
+    Tables of more splits are returned as they are, whatever the number of cores.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() * 2 <= cores else df
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if df.rdd.getNumPartitions() == 1 else df
 
 
 def hot_keys(counts: DataFrame, on: Sequence[str]) -> DataFrame | None:
-    """Keys of ``counts(on..., n)`` with more than ``HOT_FLOOR`` rows, largest first.
+    """Keys of ``counts(on..., n)`` with more than ``HOT_FLOOR`` rows and their number of salts, largest first.
 
     At most ``HOT_KEYS`` of them: any further key holds less than 1/HOT_KEYS of all rows.
     This short list is the only thing that passes through the driver.
     """
     on = list(on)
-    top = counts.where(F.col("n") > HOT_FLOOR).orderBy(F.desc("n")).limit(HOT_KEYS).select(*on)
+    salts = F.ceil(F.col("n") / HOT_FLOOR).cast("int").alias("__salts")
+    top = counts.where(F.col("n") > HOT_FLOOR).orderBy(F.desc("n")).limit(HOT_KEYS).select(*on, salts)
     rows = top.collect()
     return counts.sparkSession.createDataFrame(rows, top.schema) if rows else None
 
@@ -61,8 +61,9 @@ def skew_join(
     """Join rows to a table that has one row per key, salting the hot keys of ``big``.
 
     Hot keys come from a count on the key columns (``counts``: keys plus ``n``, when the
-    caller has it already). Their rows are spread over ``SALTS`` join keys, and the one
-    matching row of ``small`` is repeated that often. Without hot keys it is a plain join.
+    caller has it already). Their rows are spread over as many join keys as they have
+    ``HOT_FLOOR`` rows, and the one matching row of ``small`` is repeated that often. Without
+    hot keys it is a plain join.
     """
     on = list(on)
     if counts is None:
@@ -70,11 +71,11 @@ def skew_join(
     hot = hot_keys(counts, on)
     if hot is None:
         return big.join(small, on, how)
-    hot = F.broadcast(hot.withColumn("__hot", F.lit(True)))
-    spread = F.when(F.col("__hot"), F.pmod(F.xxhash64(*spread_by), F.lit(SALTS)).cast("int")).otherwise(F.lit(0))
-    copies = F.when(F.col("__hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
-    salted_big = big.join(hot, on, "left").withColumn("__salt", spread).drop("__hot")
-    salted_small = small.join(hot, on, "left").withColumn("__salt", F.explode(copies)).drop("__hot")
+    hot = F.broadcast(hot)
+    spread = F.coalesce(F.pmod(F.xxhash64(*spread_by), F.col("__salts")).cast("int"), F.lit(0))
+    copies = F.sequence(F.lit(0), F.coalesce("__salts", F.lit(1)) - 1)
+    salted_big = big.join(hot, on, "left").withColumn("__salt", spread).drop("__salts")
+    salted_small = small.join(hot, on, "left").withColumn("__salt", F.explode(copies)).drop("__salts")
     return salted_big.join(salted_small, [*on, "__salt"], how).drop("__salt")
 
 

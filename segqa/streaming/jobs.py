@@ -5,7 +5,6 @@ from __future__ import annotations
 import logging
 from collections.abc import Callable, Sequence
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
@@ -21,8 +20,8 @@ from segqa.sources.glossary import Term
 
 log = logging.getLogger(__name__)
 KEYS = ["job_id", "segment_id"]
-# Room for this many blocks per page in a stream's order index.
-PAGE_STRIDE = 1 << 20
+# Room in a stream's order index for every position that the array of a page's blocks can have.
+PAGE_STRIDE = 1 << 32
 
 
 def stream_segments(pages: DataFrame) -> DataFrame:
@@ -43,11 +42,12 @@ def stream_segments(pages: DataFrame) -> DataFrame:
 
 
 def _earlier(spark: SparkSession, root: str, epoch: int) -> DataFrame | None:
-    """Results of earlier micro-batches; a replayed batch does not see its own output."""
-    try:
-        return spark.read.option("basePath", root).parquet(f"{root}/epoch=*").where(F.col("epoch") < epoch)
-    except AnalysisException:
-        return None
+    """Results of earlier micro-batches; a replayed batch does not see its own output.
+
+    Every batch writes its folder, so only the first has nothing before it; a history that
+    can't be read is an error.
+    """
+    return read_results(spark, root).where(F.col("epoch") < epoch) if epoch else None
 
 
 def process_batch(

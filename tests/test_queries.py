@@ -26,8 +26,8 @@ def duck(sf_dir):
 
 
 def test_every_query_has_sql():
-    """Those of the optional subpackage are tested with it, by brute force where SQL can't say them."""
-    assert set(QUERIES) == set(oracle_sql())
+    """Tokens of free text are compared with a plain scan instead, in test_tokens.py."""
+    assert set(QUERIES) - set(oracle_sql()) == {"t1_tokens_documents", "t4_token_inventory_documents"}
 
 
 @pytest.mark.parametrize("name", CHECKED)

@@ -128,5 +128,41 @@ def test_hot_text_is_routed_alike_with_and_without_salting(spark, monkeypatch):
     plain = run()
     monkeypatch.setattr(scale, "HOT_FLOOR", 50)
     assert run() == plain and len(plain) == 900
-    # Fifty numbered texts and one page mark per job; "t1" of job 1 is known already.
-    assert sum(route == "miss" for _, route, _, _ in plain) == 2 * 51 - 1
+    # Fifty numbered texts per job and one page mark, which job 1 reuses; "t1" of job 1 is known already.
+    assert sum(route == "miss" for _, route, _, _ in plain) == 2 * 50 + 1 - 1
+    assert sum(route == "persistent" for _, route, _, _ in plain) == 1
+
+
+def test_blank_and_null_outputs_hold_no_translation(spark, monkeypatch):
+    texts = spark.createDataFrame([(1, " " * 200), (2, None), (3, "Wynik 1 mg"), (4, "")], "job_id int, text string")
+    wanted = spark.createDataFrame([(j, "s", "Wynik 1 mg") for j in (1, 2, 3, 4)], "job_id int, segment_id string, translated_text string")
+    for direct in (reports.DIRECT_TEXT, 5):
+        monkeypatch.setattr(reports, "DIRECT_TEXT", direct)
+        assert sorted(reports.missing_segments(texts, wanted).collect()) == [(1, "s"), (2, "s"), (4, "s")]
+        done = {r.job_id: r for r in reports.verify_output(texts, wanted).collect()}
+        assert [done[j].ok for j in (1, 2, 3, 4)] == [False, False, True, False]
+        assert done[2].missing_segments == 1 and done[2].extracted_text_chars == 0
+
+
+def test_salts_follow_the_rows_of_a_key(spark, monkeypatch):
+    monkeypatch.setattr(scale, "HOT_FLOOR", 50)
+    counts = spark.createDataFrame([(0, 400), (1, 51), (2, 50)], "job_id bigint, n bigint")
+    assert sorted(scale.hot_keys(counts, ["job_id"]).collect()) == [(0, 8), (1, 2)]
+
+
+def test_shared_folder_is_needed_on_a_cluster(spark):
+    class Conf:
+        def get(self, name, default=None):
+            return default
+
+    class Context:
+        master = "spark://somewhere:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        conf, sparkContext = Conf(), Context()
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        scale.shared_dir(Session())

@@ -1,9 +1,13 @@
-import regex
+import re
+from collections import Counter
+
 from pyspark.sql import functions as F
 
-from segqa.functions.locale import localize_decimals
+import __spark_entry__ as entry
+from segqa import fixtures as fx
+from segqa.functions.locale import apply_locale, localize_decimals
 from segqa.functions.text import casefold, normalize_ws
-from segqa.functions.tokens import PATTERNS, extract_tokens
+from segqa.functions.tokens import extract_tokens
 
 TRICKY = [
     "Overall migration was < 10 mg/dm² at 40°C for 10 days. CAS 123-45-6, EN 1186, ND.",
@@ -15,10 +19,25 @@ TRICKY = [
 ]
 
 
+# The kinds once more, written apart from the engine for another engine, in priority order.
+KINDS = [
+    ("cas", r"\b\d{2,7}-\d{2}-\d\b"),
+    ("regulation", r"(?i)\bRegulation\s*\((?:EU|EC)\)\s*No\.?\s*\d+/\d+\b"),
+    ("standard", r"(?i)\b(?:EN|ISO|DIN|ASTM)\s*\d+(?:[-:/]\d+)*(?:\s*[:/]\s*\d+)?\b"),
+    ("regulation", r"(?i)\b(?:EU|EC)\s*No\.?\s*\d+/\d+\b"),
+    ("date", r"\b\d{4}-\d{2}-\d{2}\b"),
+    ("abbreviation", r"(?i)\b(?:ND|N/A|NA|LOQ|LOD|SML|OML)\b"),
+    ("formula", r"\b(?=[A-Z0-9]*\d)(?:[A-Z][a-z]?\d*){2,}\b"),
+    ("comparator", r"[≤≥<>=±]"),
+    ("unit", r"(?i)\b(?:mg/dm[2²]|mg/kg|µg/kg|ug/kg|g/m[2²]|kg|mg|µg|ug|ppm|ppb|days?|hours?|hrs?|min|s)\b|°C|%"),
+    ("number", r"(?<![A-Za-z0-9/-])(?:\d{1,3}(?:[ ,]\d{3})+|\d+)(?:[.,]\d+)?(?![A-Za-z0-9/-])"),
+]
+
+
 def _by_hand(text):
     kept = []
-    for kind, _, pattern in PATTERNS:
-        for match in regex.finditer(pattern, text, regex.V1):
+    for kind, pattern in KINDS:
+        for match in re.finditer(pattern, text):
             if all(match.end() <= a or match.start() >= b for a, b, _, _ in kept):
                 kept.append((match.start(), match.end(), kind, match.group()))
     return sorted(kept)
@@ -64,3 +83,28 @@ def test_text_columns_agree_with_python(spark):
     for r in rows:
         assert r.n == " ".join(r.t.split())
         assert r.c == r.t.casefold()
+
+
+def test_localizing_keeps_separator_characters(spark):
+    text = "a\x1fb see Section 1.2"
+    number = "x\x1f 1,234.5 \x1e 0.05\x1f"
+    got = spark.createDataFrame([(text,), (number,)], "t string").select(apply_locale(F.col("t"), F.array(F.lit("n")), "Polish").alias("d")).collect()
+    assert got[0].d.translated_text == text and got[0].d.translator_notes == ["n"]
+    assert got[1].d.translated_text == "x\x1f 1 234,5 \x1e 0,05\x1f" and len(got[1].d.translator_notes) == 2
+
+
+def test_token_queries_over_documents_equal_a_plain_scan(spark, sf_dir):
+    lines = fx.doc_segments(spark, sf_dir).select("job_id", "segment_id", "source_text").collect()
+    tokens = Counter()
+    inventory = {}
+    for r in lines:
+        for _, _, kind, text in _by_hand(r.source_text):
+            tokens[r.job_id, r.segment_id, kind] += 1
+            inventory.setdefault(kind, []).append((r.job_id, r.segment_id))
+    got = entry.queries()["t1_tokens_documents"](spark, sf_dir).collect()
+    assert {(r.job_id, r.segment_id, r.kind): r.tokens for r in got} == tokens and len({k for _, _, k in tokens}) > 2
+    rows = entry.queries()["t4_token_inventory_documents"](spark, sf_dir).collect()
+    assert {r.kind for r in rows} == set(inventory)
+    for kind, places in inventory.items():
+        own = [r for r in rows if r.kind == kind]
+        assert sum(r.occurrences for r in own) == len(places)

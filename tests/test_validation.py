@@ -1,7 +1,7 @@
 from pyspark.sql import functions as F
 
 from segqa import fixtures as fx
-from segqa.functions.glossary import prompt_terms, relevant_terms
+from segqa.functions.glossary import prompt_block, relevant_terms
 from segqa.functions.rules import rule_translate
 from segqa.operators import validation
 from segqa.sources.glossary import load_terms
@@ -40,9 +40,10 @@ def test_glossary_is_enforced_for_polish_only(spark):
     assert [(i.issue_type, i.translated_value) for i in forbidden] == [("forbidden_term", "ogólna migracja")]
 
 
-def test_prompt_terms_name_anchors_for_other_languages():
-    assert "domain concept anchor" in prompt_terms(fx.terms(), "German")
-    assert prompt_terms(fx.terms()).splitlines()[0].startswith("- overall migration -> migracja globalna (alternatives=")
+def test_prompt_lines_name_anchors_for_other_languages(spark):
+    german, polish = spark.range(1).select(prompt_block(fx.terms(), "German"), prompt_block(fx.terms(), "Polish")).first()
+    assert "domain concept anchor" in german
+    assert polish.splitlines()[0].startswith("- overall migration -> migracja globalna (alternatives=")
 
 
 def test_glossary_defaults(tmp_path):

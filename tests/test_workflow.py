@@ -268,4 +268,18 @@ def test_reports_are_written_as_json(spark, tmp_path):
 def test_language_options():
     from segqa.sources.languages import LANGUAGES, options_with_current
 
-    assert options_with_current("Klingon")[0] == "Klingon" and options_with_current("Polish") == list(LANGUAGES)
+    assert options_with_current("Klingon")[0] == "Klingon" and options_with_current("Polish") == LANGUAGES
+
+
+def test_text_of_an_earlier_job_counts_as_persistent(spark):
+    segs = spark.createDataFrame(
+        [(j, f"s{i}", i, t) for j in (1, 2) for i, t in enumerate(["Same text", "Same  text", f"Own {j}"])],
+        "job_id bigint, segment_id string, order_index bigint, source_text string",
+    )
+    known = segs.limit(0).select("job_id", "segment_id", fx.as_translation(F.lit("x")).alias("translation"))
+    cache = spark.createDataFrame([], memory.CACHE_COLUMNS)
+    done = memory.translate_corpus(segs, known, cache, fx.PrefixTranslator(), fx.REUSE_CONFIG)
+    counted = {r.job_id: (r.memory_hits, r.persistent_hits, r.misses) for r in memory.reuse_counters(done).collect()}
+    assert counted == {1: (1, 0, 2), 2: (1, 1, 1)}
+    notes = {(r.job_id, r.segment_id): r.translation.translator_notes for r in done.collect()}
+    assert "persistent cache job 1" in " ".join(notes[2, "s0"])
