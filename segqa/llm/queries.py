@@ -11,10 +11,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from segqa.llm import bpe, chat, langid, lattice, line_dedup, packing, quality, secret_scan, sharding, simhash
+from segqa.llm.oracles import ORACLES
+
+__all__ = ["ORACLES", "QUERIES"]
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
-ORACLES: dict[str, str] = {}
 
 CAPACITY = 4096
 
@@ -91,8 +93,8 @@ def op6_lattice_near_dedup(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def op7_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
     docs = _table(spark, sf, "documents").select("doc_id", "text", "lang")
-    scored = quality.score(docs, quality.references(docs))
-    return scored.drop("text", "lang")
+    scored = quality.score(docs, quality.references(docs)).drop("text", "lang")
+    return scored.withColumns({c: F.round(c, 6) for c in ("word_distance", "class_distance")})
 
 
 @query

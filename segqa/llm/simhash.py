@@ -12,6 +12,11 @@ its members candidates; it is never turned into pairs. Candidates are confirmed
 the points around them: two fingerprints differ in at most ``2 r`` bits exactly if some
 point is within ``r`` bits of both, and few fingerprints can lie around a point. An odd
 radius is confirmed with the one fingerprint flipped further than the other.
+
+Fingerprints alone say little about short texts. Where a similarity of shingle sets is asked for,
+they only propose: they are taken over distinct words then, which a changed word moves
+little, each text is compared with the representative of each of its buckets, and the
+similarity of the whole shingle sets decides.
 """
 
 from __future__ import annotations
@@ -22,7 +27,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from segqa.llm.arrow import with_fields
@@ -57,6 +62,28 @@ def fingerprint(text: str | None, width: int) -> int:
     return int(np.packbits(2 * ones > len(stops), bitorder="little").view("<i8")[0])
 
 
+def _majority(hashes: np.ndarray) -> int:
+    """Signed number of the bits that more than half of the hashes have set."""
+    ones = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<i8")[0])
+
+
+def shingle_set(text: str | None, width: int) -> np.ndarray:
+    """Distinct shingle hashes of a text in ascending order; fewer words make one shingle, no words none."""
+    words = (text or "").encode("utf-8").lower().split()
+    shingles = {b" ".join(words[i : i + width]) for i in range(max(1, len(words) - width + 1))} if words else ()
+    return np.array(sorted(xxhash.xxh64_intdigest(s, 42) for s in shingles), "<u8").view("<i8")
+
+
+def word_fingerprint(text: str | None) -> tuple[int, int]:
+    """Hash of the words in order, and fingerprint of the distinct ones; case and white space play no part."""
+    words = (text or "").encode("utf-8").lower().split()
+    whole = signed(xxhash.xxh64_intdigest(b" ".join(words), 42))
+    if not words:
+        return whole, 0
+    return whole, _majority(np.array([xxhash.xxh64_intdigest(w, 42) for w in set(words)], "<u8"))
+
+
 def with_fingerprint(df: DataFrame, text_col: str, width: int, name: str = "fp") -> DataFrame:
     """Add the fingerprint as a long; a column of that name is replaced, all others and all rows stay."""
     base = df.drop(name)
@@ -138,3 +165,69 @@ def near_duplicates(df: DataFrame, id_col: str, text_col: str, width: int = 5, r
     verdict = materialize(nodes.join(moved, "fp", "left").select("fp", F.coalesce("moved", "first").alias("component")))
     # Both sides are shuffled from tables, so the rows of a frequent fingerprint can be split.
     return rows.join(verdict, "fp").select("id", "fp", "component")
+
+
+def _key(id_col: str, text_col: str) -> Column:
+    """Orders rows by id, null last, then by text."""
+    return F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.xxhash64(text_col).alias("hash"))
+
+
+def _proposed(nodes: DataFrame, radius: int) -> DataFrame:
+    """``(a, b)``: nodes within ``radius`` bits, each with the representative of a bucket they share."""
+    masks = F.array(*[F.lit(m) for m in covering_masks(radius)])
+    entered = nodes.select("node", F.explode(F.transform(masks, lambda m: F.xxhash64(m, F.col("fp").bitwiseAND(m)))).alias("bucket"))
+    # Another representative in every bucket, so that those of a group do not all fall on one text.
+    chosen = entered.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("node", "bucket").alias("h"), "node")).alias("first"), F.count(F.lit(1)).alias("n"))
+    chosen = materialize(chosen.where("n > 1").select("bucket", F.col("first.node").alias("rep")))
+    pairs = entered.join(chosen, "bucket").where("node <> rep").select(F.least("node", "rep").alias("a"), F.greatest("node", "rep").alias("b"))
+    pairs = materialize(pairs.distinct())
+    left = nodes.select(F.col("node").alias("a"), F.col("fp").alias("fa"))
+    right = nodes.select(F.col("node").alias("b"), F.col("fp").alias("fb"))
+    close = F.bit_count(F.col("fa").bitwiseXOR(F.col("fb"))) <= radius
+    return pairs.join(left, "a").join(right, "b").where(close).select("a", "b")
+
+
+def keep_first(docs: DataFrame, id_col: str, text_col: str, width: int = 5, least: float = 0.8, radius: int = 6) -> DataFrame:
+    """One row of each group of near-duplicates: that with the smallest id, null ids last; same columns.
+
+    Texts are linked if the sets of their ``width``-word shingles have a Jaccard similarity of ``least``
+    or more; groups are what links connect. Texts that differ in case or white space only are
+    alike, and so are all texts without words, null included. Rows that repeat id and text are one
+    group; of these the one whose columns hash lowest stays.
+    """
+    key = _key(id_col, text_col)
+    rows = docs.select(key.alias("key"), F.col(text_col))
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [word_fingerprint(t.as_py()) for t in batch.column(1)]
+            made = [pa.array([f[n] for f in found], pa.int64()) for n in (0, 1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *made], names=["key", "node", "fp"])
+
+    scanned = rows.mapInArrow(scan, with_fields(rows.select("key").schema, "node long, fp long"))
+    # Texts alike are one node before anything is compared.
+    nodes = materialize(scanned.groupBy("node").agg(F.min("key").alias("first"), F.min("fp").alias("fp")))
+    proposed = materialize(_proposed(nodes, radius))
+
+    def shingle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = pa.array([shingle_set(t.as_py(), width) for t in batch.column(1)], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), made], names=["node", "shingles"])
+
+    asked = materialize(proposed.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes, "node").select("node", F.col("first").alias("key")))
+    # Rows alike in id and text meet here once more.
+    texts = rows.join(asked, "key").select("node", text_col)
+    sets = materialize(texts.mapInArrow(shingle, "node long, shingles array<long>").dropDuplicates(["node"]))
+    a = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa"))
+    b = sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
+    both = F.size(F.array_intersect("sa", "sb"))
+    alike = both >= least * (F.size("sa") + F.size("sb") - both)
+    edges = proposed.join(a, "a").join(b, "b").where(alike).select("a", "b")
+
+    roots = components(edges).select("node", "root")
+    groups = materialize(nodes.join(roots, "node", "left").select(F.coalesce("root", "node").alias("group"), "first"))
+    kept = materialize(groups.groupBy("group").agg(F.min("first").alias("__key")).select("__key"))
+    # Key by key: rows that repeat an id and a text come down to one.
+    order = F.row_number().over(Window.partitionBy("__key").orderBy(F.xxhash64(*docs.columns)))
+    found = docs.withColumn("__key", key).join(kept, "__key", "left_semi").withColumn("__n", order)
+    return found.where("__n = 1").select(*docs.columns)

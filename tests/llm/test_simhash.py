@@ -94,3 +94,45 @@ def test_near_duplicates_with_odd_rows(spark):
     assert [v for (i, fp), v in got.items() if i == 4] == [4]
     assert [v for (i, fp), v in got.items() if i is None and fp] == [None]
     assert simhash.near_duplicates(df.limit(0), "doc_id", "text").count() == 0
+
+
+def jaccard(a, b, width=5):
+    def shingles(t):
+        words = (t or "").lower().split()
+        return {tuple(words[i : i + width]) for i in range(max(1, len(words) - width + 1))} if words else set()
+
+    a, b = shingles(a), shingles(b)
+    return 1.0 if not a and not b else len(a & b) / len(a | b)
+
+
+def test_keep_first_keeps_one_of_each_group(spark):
+    rnd = random.Random(8)
+    texts = []
+    for g in range(25):
+        words = [f"g{g}w{rnd.randrange(500)}" for _ in range(rnd.randrange(60, 250))]
+        texts.append(" ".join(words))
+        for _ in range(rnd.randrange(4)):
+            changed = list(words)
+            for _ in range(rnd.randrange(0, 4)):
+                changed[rnd.randrange(len(words))] = f"new{rnd.randrange(10**6)}"
+            texts.append(" ".join(changed))
+    ids = list(range(len(texts)))
+    rnd.shuffle(ids)
+    rows = list(zip(ids, texts, strict=True))
+    near = [(a, b) for (a, x), (b, y) in combinations(rows, 2) if jaccard(x, y) >= 0.8]
+    expected = smallest_reachable(ids, near)
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("key", F.lit("clash"))
+    got = simhash.keep_first(df, "doc_id", "text")
+    assert got.columns == df.columns
+    kept = {r.doc_id for r in got.collect()}
+    heads = {i for i in ids if expected[i] == i}
+    # None that should stay goes; of the rest nearly all go.
+    assert heads <= kept and len(kept - heads) <= 0.05 * (len(ids) - len(heads))
+
+
+def test_keep_first_with_odd_rows(spark):
+    rows = [(3, None, "a"), (2, " ", "b"), (None, "", "c"), (5, "Few words", "d"), (4, "few  WORDS", "e"), (4, "few  WORDS", "f"), (None, "only here", "g"), (None, "only here", "g")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, fp string")
+    got = sorted(((r.doc_id, r.text) for r in simhash.keep_first(df, "doc_id", "text").collect()), key=str)
+    assert got == sorted([(2, " "), (4, "few  WORDS"), (None, "only here")], key=str)
+    assert simhash.keep_first(df.limit(0), "doc_id", "text").count() == 0
