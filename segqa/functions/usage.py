@@ -22,10 +22,24 @@ def estimate_tokens(text: Column) -> Column:
     return F.greatest(F.lit(1), F.floor(F.length(text) / 4).cast("int"))
 
 
+# A response with all these places, read in one pass; counts may be numbers or strings.
+_COUNTS = "struct<" + ",".join(f"{n}:string" for n in (*INPUT_NAMES, *OUTPUT_NAMES, *TOTAL_NAMES)) + ">"
+_RESPONSE = (
+    f"usage_metadata {_COUNTS}, token_usage {_COUNTS}, usage {_COUNTS}, "
+    f"response_metadata struct<token_usage:{_COUNTS},usage:{_COUNTS}>"
+)
+
+
+def _at(response: Column, path: str) -> Column:
+    for name in path.removeprefix("$.").split("."):
+        response = response[name]
+    return response
+
+
 def _first_count(usage: Column, names: tuple[str, ...]) -> Column:
     """First of ``names`` that holds a number; fractions are cut, absent counts are 0."""
     def number(name: str) -> Column:
-        value = F.get_json_object(usage, f"$.{name}")
+        value = usage[name]
         return F.when(value.rlike(r"^-?\d+(\.\d+)?$"), value.cast("double").cast("bigint"))
 
     return F.coalesce(*[number(n) for n in names], F.lit(0).cast("bigint"))
@@ -48,7 +62,7 @@ def _usable(usage: Column) -> Column:
 
 def extract_usage(raw: Column, provider: str, model: str, operation: str) -> Column:
     """Usage struct from a raw response in JSON, or null when it reports none."""
-    found = F.coalesce(*[_usable(F.get_json_object(raw, path)) for path in USAGE_PATHS])
+    found = let(F.from_json(raw, _RESPONSE), lambda r: F.coalesce(*[_usable(_at(r, path)) for path in USAGE_PATHS]))
     return let(
         found,
         lambda u: F.when(

@@ -1,11 +1,10 @@
 """Operator phrase memory.
 
-Matching a translation against the memory is a substring test against every phrase
-of its language pair. The phrases of a pair are folded into one small "book" row;
-each segment then filters, ranks and applies the book inside its own row, so
-matching neither explodes nor shuffles the segments. The size of the memory is
-checked first: above ``BOOK_LIMIT`` phrases it is cut into several books, each below
-the limit, and every book is tried.
+A phrase applies to a translation that contains its wording, or to a source text that equals
+its own. Both are found by equality joins, whatever the size of the memory: a phrase is
+filed under one short piece of its wording, a text is looked up under all its pieces of
+that length, and what meets is verified. The newest few matches of a segment then
+become one array, which the rest of the work folds over inside the row.
 """
 
 from __future__ import annotations
@@ -14,6 +13,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from segqa.config import JobConfig
 from segqa.functions.glossary import strings
@@ -22,7 +22,7 @@ from segqa.functions.rules import finding, merge_verdict, translation
 from segqa.functions.text import casefold, clean_phrase, let, normalize_phrase, normalize_ws, strip_ws
 from segqa.operators.memory import touch_by_key, upsert_by_key
 from segqa.operators.validation import pair_issues
-from segqa.plans.scale import row_count_within, skew_join
+from segqa.plans.scale import skew_join
 from segqa.sources.glossary import Term
 
 PHRASE_COLUMNS = (
@@ -35,8 +35,12 @@ _REPLACED = [
     "normalized_source", "normalized_preferred", "source_text", "replace_text", "preferred_text", "approved_text",
     "origin_job_id", "origin_segment_id",
 ]
+SEGMENT = ["job_id", "segment_id"]
+# The newest phrases that are tried on a segment.
 MATCH_LIMIT = 5
-BOOK_LIMIT = 5_000
+# Characters of the piece that a phrase is filed under, and of the blocks that texts are cut from.
+PIECE = 8
+PIECE_BLOCK = 256
 
 
 def phrase_key(source_language: Column, target_language: Column, normalized_replace: Column) -> Column:
@@ -87,89 +91,74 @@ def phrase_count(memory: DataFrame) -> DataFrame:
     return memory.groupBy("source_language", "target_language").agg(F.count(F.lit(1)).alias("phrases"))
 
 
-def _newest_first(memory: DataFrame) -> Column:
-    """The phrases of a group, newest first; only usable ones, one per wording."""
-    entry = F.struct(
-        F.col("updated_at"), "cache_key", "normalized_source", "normalized_replace", "normalized_preferred",
-        "replace_text", "preferred_text", "approved_text",
-    )
-    usable = (F.col("normalized_replace") != "") & (F.col("normalized_preferred") != "")
-    return F.sort_array(F.collect_list(F.when(usable, entry)), asc=False)
-
-
-def phrase_books(memory: DataFrame, limit: int = BOOK_LIMIT) -> list[DataFrame]:
-    """Books ``(source_language, target_language, book)`` of at most about ``limit`` phrases each."""
-    pair = ["source_language", "target_language"]
-    if row_count_within(memory, limit):
-        parts = [memory]
-    else:
-        # Aim below the limit so that uneven hashing stays under it.
-        n = -(-memory.count() * 5 // (limit * 4))
-        part = F.pmod(F.xxhash64("cache_key"), F.lit(n))
-        parts = [memory.where(part == i) for i in range(n)]
-    return [p.groupBy(*pair).agg(_newest_first(p).alias("book")) for p in parts]
-
-
-def _matches(book: Column, source: Column, translated: Column, limit: int) -> Column:
-    """The newest ``limit`` phrases that apply to a pair, target phrases and long ones first (H2)."""
-    def pick(n: Column) -> Column:
-        def reason(p: Column) -> Column:
-            open_wording = ~F.contains(n["t"], p["normalized_preferred"])
-            return F.when(
-                open_wording & F.contains(n["t"], p["normalized_replace"]), F.lit("target_phrase")
-            ).when(
-                open_wording & (n["s"] != "") & (n["s"] == p["normalized_source"]), F.lit("source_exact")
-            )
+def pieces(text: Column, n: Column | int) -> Column:
+    """All pieces of ``n`` characters of a text, block by block, so that long texts stay linear."""
+    size = F.lit(n) if isinstance(n, int) else n
+    last = F.length(text) - size + 1
+    starts = F.filter(F.sequence(F.lit(1), F.greatest(last, F.lit(1)), F.lit(PIECE_BLOCK)), lambda at: at <= last)
 
-        applying = F.filter(book, lambda p: (n["t"] != "") & reason(p).isNotNull())
+    def block(at: Column) -> Column:
+        return let(F.substring(text, at, F.lit(PIECE_BLOCK) + size - 1), lambda b: F.transform(
+            F.sequence(F.lit(1), F.length(b) - size + 1), lambda i: F.substring(b, i, size)
+        ))
 
-        def ranked(p: Column, i: Column) -> Column:
-            why = reason(p)
-            return F.struct(
-                F.when(why == "target_phrase", 0).otherwise(1).alias("reason_rank"),
-                (-F.length(p["replace_text"])).alias("neg_len"),
-                i.cast("int").alias("pos"),
-                p["updated_at"].alias("updated_at"),
-                p["cache_key"].alias("cache_key"),
-                why.alias("reason"),
-                p["replace_text"].alias("replace_text"),
-                p["preferred_text"].alias("preferred_text"),
-                p["approved_text"].alias("approved_text"),
-            )
+    return F.flatten(F.transform(starts, block))
+
+
+def _wording_key(piece: Column) -> Column:
+    return F.xxhash64(F.lit("wording"), piece)
+
+
+def _source_key(source: Column) -> Column:
+    return F.xxhash64(F.lit("source"), source)
 
-        return F.transform(F.slice(applying, 1, limit), ranked)
 
-    return let(F.struct(normalize_phrase(source).alias("s"), normalize_phrase(translated).alias("t")), pick)
+def _filed(phrases: DataFrame) -> DataFrame:
+    """Phrases under a piece of their wording, and under their source text if they have one."""
+    size = F.least(F.length("normalized_replace"), F.lit(PIECE))
+    # Any piece would do; the choice by hash spreads phrases that share a common one.
+    piece = F.array_min(F.transform(pieces(F.col("normalized_replace"), size), lambda p: F.struct(F.xxhash64(p).alias("h"), p.alias("p"))))["p"]
+    keys = F.array_compact(F.array(_wording_key(piece), F.when(F.col("normalized_source") != "", _source_key(F.col("normalized_source")))))
+    return phrases.withColumn("key", F.explode(keys))
+
+
+def _looked_up(texts: DataFrame, sizes: Sequence[int]) -> DataFrame:
+    """Segments under all pieces of their translation and under their source text."""
+    wordings = [F.transform(pieces(F.col("t"), n), _wording_key) for n in sizes]
+    keys = F.array_distinct(F.concat(*wordings, F.array(_source_key(F.col("s")))))
+    return texts.select(*SEGMENT, F.explode(keys).alias("key"))
 
 
 def phrase_matches(pairs: DataFrame, memory: DataFrame, config: JobConfig, limit: int = MATCH_LIMIT) -> DataFrame:
-    """Pairs with ``matches``, an ordered array of at most ``limit`` applying phrases."""
-    lang = (F.col("source_language") == config.source_language) & (F.col("target_language") == config.target_language)
-    same_pair = memory.where(lang)
-    books = phrase_books(same_pair)
-    found = None
-    for book in books:
-        one = book.select("source_language", "target_language", "book")
-        with_book = pairs.withColumns({
-            "source_language": F.lit(config.source_language), "target_language": F.lit(config.target_language)
-        }).join(F.broadcast(one), ["source_language", "target_language"], "left")
-        hits = F.when(
-            F.col("book").isNotNull(), _matches(F.col("book"), F.col("source_text"), F.col("translated_text"), limit)
-        )
-        part = with_book.withColumn("matches", hits).drop("book", "source_language", "target_language")
-        found = part if found is None else found.unionByName(part)
-    if len(books) > 1:
-        # Several books: put the newest matches of all of them together again.
-        keys = ["job_id", "segment_id"]
-        some = found.select(*keys, F.explode("matches").alias("m"))
-        newest = F.slice(
-            F.sort_array(F.collect_list(F.struct(F.col("m.updated_at"), F.col("m.cache_key"), F.col("m").alias("m"))), asc=False),
-            1, limit,
-        )
-        merged = some.groupBy(*keys).agg(F.transform(newest, lambda x, i: x["m"].withField("pos", i.cast("int"))).alias("matches"))
-        found = pairs.join(merged, keys, "left")
-    ordered = F.sort_array(F.coalesce(F.col("matches"), F.expr(f"cast(array() as array<{_MATCH_FULL}>)")))
-    return found.withColumn("matches", ordered)
+    """Pairs with ``matches``, an ordered array of the newest ``limit`` applying phrases (H2).
+
+    Target phrases and long ones go first. Only usable phrases of the language pair count.
+    """
+    same_pair = (F.col("source_language") == config.source_language) & (F.col("target_language") == config.target_language)
+    usable = (F.col("normalized_replace") != "") & (F.col("normalized_preferred") != "")
+    phrases = memory.where(same_pair & usable)
+    # At most PIECE different sizes, however many phrases there are.
+    sizes = [r[0] for r in phrases.select(F.least(F.length("normalized_replace"), F.lit(PIECE))).distinct().collect()]
+    texts = pairs.select(*SEGMENT, normalize_phrase(F.col("source_text")).alias("s"), normalize_phrase(F.col("translated_text")).alias("t"))
+    texts = texts.where("t <> ''")
+    met = _looked_up(texts, sorted(sizes)).join(_filed(phrases), "key").join(texts, SEGMENT)
+
+    reason = F.when(F.contains("t", "normalized_replace"), F.lit("target_phrase")).when(
+        (F.col("s") != "") & (F.col("s") == F.col("normalized_source")), F.lit("source_exact")
+    )
+    applying = met.where(~F.contains("t", "normalized_preferred")).withColumn("reason", reason).where("reason is not null")
+    applying = applying.dropDuplicates([*SEGMENT, "cache_key"])
+    newest = W.partitionBy(*SEGMENT).orderBy(F.desc("updated_at"), F.desc("cache_key"))
+    kept = applying.withColumn("pos", F.row_number().over(newest) - 1).where(F.col("pos") < limit)
+    match = F.struct(
+        F.when(F.col("reason") == "target_phrase", 0).otherwise(1).alias("reason_rank"),
+        (-F.length("replace_text")).alias("neg_len"),
+        F.col("pos").cast("int").alias("pos"),
+        "updated_at", "cache_key", "reason", "replace_text", "preferred_text", "approved_text",
+    )
+    found = kept.groupBy(*SEGMENT).agg(F.sort_array(F.collect_list(match)).alias("matches"))
+    nothing = F.expr(f"cast(array() as array<{_MATCH_FULL}>)")
+    return pairs.join(found, SEGMENT, "left").withColumn("matches", F.coalesce("matches", nothing))
 
 
 _MATCH_FULL = (

@@ -12,11 +12,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from segqa.config import JobConfig
-from segqa.functions.glossary import prompt_block
+from segqa.functions.glossary import prompt_block, strings
 from segqa.functions.rules import (
     FINDING_TYPE,
     PROPOSAL_NOTE,
     TRANSLATION_TYPE,
+    USAGE_TYPE,
     relocale,
     rule_findings,
     rule_translate,
@@ -26,6 +27,9 @@ from segqa.functions.rules import (
 from segqa.functions.text import let
 from segqa.sources.glossary import Term
 
+# Fixed value: what a translator is told to do with a segment under revision.
+REVISE_INSTRUCTION = "Revise only the material issues. Preserve protected tokens."
+
 Batch = Callable[[pd.DataFrame], pd.DataFrame]
 
 
@@ -36,7 +40,7 @@ class Translator(Protocol):
 
 
 class Reviewer(Protocol):
-    """Adds ``findings`` and ``verdict`` to pairs with ``translated_text`` and ``confidence``."""
+    """Adds ``findings``, ``verdict`` and ``review_usage`` to pairs with ``translated_text`` and ``confidence``."""
 
     def review(self, pairs: DataFrame) -> DataFrame: ...
 
@@ -54,17 +58,22 @@ class RuleTranslator:
 class RuleReviewer:
     def review(self, pairs: DataFrame) -> DataFrame:
         found = rule_findings(F.col("source_text"), F.col("translated_text"), F.col("confidence"))
-        return pairs.withColumn("findings", found).withColumn("verdict", verdict(F.col("findings")))
+        usage = F.lit(None).cast(USAGE_TYPE)
+        return pairs.withColumn("findings", found).withColumn("verdict", verdict(F.col("findings"))).withColumn("review_usage", usage)
 
 
-def _call_in_batches(rows: DataFrame, open_client: Callable[[], Batch], schema: str, calls: int | None) -> DataFrame:
+def _call_in_batches(
+    rows: DataFrame, open_client: Callable[[], Batch], schema: str, optional: str, calls: int | None
+) -> DataFrame:
     """Send rows through an external client, one client per task, opened on the first row.
 
     The client returns one row per input row, in order; input columns, the segment id
-    among them, are always taken from the input. ``calls`` limits how many tasks call
-    the service at once; without it the current partitioning is kept.
+    among them, are always taken from the input. Columns of ``optional`` that it leaves out
+    are null. ``calls`` limits how many tasks call the service at once; without it the
+    current partitioning is kept.
     """
-    added = T.StructType.fromDDL(schema)
+    may_lack = T.StructType.fromDDL(optional).fieldNames()
+    added = T.StructType.fromDDL(f"{schema}, {optional}")
     names = added.fieldNames()
     out = T.StructType([f for f in rows.schema.fields if f.name not in names] + added.fields)
 
@@ -77,6 +86,7 @@ def _call_in_batches(rows: DataFrame, open_client: Callable[[], Batch], schema:
             result = client(batch)
             if len(result) != len(batch):
                 raise ValueError("a client must return one row per input row")
+            result = result.assign(**{n: None for n in may_lack if n not in result.columns})
             kept = batch.drop(columns=[n for n in names if n in batch.columns])
             yield pd.concat([kept.reset_index(drop=True), result[names].reset_index(drop=True)], axis=1)
 
@@ -85,7 +95,11 @@ def _call_in_batches(rows: DataFrame, open_client: Callable[[], Batch], schema:
 
 @dataclass(frozen=True)
 class ClientTranslator:
-    """Batch translator client: returns translated_text, translator_notes and confidence."""
+    """Batch translator client: returns translated_text, translator_notes and confidence, and where it
+    has them uncertain_terms, source_terms_retained and token_usage (a dict or struct).
+
+    Rows to be revised come with current_translation, review_findings and instruction.
+    """
 
     open_client: Callable[[], Batch]
     target_language: str = "Polish"
@@ -93,23 +107,29 @@ class ClientTranslator:
 
     def translate(self, rows: DataFrame) -> DataFrame:
         schema = "translated_text string, translator_notes array<string>, confidence string"
-        done = _call_in_batches(rows, self.open_client, schema, self.calls)
-        raw = translation(F.col("translated_text"), F.col("translator_notes"), F.col("confidence"))
+        optional = f"uncertain_terms array<string>, source_terms_retained array<string>, token_usage {USAGE_TYPE}"
+        done = _call_in_batches(rows, self.open_client, schema, optional, self.calls)
+        raw = translation(
+            F.col("translated_text"), F.col("translator_notes"), F.col("confidence"),
+            F.coalesce("uncertain_terms", strings([])), F.coalesce("source_terms_retained", strings([])), F.col("token_usage"),
+        )
         return done.withColumn("translation", relocale(raw, self.target_language)).drop(
-            "translated_text", "translator_notes", "confidence"
+            "translated_text", "translator_notes", "confidence", "uncertain_terms", "source_terms_retained", "token_usage"
         )
 
 
 @dataclass(frozen=True)
 class ClientReviewer:
-    """Batch reviewer client: returns findings as an array of finding structs."""
+    """Batch reviewer client: returns findings as an array of finding structs, and token_usage if it has it."""
 
     open_client: Callable[[], Batch]
     calls: int | None = None
 
     def review(self, pairs: DataFrame) -> DataFrame:
-        done = _call_in_batches(pairs, self.open_client, f"findings array<{FINDING_TYPE}>", self.calls)
-        return done.withColumn("verdict", verdict(F.col("findings")))
+        done = _call_in_batches(
+            pairs, self.open_client, f"findings array<{FINDING_TYPE}>", f"token_usage {USAGE_TYPE}", self.calls
+        )
+        return done.withColumnRenamed("token_usage", "review_usage").withColumn("verdict", verdict(F.col("findings")))
 
 
 def first_proposals(findings: DataFrame) -> DataFrame:
@@ -125,7 +145,8 @@ def revise(
 ) -> DataFrame:
     """Revise ``flagged(job_id, segment_id, source_text, translation, attempts)``.
 
-    A reviewer proposal replaces the text; segments without one are translated again.
+    A reviewer proposal replaces the text; segments without one are translated again, and
+    the translator sees their current translation, their findings in order and an instruction.
     """
     keys = ["job_id", "segment_id"]
     rows = flagged.withColumnRenamed("translation", "current").join(first_proposals(findings), keys, "left")
@@ -137,7 +158,15 @@ def revise(
     with_proposal = rows.where(F.col("proposal").isNotNull()).withColumn(
         "translation", relocale(proposed, target_language)
     )
-    again = translator.translate(rows.where(F.col("proposal").isNull())).withColumn(
+    fields = T.StructType.fromDDL(f"f {FINDING_TYPE}")["f"].dataType.fieldNames()
+    in_order = F.sort_array(F.collect_list(F.struct("pos", F.struct(*fields).alias("f"))))
+    told = findings.groupBy(*keys).agg(F.transform(in_order, lambda x: x["f"]).alias("review_findings"))
+    none = F.expr(f"cast(array() as array<{FINDING_TYPE}>)")
+    asked = rows.where(F.col("proposal").isNull()).join(told, keys, "left").withColumns({
+        "current_translation": F.col("current"), "review_findings": F.coalesce("review_findings", none),
+        "instruction": F.lit(REVISE_INSTRUCTION),
+    })
+    again = translator.translate(asked).drop("current_translation", "review_findings", "instruction").withColumn(
         "translation", let(F.col("translation"), lambda t: relocale(t, target_language))
     )
     both = with_proposal.unionByName(again)

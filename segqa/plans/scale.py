@@ -23,11 +23,6 @@ HOT_FLOOR = 200_000
 HOT_KEYS = 10_000
 
 
-def row_count_within(df: DataFrame, limit: int) -> bool:
-    """Whether ``df`` has at most ``limit`` rows; looks at no more than limit + 1 of them."""
-    return df.limit(limit + 1).count() <= limit
-
-
 def spread(df: DataFrame) -> DataFrame:
     """Deal a table of a single split, which is at most one split's size, to all cores.
 

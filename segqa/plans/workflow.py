@@ -25,7 +25,7 @@ KEYS = ["job_id", "segment_id"]
 @dataclass(frozen=True)
 class RunState:
     """The tables of a run. ``work`` holds one row per translated segment:
-    job_id, segment_id, source_text, block_type, translation, findings, verdict, applied, attempts."""
+    job_id, segment_id, source_text, block_type, translation, findings, verdict, review_usage, applied, attempts."""
 
     work: DataFrame
     issues: DataFrame
@@ -79,7 +79,7 @@ def review_loop(
             counts=work.groupBy("job_id").agg(F.count(F.lit(1)).alias("n")),
         ))
         rest = merged.where(F.col("__again").isNull()).drop("__again")
-        again = merged.where("__again").drop("__again", "findings", "verdict", "applied")
+        again = merged.where("__again").drop("__again", "findings", "verdict", "applied", "review_usage")
         reviewed = review(again, reviewer, config, memory)
         work = rest.unionByName(reviewed.select(*rest.columns))
     return RunState(work, issues, findings, unresolved)
@@ -98,7 +98,7 @@ def run_corpus(
 
 
 def report(segments: DataFrame, state: RunState, routed: DataFrame) -> DataFrame:
-    usages = state.work.select("job_id", F.col("translation.token_usage").alias("token_usage"))
+    usages = state.work.select("job_id", F.explode(F.array("translation.token_usage", "review_usage")).alias("token_usage"))
     hits = state.work.where(F.size("applied") > 0).select("job_id", F.size("applied").alias("n"))
     return audit_report(segments, state.unresolved, state.issues, state.findings, routed, usages, hits)
 

@@ -68,31 +68,24 @@ def test_long_output_texts_take_the_index_and_agree(spark, monkeypatch):
     assert done[1].placeholder_leaks == ["{{A_1}}"] and not done[1].ok
 
 
-def test_several_phrase_books_equal_one(spark):
-    rows = [("English", "Polish", f"src {i}", f"fraza {i} ", f"zwrot {i}", f"cały zwrot {i}", "j", f"s{i}") for i in range(60)]
+def test_large_phrase_memories_equal_a_plain_search(spark):
+    words = ["fraza", "zwrot", "wynik", "próbka", "migracja", "ź", "ab"]
+    rows = [("English", "Polish", f"src {i}" if i % 3 else "", f"{words[i % 7]} {i} ", f"nowy {i}", "", "j", f"s{i}", i) for i in range(20_000)]
+    rows += [("English", "Polish", "", short, "krótki", "", "j", f"x{n}", 20_000 + n) for n, short in enumerate(["Ź", "q", "+"])]
     names = "source_language string, target_language string, source_text string, replace_text string, preferred_text string, " \
-        "approved_text string, job_id string, segment_id string"
-    raw = spark.createDataFrame(rows, names).withColumn(
-        "updated_at", F.to_timestamp(F.concat(F.lit("2024-01-01 00:00:"), F.substring("segment_id", 2, 2)))
-    )
-    memory = phrases.phrase_rows(raw)
-    pairs = spark.createDataFrame(
-        [(1, f"p{i}", f"src {i}", " ".join(f"Fraza {k}" for k in range(i, i + 9))) for i in range(0, 50, 3)],
-        "job_id int, segment_id string, source_text string, translated_text string",
-    )
-
-    def run():
-        found = phrases.phrase_matches(pairs, memory, JobConfig())
-        return sorted((r.segment_id, [m.cache_key for m in r.matches]) for r in found.collect())
-
-    whole = run()
-    assert max(len(m) for _, m in whole) == 5
-    original = phrases.phrase_books
-    try:
-        phrases.phrase_books = lambda m, limit=10: original(m, 10)
-        assert run() == whole
-    finally:
-        phrases.phrase_books = original
+        "approved_text string, job_id string, segment_id string, at long"
+    memory = phrases.phrase_rows(spark.createDataFrame(rows, names).withColumn("updated_at", F.timestamp_seconds("at"))).cache()
+    texts = [(1, f"p{i}", f"src {i}", " ".join(f"{words[k % 7].title()}  {k}" for k in range(i, i + 1 + i % 9))) for i in range(0, 4000, 97)]
+    texts += [(2, "long", "x", "Tekst " * 200 + "Migracja 4 " + "tekst " * 200), (2, "none", None, None), (2, "blank", "src 1", " "), (2, "short", "", "a + b")]
+    pairs = spark.createDataFrame(texts, "job_id int, segment_id string, source_text string, translated_text string")
+    found = phrases.phrase_matches(pairs, memory, JobConfig()).collect()
+    assert len(found) == len(texts)
+    got = {(r.job_id, r.segment_id): sorted(m.cache_key for m in r.matches) for r in found}
+    stored = [(r.updated_at, r.cache_key, r.normalized_replace, r.normalized_preferred, r.normalized_source) for r in memory.collect()]
+    for job, segment, source, text in texts:
+        s, t = " ".join((source or "").split()).lower(), " ".join((text or "").split()).lower()
+        applying = sorted(((at, key) for at, key, old, new, src in stored if t and new not in t and (old in t or (s and s == src))), reverse=True)
+        assert got[job, segment] == sorted(key for _, key in applying[:5]), segment
 
 
 def test_reports_in_parts_hold_every_entry_once(spark):

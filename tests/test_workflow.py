@@ -283,3 +283,47 @@ def test_text_of_an_earlier_job_counts_as_persistent(spark):
     assert counted == {1: (1, 0, 2), 2: (1, 1, 1)}
     notes = {(r.job_id, r.segment_id): r.translation.translator_notes for r in done.collect()}
     assert "persistent cache job 1" in " ".join(notes[2, "s0"])
+
+
+def test_clients_report_usage_and_see_what_they_revise(spark):
+    usage = {"provider": "p", "model": "m", "operation": "translate", "input_tokens": 7, "output_tokens": 3, "total_tokens": 10}
+
+    def open_translator():
+        def call(batch):
+            import pandas as pd
+
+            told = [f"{c['translated_text']}|{'+'.join(f['explanation'] for f in fs)}|{i}" for c, fs, i in zip(
+                batch.get("current_translation", []), batch.get("review_findings", []), batch.get("instruction", []), strict=True
+            )]
+            return pd.DataFrame({
+                "translated_text": "PL: " + batch["source_text"], "translator_notes": [[t] for t in told] or [[] for _ in range(len(batch))],
+                "confidence": "high", "uncertain_terms": [["u"] for _ in range(len(batch))], "token_usage": [usage for _ in range(len(batch))],
+            })
+
+        return call
+
+    def open_reviewer():
+        def call(batch):
+            import pandas as pd
+
+            return pd.DataFrame({"findings": [[] for _ in range(len(batch))], "token_usage": [usage | {"operation": "review"} for _ in range(len(batch))]})
+
+        return call
+
+    client = translation.ClientTranslator(open_translator, "German")
+    segs = spark.createDataFrame([(1, "s1", 0, "One"), (1, "s2", 1, "Two")], "job_id bigint, segment_id string, order_index bigint, source_text string")
+    done = client.translate(segs).select("job_id", "segment_id", "source_text", "translation")
+    row = done.where("segment_id = 's1'").first().translation
+    assert row.token_usage.total_tokens == 10 and row.uncertain_terms == ["u"] and row.source_terms_retained == []
+    found = spark.createDataFrame(
+        [(1, "s1", p, "major", "c", "", "", f"e{p}", None, "high") for p in (1, 0)],
+        "job_id bigint, segment_id string, pos int, severity string, category string, source_evidence string, translation_evidence string, "
+        "explanation string, proposed_translation string, confidence string",
+    )
+    again = translation.revise(done.withColumn("attempts", F.lit(0)), found.where("segment_id = 's1'"), client, "German").where("segment_id = 's1'").first()
+    assert again.translation.translator_notes == ["PL: One|e0+e1|Revise only the material issues. Preserve protected tokens."]
+    reviewed = rev.review(done, translation.ClientReviewer(open_reviewer), CONFIG)
+    state = workflow.RunState(reviewed, None, None, None)
+    usages = state.work.select("job_id", F.explode(F.array("translation.token_usage", "review_usage")).alias("token_usage"))
+    totals = {r.operation: (r.requests, r.total_tokens) for r in reports.token_usage(usages, "operation").collect()}
+    assert totals["translate"] == (2, 20) and totals["review"] == (2, 20)
