@@ -57,12 +57,12 @@ def apply_decisions(
     decided = _decided(decisions, translations, unresolved)
     rows = (
         translations.join(decided, KEYS, "left")
-        .join(segments.select(*KEYS, "source_text"), KEYS, "left")
+        .join(segments.select(*KEYS, F.col("source_text").alias("__source")), KEYS, "left")
     )
     value, action = F.col("translation"), F.col("action")
     effective = (action != "edit") | F.col("text").isNotNull()
     text = (
-        F.when(action == "keep_source", F.col("source_text"))
+        F.when(action == "keep_source", F.col("__source"))
         .when(action == "edit", F.col("text"))
         .otherwise(value["translated_text"])
     )

@@ -5,13 +5,14 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from segqa.config import JobConfig
 from segqa.operators.decisions import apply_decisions
-from segqa.operators.memory import translate_corpus
-from segqa.operators.reports import audit_report
+from segqa.operators.memory import cache_key, cache_rows, cache_scope, cache_touch, cache_upsert, scope_hash, translate_corpus
+from segqa.operators.phrases import phrase_touch
+from segqa.operators.reports import audit_report, job_routing, verify_output
 from segqa.operators.review import explode_findings, resolve, review
 from segqa.operators.segments import protect
 from segqa.operators.translation import Reviewer, Translator, revise
@@ -103,6 +104,39 @@ def report(segments: DataFrame, state: RunState, routed: DataFrame) -> DataFrame
     return audit_report(segments, state.unresolved, state.issues, state.findings, routed, usages, hits)
 
 
+def store_translations(routed: DataFrame, cache: DataFrame, config: JobConfig, now: Column) -> DataFrame:
+    """The cache after a run: what it translated is stored, and every reuse between jobs counts as a hit."""
+    scope = cache_scope(config)
+    made = routed.where("route = 'miss'").select(*KEYS, "source_text", "translation")
+    stored = cache_upsert(cache, cache_rows(made, scope, now))
+    reused = routed.where("route = 'persistent' and norm <> ''")
+    key = cache_key(F.col("norm"), F.lit(scope_hash(scope)))
+    return cache_touch(stored, reused.select(key.alias("cache_key"), now.alias("used_at")))
+
+
+def touch_phrases(state: RunState, memory: DataFrame, now: Column) -> DataFrame:
+    """The phrase memory after a run: every phrase that changed a translation counts as used."""
+    return phrase_touch(memory, state.work.select(F.explode("applied").alias("cache_key"), now.alias("used_at")))
+
+
+def remaining(segments: DataFrame, done: DataFrame) -> DataFrame:
+    """Segments that an interrupted run has still to do, given the rows it has written."""
+    return segments.join(done.select(*KEYS).distinct(), KEYS, "left_anti")
+
+
+def finish(segments: DataFrame, state: RunState, routed: DataFrame, outputs: DataFrame) -> DataFrame:
+    """The report of every job with the check of its output text and its next step.
+
+    Jobs without an output text have null there. Run it on a finalized state.
+    """
+    texts = state.work.select(*KEYS, "translation.translated_text")
+    checked = verify_output(outputs, texts).select("job_id", F.col("ok").alias("output_ok"), "missing_segments", "placeholder_leaks")
+    open_now = state.unresolved.groupBy("job_id").agg(F.count(F.lit(1)).alias("unresolved"))
+    joined = report(segments, state, routed).join(checked, "job_id", "left").join(open_now, "job_id", "left")
+    counted = joined.withColumns({"unresolved": F.coalesce("unresolved", F.lit(0)), "revise": F.lit(0)})
+    return counted.withColumn("next_step", job_routing(True)).drop("unresolved", "revise")
+
+
 def finalize(state: RunState, decisions: DataFrame) -> RunState:
     """Apply operator decisions; jobs with nothing left unresolved are ready for output."""
     after, remaining = apply_decisions(state.work, state.work, state.unresolved, decisions)

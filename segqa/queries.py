@@ -636,6 +636,28 @@ def m9_cache_backfill(spark, sf):
     )
 
 
+def _second_run(spark, sf):
+    """The report texts translated twice; the second run finds what the first one has stored."""
+    segs = fx.report_segments(spark, sf)
+    none = fx.report_translations(spark, sf).limit(0).select("job_id", "segment_id", "translation")
+    cache = spark.createDataFrame([], memory.CACHE_COLUMNS)
+    now = F.lit("2024-05-01 00:00:00").cast("timestamp")
+    for _ in range(2):
+        routed = materialize(memory.translate_corpus(segs, none, cache, fx.PrefixTranslator(), fx.REUSE_CONFIG))
+        cache = materialize(workflow.store_translations(routed, cache, fx.REUSE_CONFIG, now))
+    return routed, cache
+
+
+@query
+def m10_second_run(spark, sf):
+    return memory.reuse_counters(_second_run(spark, sf)[0])
+
+
+@query
+def m8_second_run_hits(spark, sf):
+    return _second_run(spark, sf)[1].select("cache_key", "source_hash", "hits")
+
+
 @query
 def m10_reuse_counters(spark, sf):
     return memory.reuse_counters(_translated(spark, sf))

@@ -327,3 +327,22 @@ def test_clients_report_usage_and_see_what_they_revise(spark):
     usages = state.work.select("job_id", F.explode(F.array("translation.token_usage", "review_usage")).alias("token_usage"))
     totals = {r.operation: (r.requests, r.total_tokens) for r in reports.token_usage(usages, "operation").collect()}
     assert totals["translate"] == (2, 20) and totals["review"] == (2, 20)
+
+
+def test_a_run_writes_back_and_finishes(spark):
+    segs = _segments(spark, [("s1", "Result 5 kg"), ("s2", "was below 3 mg")])
+    none = segs.limit(0).select("job_id", "segment_id", fx.as_translation(F.lit("x")).alias("translation"))
+    cache = spark.createDataFrame([], memory.CACHE_COLUMNS)
+    now = F.lit("2024-05-01 00:00:00").cast("timestamp")
+    for hits in (0, 1):
+        state, routed = workflow.run_corpus(segs, none, cache, fx.terms(), fx.PrefixTranslator(), translation.RuleReviewer(), CONFIG, fx.phrase_memory(spark))
+        cache = workflow.store_translations(routed, cache, CONFIG, now)
+        assert [r.hits for r in cache.collect()] == [hits, hits]
+        cache = spark.createDataFrame(cache.collect(), cache.schema)
+    used = state.work.select(F.explode("applied").alias("k")).count()
+    assert workflow.touch_phrases(state, fx.phrase_memory(spark), now).agg(F.sum("hits")).first()[0] == used
+    assert workflow.remaining(segs, state.work.where("segment_id = 's1'")).select("segment_id").collect() == [("s2",)]
+    outputs = spark.createDataFrame([("j", "PL: Result 5 kg PL: was below 3 mg")], "job_id string, text string")
+    decided = state.work.select("job_id", "segment_id", F.lit("accept").alias("action"), F.lit(None).cast("string").alias("text"), F.lit(None).cast("string").alias("note"))
+    rows = workflow.finish(segs, workflow.finalize(state, decided), routed, outputs).collect()
+    assert len(rows) == 1 and rows[0].output_ok and rows[0].next_step == "render_pdf" and rows[0].persistent_translation_cache_hits == 2
