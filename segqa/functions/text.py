@@ -107,13 +107,12 @@ def is_secret_key(key: Column) -> Column:
     return (named | exact) & ~harmless
 
 
-def redact(fields: Column) -> Column:
-    """Mask credentials in a ``map<string,string>`` and cut values over 4000 characters."""
+def redact(fields: Column, longest: int | None = 4000) -> Column:
+    """Mask credentials in a ``map<string,string>``; values over ``longest`` characters are cut, unless that is None."""
     def clean(key: Column, value: Column) -> Column:
-        return (
-            F.when(is_secret_key(key) | value.startswith("sk-"), F.lit("[redacted]"))
-            .when(F.length(value) > 4000, F.concat(F.left(value, F.lit(4000)), F.lit("…")))
-            .otherwise(value)
-        )
+        masked = F.when(is_secret_key(key) | value.startswith("sk-"), F.lit("[redacted]"))
+        if longest is not None:
+            masked = masked.when(F.length(value) > longest, F.concat(F.left(value, F.lit(longest)), F.lit("…")))
+        return masked.otherwise(value)
 
     return F.transform_values(fields, clean)

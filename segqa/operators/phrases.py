@@ -327,22 +327,25 @@ def phrase_rewrite(
     return out.withColumn("issues", issues).withColumn("memory_saved", ~critical & storable)
 
 
-def suggest_refinement(translations: DataFrame, issues: DataFrame, matches: DataFrame | None = None) -> DataFrame:
+def suggest_refinement(
+    translations: DataFrame, issues: DataFrame, matches: DataFrame | None = None, text_chars: int = 1000, phrase_chars: int = 600,
+) -> DataFrame:
     """Defaults of the refinement form.
 
     ``issues(job_id, segment_id, pos, proposed_translation, translation_evidence)`` are read in
     ``pos`` order: the first proposal that differs from the current text wins, else the
     first evidence unrelated to it. With ``matches`` (best phrase per segment) the memory
-    takes precedence.
+    takes precedence. Texts longer than ``text_chars`` and phrases longer than ``phrase_chars``
+    are none, as in a form.
     """
     keys = ["job_id", "segment_id"]
     current = translations.select(*keys, "translated_text").withColumn(
-        "current_low", F.lower(clean_phrase(F.col("translated_text"), 1000))
+        "current_low", F.lower(clean_phrase(F.col("translated_text"), text_chars))
     )
     # A segment may have any number of issues, but only one current text.
     rows = skew_join(issues, current, keys, "inner", spread_by=["pos"]).withColumns({
-        "proposal": clean_phrase(F.col("proposed_translation"), 600),
-        "evidence": clean_phrase(F.col("translation_evidence"), 600),
+        "proposal": clean_phrase(F.col("proposed_translation"), phrase_chars),
+        "evidence": clean_phrase(F.col("translation_evidence"), phrase_chars),
     })
     low = F.lower("evidence")
     proposal_ok = (F.col("proposal") != "") & (F.lower("proposal") != F.col("current_low"))
@@ -353,7 +356,7 @@ def suggest_refinement(translations: DataFrame, issues: DataFrame, matches: Data
         F.min_by(F.when(evidence_ok, F.col("evidence")), F.when(evidence_ok, F.col("pos"))).alias("e"),
     )
     suggested = current.join(best, keys, "left").withColumns({
-        "replace_text": clean_phrase(F.col("translated_text"), 600),
+        "replace_text": clean_phrase(F.col("translated_text"), phrase_chars),
         "preferred_text": F.coalesce("p", "e", F.lit("")),
     })
     if matches is not None:

@@ -187,17 +187,17 @@ def placeholder_leaks(text: Column) -> Column:
     return F.sort_array(F.array_distinct(F.regexp_extract_all(text, F.lit(r"\{\{[A-Z0-9_]+\}\}"), F.lit(0))))
 
 
-def _expected_prefixes(translations: DataFrame) -> DataFrame:
+def _expected_prefixes(translations: DataFrame, length: int) -> DataFrame:
     text = F.lower(normalize_ws(F.col("translated_text")))
     return translations.select(*KEYS, text.alias("t")).where(F.length("t") > 2).select(
-        *KEYS, F.left("t", F.lit(PREFIX)).alias("prefix")
+        *KEYS, F.left("t", F.lit(length)).alias("prefix")
     )
 
 
-def missing_segments(texts: DataFrame, translations: DataFrame) -> DataFrame:
+def missing_segments(texts: DataFrame, translations: DataFrame, prefix: int = PREFIX) -> DataFrame:
     """Translations that do not occur in their job's output text.
 
-    A translation is looked for whole, or else by its first 40 characters; the whole text
+    A translation is looked for whole, or else by its first ``prefix`` characters; the whole text
     contains its own start, so the prefix alone decides. Output texts of usual size
     are searched in place. Longer ones are cut into blocks and turned into distinct
     fragments of exactly the lengths asked for, so that finding a prefix is an
@@ -206,7 +206,7 @@ def missing_segments(texts: DataFrame, translations: DataFrame) -> DataFrame:
     """
     is_long = F.length("text") > DIRECT_TEXT
     output = texts.select("job_id", F.lower(normalize_ws(F.coalesce("text", F.lit("")))).alias("out"), F.coalesce(is_long, F.lit(False)).alias("long"))
-    expected = _expected_prefixes(translations)
+    expected = _expected_prefixes(translations, prefix)
     located = skew_join(
         expected,
         output.select("job_id", "long", F.when(~F.col("long"), F.col("out")).alias("out")),
@@ -222,7 +222,7 @@ def missing_segments(texts: DataFrame, translations: DataFrame) -> DataFrame:
     starts = F.filter(F.sequence(F.lit(1), F.length("out") + 1, F.lit(TEXT_BLOCK)), lambda at: at <= F.length("out"))
     # A block reaches over its end so that fragments across the border stay whole.
     blocks = output.where("long").select("job_id", "out", F.explode(starts).alias("at")).select(
-        "job_id", "at", F.substring("out", F.col("at"), F.lit(TEXT_BLOCK + PREFIX - 1)).alias("block")
+        "job_id", "at", F.substring("out", F.col("at"), F.lit(TEXT_BLOCK + prefix - 1)).alias("block")
     )
     sized = skew_join(blocks, lengths, ["job_id"], "inner", spread_by=["at"])
 
@@ -240,9 +240,9 @@ def missing_segments(texts: DataFrame, translations: DataFrame) -> DataFrame:
     return near.unionByName(missing)
 
 
-def verify_output(texts: DataFrame, translations: DataFrame) -> DataFrame:
+def verify_output(texts: DataFrame, translations: DataFrame, prefix: int = PREFIX) -> DataFrame:
     """One verdict per job with an output text (A7, A8); the missing ids are in :func:`missing_segments`."""
-    lost = missing_segments(texts, translations).groupBy("job_id").agg(F.count(F.lit(1)).alias("missing"))
+    lost = missing_segments(texts, translations, prefix).groupBy("job_id").agg(F.count(F.lit(1)).alias("missing"))
     leaks = placeholder_leaks(F.coalesce("text", F.lit("")))
     return texts.select("job_id", F.length(F.coalesce("text", F.lit(""))).alias("extracted_text_chars"), leaks.alias("placeholder_leaks")).join(
         lost, "job_id", "left"

@@ -151,13 +151,14 @@ def findings_table(findings: DataFrame, segments: DataFrame, translations: DataF
 def review_queue(
     unresolved: DataFrame, items: DataFrame, limit: int = 10, severities: list[str] | None = None
 ) -> DataFrame:
-    """The first ``limit`` unresolved segments per job to look at, by segment id.
+    """The first ``limit`` unresolved segments per job to look at, by segment id (R11); ``limit`` is taken as given.
 
     ``items`` are the rows of :func:`segment_issues`. A segment qualifies when it has no
     item or one of a selected severity. The default selection is critical, major and
     warning as far as present among the job's unresolved segments, or else everything.
     """
-    limit = max(1, min(limit, 50))
+    if limit < 1:
+        raise ValueError("a queue needs room for one segment")
     chosen = list(severities) if severities else list(QUEUE_DEFAULT)
     severity = F.lower("severity")
     # Only unresolved segments matter; one row per segment before anything is ranked.
