@@ -1115,9 +1115,9 @@ def st1_incremental(spark, sf):
 
 @query
 def st2_stream_dedup(spark, sf):
-    keys = _read_stream(spark, sf, "events").selectExpr("concat('k', user_id % 40) as cache_key", "event_type")
+    keys = _read_stream(spark, sf, "events").selectExpr("concat('k', user_id % 40) as cache_key", "event_type", "cast(ts as timestamp) as at")
     out, checkpoint = _stream_dirs(spark)
-    stream.stream_dedup(keys, ["cache_key", "event_type"]).writeStream.format("parquet").option(
+    stream.stream_dedup(keys, ["cache_key", "event_type"], "at").drop("at").writeStream.format("parquet").option(
         "checkpointLocation", checkpoint
     ).trigger(availableNow=True).start(out).awaitTermination()
     return spark.read.parquet(out)
@@ -1129,8 +1129,8 @@ def st3_progress_stream(spark, sf):
         "user_id as job_id", "event_type as stage", "event_id as current", "user_id * 2 as total"
     )
     out, checkpoint = _stream_dirs(spark)
-    stream.write_updates(stream.progress_stream(events), out, checkpoint).trigger(availableNow=True).start().awaitTermination()
-    return stream.latest_updates(spark, out, ["job_id", "stage"])
+    stream.write_progress(events, out, checkpoint).trigger(availableNow=True).start().awaitTermination()
+    return stream.read_progress(spark, out)
 
 
 @query

@@ -107,7 +107,10 @@ def read_results(spark: SparkSession, root: str) -> DataFrame:
 
 
 def stream_dedup(stream: DataFrame, keys: Sequence[str], event_time: str | None = None, delay: str = "1 day") -> DataFrame:
-    """First arrival per key (ST2); with an event time the state is dropped after ``delay``."""
+    """First arrival per key (ST2); with an event time the state is dropped after ``delay``.
+
+    Without one the state holds every key there ever was, so give one unless keys are few.
+    """
     if event_time is None:
         return stream.dropDuplicates(list(keys))
     return stream.withWatermark(event_time, delay).dropDuplicatesWithinWatermark(list(keys))
@@ -120,6 +123,25 @@ def progress_stream(events: DataFrame) -> DataFrame:
     )
 
 
+def write_progress(events: DataFrame, root: str, checkpoint: str) -> DataStreamWriter:
+    """Progress of every batch by itself, one folder per batch; see :func:`read_progress`.
+
+    The stream holds no state: a batch is reduced to one row per job and stage, and the
+    batches are put together when they are read.
+    """
+    def run(batch: DataFrame, epoch: int) -> None:
+        progress_stream(batch).write.mode("overwrite").parquet(f"{root}/epoch={epoch}")
+
+    return events.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
+
+
+def read_progress(spark: SparkSession, root: str) -> DataFrame:
+    """Furthest progress per job and stage over all batches of :func:`write_progress`."""
+    return read_results(spark, root).groupBy("job_id", "stage").agg(
+        F.max("current").alias("current"), F.max("total").alias("total"), F.sum("events").alias("events")
+    )
+
+
 def progress_windows(events: DataFrame, event_time: str = "ts", width: str = "1 hour", delay: str = "2 hours") -> DataFrame:
     """Events per stage and time window, closed by a watermark."""
     return events.withWatermark(event_time, delay).groupBy(F.window(event_time, width).alias("w"), "stage").agg(

@@ -346,3 +346,15 @@ def test_a_run_writes_back_and_finishes(spark):
     decided = state.work.select("job_id", "segment_id", F.lit("accept").alias("action"), F.lit(None).cast("string").alias("text"), F.lit(None).cast("string").alias("note"))
     rows = workflow.finish(segs, workflow.finalize(state, decided), routed, outputs).collect()
     assert len(rows) == 1 and rows[0].output_ok and rows[0].next_step == "render_pdf" and rows[0].persistent_translation_cache_hits == 2
+
+
+def test_progress_of_many_batches_needs_no_state(spark, tmp_path):
+    given, out, checkpoint = str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "cp")
+    schema = "job_id bigint, stage string, current bigint, total bigint"
+    for n in range(5):
+        spark.createDataFrame([(1, "translate", n, 5), (n, "review", 1, 1)], schema).coalesce(1).write.mode("append").parquet(given)
+        stream.write_progress(spark.readStream.schema(schema).parquet(given), out, checkpoint).trigger(availableNow=True).start().awaitTermination()
+        # A batch holds what came in since the last one only.
+        assert spark.read.parquet(f"{out}/epoch={n}").agg(F.sum("events")).first()[0] == 2
+    rows = {(r.job_id, r.stage): (r.current, r.total, r.events) for r in stream.read_progress(spark, out).collect()}
+    assert rows == {(1, "translate"): (4, 5, 5)} | {(n, "review"): (1, 1, 1) for n in range(5)}
