@@ -22,6 +22,11 @@ def estimate_tokens(text: Column) -> Column:
     return F.greatest(F.lit(1), F.floor(F.length(text) / 4).cast("int"))
 
 
+def estimate_request(payload: Column, prompt: str, schema: str) -> Column:
+    """Tokens of a request: prompt, payload and the schema of the answer."""
+    return F.greatest(F.lit(1), F.floor((F.length(payload) + len(prompt) + len(schema)) / 4).cast("int"))
+
+
 # A response with all these places, read in one pass; counts may be numbers or strings.
 _COUNTS = "struct<" + ",".join(f"{n}:string" for n in (*INPUT_NAMES, *OUTPUT_NAMES, *TOTAL_NAMES)) + ">"
 _RESPONSE = (

@@ -501,7 +501,7 @@ def oracle_sql() -> dict[str, str]:
         "s12_restore_translations": f"""select job_id, segment_id, {_localized('source_text')} as translated_text,
             case when {_localized('source_text')} <> source_text then 1 else 0 end::bigint as notes from f2""",
         "s12_restore_jobs": """select job_id, case when job_id is not null then 'segments_translated' end as status, count(*) as segments, count(*) as translations, 0::bigint as reviews from f2 group by job_id""",
-        "s13_report_sink": "select job_id, 0::bigint as part, segments_total, deterministic_issues as issues, review_findings as findings from (" + audit + ")",
+        "s13_report_sink": "select job_id, 0::bigint as part, segments_total, 'English' as source_language, 'Polish' as target_language, deterministic_issues as issues, review_findings as findings from (" + audit + ")",
         "s14_fingerprint": "select o.doc_id, coalesce(sha256(d.text), 'missing') as sha256 from (select distinct o_custkey as doc_id from orders) o left join documents d using (doc_id)",
         "p1_normalize_ws": f"select doc_id, length({norm('text')}) as chars, sha256({norm('text')}) as sha from documents",
         "p2_normalize_phrase": f"select doc_id, length(t) as chars, sha256(t) as sha from (select doc_id, replace(lower({norm('text')}), 'ß', 'ss') as t from documents)",
@@ -551,7 +551,8 @@ def oracle_sql() -> dict[str, str]:
             from f2 join f5 f using (job_id, segment_id)""",
         "x7_prompt_payload": f"select job_id, segment_id, 'Polish' as target, source_text, (select length(string_agg(polish, chr(10) order by i)) from {prompts})::bigint as glossary_chars from f2",
         "x8_terms_for_prompt": f"select u.job_id, u.segment_id, p.polish, p.german from used u join {prompts} p on p.source = u.source",
-        "x9_token_estimate": "select job_id, segment_id, greatest(1, length(source_text) // 4)::bigint as tokens from f1",
+        "x9_token_estimate": f"""select job_id, segment_id, greatest(1, (length(to_json({{'source_language': 'English', 'target_language': 'Polish', 'domain': {lit(fx.CONFIG.domain)}, 'mode': {lit(fx.CONFIG.mode)},
+            'segment': {{'segment_id': segment_id, 'source_text': source_text}}, 'glossary': g}})) + 12) // 4)::bigint as tokens from f1, (select string_agg(polish, chr(10) order by i) as g from {prompts})""",
         "x10_usage_extract": f"select event_id, u.i as input_tokens, u.o as output_tokens, u.t as total_tokens from (select event_id, {_usage_sql()} as u from raw)",
         "m1_cache_scope": "select s as scope, count(distinct source_text) as keys, count(distinct source_text) as sources from f2, (values ('de'), ('pl')) v(s) group by s",
         "m2_cache_key": f"select job_id, segment_id, sha256('{fx.SCOPE}' || chr(31) || source_text) as cache_key, sha256(source_text) as source_hash from f2",

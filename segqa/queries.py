@@ -16,7 +16,7 @@ from segqa.functions.glossary import glossary_replace, prompt_line, relevant_ter
 from segqa.functions.locale import apply_locale, localize_decimals
 from segqa.functions.rules import looks_english, merge_verdict, phrase_rules, rule_translate, untranslated, verdict
 from segqa.functions.tokens import extract_tokens
-from segqa.functions.usage import estimate_tokens, extract_usage
+from segqa.functions.usage import estimate_request, extract_usage
 from segqa.operators import decisions as dec
 from segqa.operators import layout, memory, phrases, reports, segments, translation, validation
 from segqa.operators import review as rev
@@ -193,10 +193,13 @@ def s12_restore_jobs(spark, sf):
 @query
 def s13_report_sink(spark, sf):
     issues, found, unresolved = _judged(spark, sf)
-    base = materialize(_audit(spark, sf, issues, found, unresolved))
+    languages = {"source_language": F.lit(fx.CONFIG.source_language), "target_language": F.lit(fx.CONFIG.target_language)}
+    base = materialize(_audit(spark, sf, issues, found, unresolved).withColumns(languages))
     parts = reports.nested_reports(base, issues, found)
-    return parts.select(
-        "job_id", "part", "segments_total",
+    path = f"{shared_dir(spark)}/segqa-reports-{uuid.uuid4().hex}"
+    job_store.write_reports(parts, path)
+    return job_store.read_reports(spark, path, parts.schema).select(
+        "job_id", "part", "segments_total", "source_language", "target_language",
         F.greatest(F.coalesce(F.size("issues"), F.lit(0)), F.lit(0)).alias("issues"),
         F.greatest(F.coalesce(F.size("findings"), F.lit(0)), F.lit(0)).alias("findings"),
     )
@@ -508,7 +511,9 @@ def x8_terms_for_prompt(spark, sf):
 
 @query
 def x9_token_estimate(spark, sf):
-    return fx.doc_segments(spark, sf).select("job_id", "segment_id", estimate_tokens(F.col("source_text")).alias("tokens"))
+    """Tokens of the whole request that a segment would make."""
+    made = translation.prompt_payload(fx.doc_segments(spark, sf).select("job_id", "segment_id", "source_text"), fx.terms(), fx.CONFIG)
+    return made.select("job_id", "segment_id", estimate_request(F.col("payload"), "Translate.", "{}").alias("tokens"))
 
 
 def _raw_usage(spark, sf):

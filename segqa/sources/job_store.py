@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from segqa.functions.rules import FINDING_TYPE, TRANSLATION_TYPE, relocale
 from segqa.functions.text import let, normalize_ws, uses_decimal_comma
@@ -144,6 +145,11 @@ def write_reports(reports: DataFrame, path: str, folders: int = 256) -> None:
     reports.withColumn("bucket", bucket).write.mode("errorifexists").partitionBy("bucket").json(path)
 
 
+def read_reports(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """Reports written by :func:`write_reports`, with the columns they were written from."""
+    return spark.read.schema(schema).json(path).select(*schema.fieldNames())
+
+
 def file_fingerprints(spark: SparkSession, path: str, recursive: bool = True) -> DataFrame:
     """SHA-256 of file contents."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(path)
