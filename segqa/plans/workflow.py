@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from segqa.config import JobConfig
+from segqa.functions.rules import USAGE_TYPE
 from segqa.operators.decisions import apply_decisions
 from segqa.operators.memory import cache_key, cache_rows, cache_scope, cache_touch, cache_upsert, scope_hash, translate_corpus
 from segqa.operators.phrases import phrase_touch
@@ -17,7 +18,7 @@ from segqa.operators.review import explode_findings, resolve, review
 from segqa.operators.segments import protect
 from segqa.operators.translation import Reviewer, Translator, revise
 from segqa.operators.validation import validate_pairs
-from segqa.plans.scale import materialize, skew_join
+from segqa.plans.scale import materialize
 from segqa.sources.glossary import Term
 
 KEYS = ["job_id", "segment_id"]
@@ -52,10 +53,14 @@ def review_loop(
     """Validate, resolve and revise for at most ``max_revision_attempts + 1`` cycles.
 
     ``work`` comes reviewed. A job goes into the next cycle only if one of its segments
-    was revised; there all its segments are reviewed again. The tables of a cycle are
-    written down, so the plan does not grow with the cycles.
+    was revised; there all its segments are reviewed and judged again, and those of all
+    other jobs keep what the last cycle found. The tables of a cycle are written down, so
+    the plan does not grow with the cycles.
     """
+    if "review_usage" not in work.columns:
+        work = work.withColumn("review_usage", F.lit(None).cast(USAGE_TYPE))
     cycles = config.max_revision_attempts + 1
+    settled: list[tuple[DataFrame, DataFrame, DataFrame]] = []
     for cycle in range(1, cycles + 1):
         work = materialize(work)
         issues, findings, routes = _judge(work, terms, config)
@@ -67,23 +72,25 @@ def review_loop(
         revised = materialize(revise(flagged, findings, translator, config.target_language).select(
             *KEYS, F.col("translation").alias("__t"), F.col("attempts").alias("__a")
         ))
-        merged = work.join(revised, KEYS, "left").withColumns({
-            "translation": F.coalesce("__t", "translation"), "attempts": F.coalesce("__a", "attempts")
-        }).drop("__t", "__a")
+
+        def with_revised(rows: DataFrame, made: DataFrame = revised) -> DataFrame:
+            return rows.join(made, KEYS, "left").withColumns({
+                "translation": F.coalesce("__t", "translation"), "attempts": F.coalesce("__a", "attempts")
+            }).drop("__t", "__a")
+
         if cycle == cycles:
             # No cycle is left to judge these revisions; the last judgement stands.
-            work = merged
+            work = with_revised(work)
             break
-        active = to_revise.select("job_id").distinct().withColumn("__again", F.lit(True))
-        merged = materialize(skew_join(
-            merged, active, ["job_id"], "left", spread_by=["segment_id"],
-            counts=work.groupBy("job_id").agg(F.count(F.lit(1)).alias("n")),
-        ))
-        rest = merged.where(F.col("__again").isNull()).drop("__again")
-        again = merged.where("__again").drop("__again", "findings", "verdict", "applied", "review_usage")
-        reviewed = review(again, reviewer, config, memory)
-        work = rest.unionByName(reviewed.select(*rest.columns))
-    return RunState(work, issues, findings, unresolved)
+        active = materialize(to_revise.select("job_id").distinct())
+        settled.append(tuple(t.join(active, "job_id", "left_anti") for t in (work, issues, unresolved)))
+        again = with_revised(work.join(active, "job_id", "left_semi"))
+        work = review(again.drop("findings", "verdict", "applied", "review_usage"), reviewer, config, memory)
+    for rows, earlier_issues, earlier_unresolved in settled:
+        work = work.unionByName(rows.select(*work.columns))
+        issues = issues.unionByName(earlier_issues.select(*issues.columns))
+        unresolved = unresolved.unionByName(earlier_unresolved.select(*KEYS))
+    return RunState(work, issues, explode_findings(work), unresolved)
 
 
 def run_corpus(
