@@ -12,6 +12,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -27,8 +28,11 @@ SAMPLE_ROWS = 5_000
 WORDS = 20_000
 GRAMS = 5_000
 ORDERS = (5, 4, 3, 2, 1)
-# Unseen words that a task remembers the scores of.
-REMEMBERED = 300_000
+# Words of a text that are summed at once; unseen words that a worker remembers the scores of, and
+# the bytes that these scores may take, as many languages make them longer.
+PART = 8_192
+REMEMBERED = 600_000
+REMEMBERED_BYTES = 64_000_000
 UNKNOWN = "und"
 
 _WORD = re.compile(r"[^\W\d_]+")
@@ -45,37 +49,47 @@ def grams(word: str, order: int) -> list[str]:
     return [marked[i : i + order] for i in range(len(marked) - order + 1)]
 
 
-@dataclass(frozen=True)
+@dataclass
 class Model:
     """``tables[0]`` holds words, ``tables[n]`` n-grams of order n: key -> log frequency by language."""
 
     languages: list[str]
     tables: dict[int, dict[str, np.ndarray]]
 
+    @cached_property
+    def scorer(self) -> Scorer:
+        """Kept with the model, so that the tasks of a worker share what it has learned."""
+        return Scorer(self)
+
 
 class Scorer(dict):
-    """Word -> score by language; unseen words are scored when they are first asked for."""
+    """Word -> row of ``scores``; unseen words are scored when they are first asked for."""
 
     def __init__(self, model: Model) -> None:
-        super().__init__(model.tables.get(0, {}))
         self.model = model
-        self.known = len(self)
-        self.nothing = np.zeros(len(model.languages))
-
-    def __missing__(self, word: str) -> np.ndarray:
-        if len(self) > self.known + REMEMBERED:
-            self.clear()
-            self.update(self.model.tables.get(0, {}))
-        self[word] = score = self._backoff(word)
-        return score
-
-    def _backoff(self, word: str) -> np.ndarray:
+        self.words = {w: i for i, w in enumerate(model.tables.get(0, {}))}
+        super().__init__(self.words)
+        known = [*model.tables.get(0, {}).values()]
+        languages = max(1, len(model.languages))
+        rows = max(PART, min(REMEMBERED, REMEMBERED_BYTES // (8 * languages)))
+        self.scores = np.zeros((len(known) + rows, languages))
+        if known:
+            self.scores[: len(known)] = known
+
+    def __missing__(self, word: str) -> int:
+        row = len(self)
+        self.scores[row] = self.backoff(word)
+        self[word] = row
+        return row
+
+    def backoff(self, word: str) -> np.ndarray | float:
+        """Mean score of the longest n-grams that are known; nothing at all counts for no language."""
         for order in ORDERS:
             table = self.model.tables.get(order, {})
             found = [table[g] for g in grams(word, order) if g in table]
             if found:
-                return np.mean(found, axis=0)
-        return self.nothing
+                return sum(found) / len(found)
+        return 0.0
 
     def predict(self, text: str | None) -> tuple[str, float]:
         """Language and its share of the score, per word; ``und`` without a letter or a model."""
@@ -83,13 +97,20 @@ class Scorer(dict):
         if not self.model.languages or not any(w.isalpha() for w in words):
             return UNKNOWN, 0.0
         total = np.zeros(len(self.model.languages))
-        for at in range(0, len(words), 65_536):
-            part = Counter(words[at : at + 65_536])
-            total += np.array(list(part.values()), float) @ np.array([self[w] for w in part])
+        for at in range(0, len(words), PART):
+            total += self.part(words[at : at + PART])
         best = int(total.argmax())
         # Of the mean score of a word, so that long texts do not all end up at 1.
         return self.model.languages[best], float(1 / np.exp((total - total[best]) / len(words)).sum())
 
+    def part(self, words: list[str]) -> np.ndarray:
+        """Sum of the words' scores; makes room before it starts, so that rows stay theirs meanwhile."""
+        if len(self) + len(words) > len(self.scores):
+            self.clear()
+            self.update(self.words)
+        rows = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+        return self.scores[rows].sum(axis=0)
+
 
 def _counts(df: DataFrame, text_col: str, lang_col: str) -> DataFrame:
     """``(lang, kind, key, n)``: occurrences of words (kind 0) and of n-grams (their order)."""
@@ -168,7 +189,7 @@ def predict(df: DataFrame, model: Model, text_col: str, lang_col: str = "lang_pr
     schema = with_fields(base.schema, f"`{lang_col}` string, `{score_col}` double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(sent.value)
+        scorer = sent.value.scorer
         for batch in batches:
             found = [scorer.predict(t.as_py()) for t in batch.column(at)]
             made = [pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())]
