@@ -37,6 +37,8 @@ from segqa.plans.scale import materialize
 BITS = 64
 # Hashes whose bits are counted in one step; a long text takes several.
 COUNTED = 1 << 16
+# Orders by which buckets choose their representative.
+ORDERS = 8
 
 
 def fingerprint(text: str | None, width: int) -> int:
@@ -176,8 +178,9 @@ def _proposed(nodes: DataFrame, radius: int) -> DataFrame:
     """``(a, b)``: nodes within ``radius`` bits, each with the representative of a bucket they share."""
     masks = F.array(*[F.lit(m) for m in covering_masks(radius)])
     entered = nodes.select("node", F.explode(F.transform(masks, lambda m: F.xxhash64(m, F.col("fp").bitwiseAND(m)))).alias("bucket"))
-    # Another representative in every bucket, so that those of a group do not all fall on one text.
-    chosen = entered.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("node", "bucket").alias("h"), "node")).alias("first"), F.count(F.lit(1)).alias("n"))
+    # A few orders of the nodes, by bucket, so that a group has a few representatives and not just one.
+    order = F.xxhash64("node", F.pmod("bucket", F.lit(ORDERS)))
+    chosen = entered.groupBy("bucket").agg(F.min(F.struct(order.alias("h"), "node")).alias("first"), F.count(F.lit(1)).alias("n"))
     chosen = materialize(chosen.where("n > 1").select("bucket", F.col("first.node").alias("rep")))
     pairs = entered.join(chosen, "bucket").where("node <> rep").select(F.least("node", "rep").alias("a"), F.greatest("node", "rep").alias("b"))
     pairs = materialize(pairs.distinct())
