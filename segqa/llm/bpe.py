@@ -246,8 +246,8 @@ def _firsts(groups: np.ndarray) -> np.ndarray:
 class Encoder:
     """Encodes and decodes texts; remembers the pieces it has merged."""
 
-    def __init__(self, source: str) -> None:
-        self.vocabulary = Vocabulary(source)
+    def __init__(self, vocabulary: Vocabulary) -> None:
+        self.vocabulary = vocabulary
         self.white = re.compile(f"[{WHITE_SPACE}]+")
         self.ids: dict[str, bytes] = {}
 
@@ -298,8 +298,8 @@ class Encoder:
 
 
 @lru_cache(maxsize=2)
-def _encoder(source: str) -> Encoder:
-    return Encoder(source)
+def _vocabulary(source: str) -> Vocabulary:
+    return Vocabulary(source)
 
 
 def vocabulary_source(spark: SparkSession, path: str) -> Broadcast:
@@ -309,8 +309,8 @@ def vocabulary_source(spark: SparkSession, path: str) -> Broadcast:
 
 
 def encoder(source: Broadcast) -> Encoder:
-    """The encoder of a task; workers that run several tasks keep it."""
-    return _encoder(source.value)
+    """A new encoder for a task; workers that run several tasks keep the vocabulary, not what was encoded."""
+    return Encoder(_vocabulary(source.value))
 
 
 def encode(df: DataFrame, text_col: str, path: str, ids_col: str = "ids", decoded_col: str | None = None) -> DataFrame:

@@ -18,7 +18,7 @@ ODD = [
 @pytest.fixture(scope="module")
 def coder(vocabulary):
     with open(vocabulary, encoding="utf-8") as file:
-        return bpe.Encoder(file.read())
+        return bpe.Encoder(bpe.Vocabulary(file.read()))
 
 
 def same(coder, library, texts):
