@@ -22,7 +22,7 @@ METRICS = (
 # Output verification: a translation counts as found when its first characters are.
 PREFIX = 40
 # Job texts up to this size are searched directly; longer ones through an index.
-DIRECT_TEXT = 65_536
+DIRECT_TEXT = 1_048_576
 TEXT_BLOCK = 512
 
 
