@@ -107,8 +107,13 @@ def signed(value: int) -> int:
 def covering_masks(radius: int) -> list[int]:
     """Masks of which one at least clears any ``radius`` bits or fewer."""
     count = (1 << radius + 1) - 1
-    # Vectors 1..count in turn, in an order that mixes neighbouring bits; none is zero.
-    vectors = [1 + i * 0x9E3779B1 % count for i in range(BITS)]
+    if count < BITS:
+        # Vectors 1..count in turn, in an order that mixes neighbouring bits; none is zero.
+        vectors = [1 + i * 0x9E3779B1 % count for i in range(BITS)]
+    else:
+        # Distinct vectors with the highest bit set. For radius 6 they are all there are, so half of them
+        # have an odd number of ones in common with any v but the highest bit alone.
+        vectors = [1 << radius | i * 0x9E3779B1 % (1 << radius) for i in range(BITS)]
     return [signed(sum(1 << i for i, x in enumerate(vectors) if (x & v).bit_count() % 2)) for v in range(1, count + 1)]
 
 

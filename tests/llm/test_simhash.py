@@ -136,3 +136,21 @@ def test_keep_first_with_odd_rows(spark):
     got = sorted(((r.doc_id, r.text) for r in simhash.keep_first(df, "doc_id", "text").collect()), key=str)
     assert got == sorted([(2, " "), (4, "few  WORDS"), (None, "only here")], key=str)
     assert simhash.keep_first(df.limit(0), "doc_id", "text").count() == 0
+
+
+def test_masks_of_radius_six_keep_half_of_the_bits():
+    masks, rnd = simhash.covering_masks(6), random.Random(6)
+    assert len(set(masks)) == 127
+    assert sorted((m % (1 << 64)).bit_count() for m in masks) == [32] * 126 + [64]
+    for _ in range(3000):
+        bits = simhash.signed(sum(1 << b for b in rnd.sample(range(64), 6)))
+        assert any(m & bits == 0 for m in masks)
+
+
+def test_pairs_at_six_bits_are_proposed_among_many_unrelated_ones(spark):
+    rnd = random.Random(7)
+    fps = [rnd.getrandbits(64) for _ in range(4000)]
+    planted = {(n, 4000 + n) for n in range(100)}
+    fps += [fps[n] ^ sum(1 << b for b in rnd.sample(range(64), 6)) for n in range(100)]
+    nodes = spark.createDataFrame([(n, simhash.signed(f)) for n, f in enumerate(fps)], "node long, fp long")
+    assert planted <= {(r.a, r.b) for r in simhash._proposed(nodes, 6).collect()}
