@@ -15,13 +15,15 @@ radius is confirmed with the one fingerprint flipped further than the other.
 
 Fingerprints alone say little about short texts. Where a similarity of shingle sets is asked for,
 they only propose: they are taken over distinct words then, which a changed word moves
-little, each text is compared with the representative of each of its buckets, and the
-similarity of the whole shingle sets decides.
+little, and the similarity of the whole shingle sets decides. Each text is compared with the
+representative of each of its buckets first. What this leaves apart in a bucket of three or more
+is compared pair by pair, in pairs of blocks of bounded size, so a crowded bucket becomes many
+small tasks; a block gives a spanning forest of its links, never the links themselves.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -39,6 +41,9 @@ BITS = 64
 COUNTED = 1 << 16
 # Orders by which buckets choose their representative.
 ORDERS = 8
+# Texts of a crowded bucket that meet in one block, and shingles whose columns are multiplied in one step.
+BLOCK = 256
+COLUMNS = 4096
 
 
 def fingerprint(text: str | None, width: int) -> int:
@@ -179,15 +184,26 @@ def _key(id_col: str, text_col: str) -> Column:
     return F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.xxhash64(text_col).alias("hash"))
 
 
-def _proposed(nodes: DataFrame, radius: int) -> DataFrame:
-    """``(a, b)``: nodes within ``radius`` bits, each with the representative of a bucket they share."""
-    masks = F.array(*[F.lit(m) for m in covering_masks(radius)])
-    entered = nodes.select("node", F.explode(F.transform(masks, lambda m: F.xxhash64(m, F.col("fp").bitwiseAND(m)))).alias("bucket"))
+def _entered(nodes: DataFrame, radius: int) -> DataFrame:
+    """``(node, fp, bucket)``: nodes by their buckets. The lowest ``radius + 1`` bits of a bucket number its table."""
+    masks = F.array(*[F.struct(F.lit(t).cast("long").alias("t"), F.lit(m).alias("m")) for t, m in enumerate(covering_masks(radius))])
+    hashed = F.transform(masks, lambda x: F.shiftleft(F.xxhash64(x["m"], F.col("fp").bitwiseAND(x["m"])), radius + 1).bitwiseOR(x["t"]))
+    return nodes.select("node", "fp", F.explode(hashed).alias("bucket"))
+
+
+def _chosen(nodes: DataFrame, radius: int) -> DataFrame:
+    """``(bucket, rep, n)``: representative and number of nodes of each bucket of two or more."""
     # A few orders of the nodes, by bucket, so that a group has a few representatives and not just one.
     order = F.xxhash64("node", F.pmod("bucket", F.lit(ORDERS)))
-    chosen = entered.groupBy("bucket").agg(F.min(F.struct(order.alias("h"), "node")).alias("first"), F.count(F.lit(1)).alias("n"))
-    chosen = materialize(chosen.where("n > 1").select("bucket", F.col("first.node").alias("rep")))
-    pairs = entered.join(chosen, "bucket").where("node <> rep").select(F.least("node", "rep").alias("a"), F.greatest("node", "rep").alias("b"))
+    first = F.min(F.struct(order.alias("h"), "node")).alias("first")
+    chosen = _entered(nodes, radius).groupBy("bucket").agg(first, F.count(F.lit(1)).alias("n"))
+    return materialize(chosen.where("n > 1").select("bucket", F.col("first.node").alias("rep"), "n"))
+
+
+def _proposed(nodes: DataFrame, radius: int, chosen: DataFrame | None = None) -> DataFrame:
+    """``(a, b)``: nodes within ``radius`` bits, each with the representative of a bucket they share."""
+    chosen = _chosen(nodes, radius) if chosen is None else chosen
+    pairs = _entered(nodes, radius).join(chosen, "bucket").where("node <> rep").select(F.least("node", "rep").alias("a"), F.greatest("node", "rep").alias("b"))
     pairs = materialize(pairs.distinct())
     left = nodes.select(F.col("node").alias("a"), F.col("fp").alias("fa"))
     right = nodes.select(F.col("node").alias("b"), F.col("fp").alias("fb"))
@@ -195,6 +211,123 @@ def _proposed(nodes: DataFrame, radius: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").where(close).select("a", "b")
 
 
+def _blocks(crowded: DataFrame) -> DataFrame:
+    """Members ``(bucket, node, fp, group)`` of buckets with several groups, once for each pair of blocks they belong to.
+
+    The largest group of a bucket has blocks of its own, which never meet each other, so what links
+    with nothing else costs as much as there is of other groups. A small bucket is one block.
+    """
+    sizes = crowded.groupBy("bucket", "group").agg(F.count(F.lit(1)).alias("n"))
+    sizes = sizes.groupBy("bucket").agg(F.max(F.struct("n", "group")).alias("top"), F.sum("n").alias("all"), F.count(F.lit(1)).alias("groups"))
+    sizes = materialize(sizes.where("groups > 1").select("bucket", "all", "top"))
+    rest = F.ceil((F.col("all") - F.col("top.n")) / BLOCK).cast("int")
+    most = F.ceil(F.col("top.n") / BLOCK).cast("int")
+    placed = crowded.join(sizes, "bucket").withColumns({"rest": rest, "most": most})
+    number, small, inside = F.xxhash64("node"), F.col("all") <= BLOCK, F.col("group") == F.col("top.group")
+    own = F.when(small, 0).when(inside, F.col("rest") + F.pmod(number, "most")).otherwise(F.pmod(number, "rest")).cast("int")
+    last = F.when(small, 0).when(inside, F.col("rest") - 1).otherwise(F.col("rest") + F.col("most") - 1)
+    met = placed.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), last)))
+    return met.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "fp", "group")
+
+
+def _by_block(run: Callable[[pa.Table], pa.RecordBatch]):
+    """A function for mapInArrow over rows sorted by (bucket, i, j): ``run`` gets the rows of one pair of blocks after the other."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        last = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys = [batch.column(n).to_numpy(zero_copy_only=False) for n in range(3)]
+            change = np.flatnonzero(np.any([np.diff(k) != 0 for k in keys], axis=0)) + 1
+            for a, b in zip([0, *change], [*change, batch.num_rows], strict=True):
+                key = tuple(k[a] for k in keys)
+                if held and key != last:
+                    yield run(pa.Table.from_batches(held))
+                    held = []
+                held.append(batch.slice(a, b - a))
+                last = key
+        if held:
+            yield run(pa.Table.from_batches(held))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return (made for made in each(batches) if made.num_rows)
+
+    return work
+
+
+def _waiting(block: pa.Table, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the pairs of a block that are to be compared: of different groups, within ``radius`` bits, in no earlier table."""
+    bucket, i, j, own, _, fp, group = (block.column(n).to_numpy() for n in range(7))
+    apart = fp.view("<u8")[:, None] ^ fp.view("<u8")[None, :]
+    near = (np.bitwise_count(apart) <= radius) & (group[:, None] != group[None, :])
+    if i[0] != j[0]:
+        # Pairs within one of the two blocks meet where that block meets itself.
+        near &= own[:, None] != own[None, :]
+    a, b = np.nonzero(np.triu(near, 1))
+    masks = np.array(covering_masks(radius), np.int64).view("<u8")
+    table = int(bucket[0]) & (1 << radius + 1) - 1
+    parts = [slice(at, at + COLUMNS) for at in range(0, len(a), COLUMNS)]
+    here = [((apart[a[x], b[x]][:, None] & masks) == 0).argmax(axis=1) == table for x in parts]
+    here = np.concatenate([np.zeros(0, bool), *here])
+    return a[here], b[here]
+
+
+def _in_common(sets: list[np.ndarray]) -> np.ndarray:
+    """Number of elements that any two of the sets have in common."""
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    _, at, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = times[at] > 1
+    owner, (_, at) = owner[shared], np.unique(at[shared], return_inverse=True)
+    order = np.argsort(at, kind="stable")
+    owner, at = owner[order], at[order]
+    both = np.zeros((len(sets), len(sets)))
+    for begin in range(0, at[-1] + 1 if len(at) else 0, COLUMNS):
+        part = slice(*np.searchsorted(at, [begin, begin + COLUMNS]))
+        has = np.zeros((len(sets), COLUMNS), np.float32)
+        has[owner[part], at[part] - begin] = 1
+        both += has @ has.T
+    return both
+
+
+def _left_apart(crowded: DataFrame, sets: DataFrame, radius: int, least: float) -> DataFrame:
+    """Links ``(a, b)`` between groups whose members ``(bucket, node, fp, group)`` are alike, as many as connect them."""
+    order = ["bucket", "i", "j"]
+    fields = "bucket long, i int, j int, own int, node long, fp long, group long"
+
+    def ask(block: pa.Table) -> pa.RecordBatch:
+        some = pa.array(np.unique(np.concatenate(_waiting(block, radius))), pa.int64())
+        return pa.RecordBatch.from_arrays([c.combine_chunks().take(some) for c in block.columns], names=block.column_names)
+
+    def link(block: pa.Table) -> pa.RecordBatch:
+        a, b = _waiting(block, radius)
+        group = block.column(6).to_numpy()
+        shingles = [np.asarray(s.values.to_numpy(zero_copy_only=False)) for s in block.column(7)]
+        size, both = np.array([len(s) for s in shingles]), _in_common(shingles)[a, b]
+        alike = both >= least * (size[a] + size[b] - both)
+        parent: dict[int, int] = {}
+
+        def top(x: int) -> int:
+            while (up := parent.setdefault(x, x)) != x:
+                parent[x] = x = parent[up]
+            return x
+
+        found = []
+        for x, y in zip(group[a[alike]].tolist(), group[b[alike]].tolist(), strict=True):
+            if top(x) != top(y):
+                parent[top(x)] = top(y)
+                found.append((x, y))
+        columns = [pa.array([f[n] for f in found], pa.int64()) for n in (0, 1)]
+        return pa.RecordBatch.from_arrays(columns, names=["a", "b"])
+
+    # Only texts with a partner to be compared take their shingles along.
+    met = _blocks(crowded).repartition(*order).sortWithinPartitions(*order)
+    asked = materialize(met.mapInArrow(_by_block(ask), fields))
+    full = asked.join(sets, "node").select(*asked.columns, "shingles").repartition(*order).sortWithinPartitions(*order)
+    return full.mapInArrow(_by_block(link), "a long, b long")
+
+
 def keep_first(docs: DataFrame, id_col: str, text_col: str, width: int = 5, least: float = 0.8, radius: int = 6) -> DataFrame:
     """One row of each group of near-duplicates: that with the smallest id, null ids last; same columns.
 
@@ -215,14 +348,18 @@ def keep_first(docs: DataFrame, id_col: str, text_col: str, width: int = 5, leas
     scanned = rows.mapInArrow(scan, with_fields(rows.select("key").schema, "node long, fp long"))
     # Texts alike are one node before anything is compared.
     nodes = materialize(scanned.groupBy("node").agg(F.min("key").alias("first"), F.min("fp").alias("fp")))
-    proposed = materialize(_proposed(nodes, radius))
+    chosen = _chosen(nodes, radius)
+    proposed = materialize(_proposed(nodes, radius, chosen))
+    # In buckets of two the representative has met all there is.
+    crowded = materialize(_entered(nodes, radius).join(chosen.where("n > 2"), "bucket").select("bucket", "node", "fp"))
 
     def shingle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             made = pa.array([shingle_set(t.as_py(), width) for t in batch.column(1)], pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([batch.column(0), made], names=["node", "shingles"])
 
-    asked = materialize(proposed.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes, "node").select("node", F.col("first").alias("key")))
+    asked = proposed.select(F.explode(F.array("a", "b")).alias("node")).unionByName(crowded.select("node")).distinct()
+    asked = materialize(asked.join(nodes, "node").select("node", F.col("first").alias("key")))
     # Rows alike in id and text meet here once more.
     texts = rows.join(asked, "key").select("node", text_col)
     sets = materialize(texts.mapInArrow(shingle, "node long, shingles array<long>").dropDuplicates(["node"]))
@@ -233,7 +370,10 @@ def keep_first(docs: DataFrame, id_col: str, text_col: str, width: int = 5, leas
     edges = proposed.join(a, "a").join(b, "b").where(alike).select("a", "b")
 
     roots = components(edges).select("node", "root")
-    groups = materialize(nodes.join(roots, "node", "left").select(F.coalesce("root", "node").alias("group"), "first"))
+    groups = materialize(nodes.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("group"), "first"))
+    apart = _left_apart(materialize(crowded.join(groups, "node").select("bucket", "node", "fp", "group")), sets, radius, least)
+    further = components(apart).select(F.col("node").alias("group"), "root")
+    groups = materialize(groups.join(further, "group", "left").select(F.coalesce("root", "group").alias("group"), "first"))
     kept = materialize(groups.groupBy("group").agg(F.min("first").alias("__key")).select("__key"))
     # Key by key: rows that repeat an id and a text come down to one.
     order = F.row_number().over(Window.partitionBy("__key").orderBy(F.xxhash64(*docs.columns)))

@@ -1,6 +1,7 @@
 import random
 from itertools import combinations
 
+import numpy as np
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -154,3 +155,27 @@ def test_pairs_at_six_bits_are_proposed_among_many_unrelated_ones(spark):
     fps += [fps[n] ^ sum(1 << b for b in rnd.sample(range(64), 6)) for n in range(100)]
     nodes = spark.createDataFrame([(n, simhash.signed(f)) for n, f in enumerate(fps)], "node long, fp long")
     assert planted <= {(r.a, r.b) for r in simhash._proposed(nodes, 6).collect()}
+
+
+def test_keep_first_finds_near_copies_within_a_template_family(spark):
+    rnd = random.Random(9)
+    template = [f"t{n}" for n in range(260)]
+    rows = []
+    for n in range(500):
+        words = [*template, *(f"p{n}w{k}" for k in range(40))]
+        copy = list(words)
+        copy[260 + rnd.randrange(40)] = f"new{n}"
+        rows += [(2 * n, " ".join(words)), (2 * n + 1, " ".join(copy))]
+    assert jaccard(rows[0][1], rows[1][1]) > 0.9 and jaccard(rows[0][1], rows[2][1]) < 0.8
+    prints = {i: simhash.word_fingerprint(t)[1] for i, t in rows}
+    near = [n for n in range(500) if ((prints[2 * n] ^ prints[2 * n + 1]) % (1 << 64)).bit_count() <= 6]
+    kept = {r.doc_id for r in simhash.keep_first(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text").collect()}
+    assert len(near) > 450 and {2 * n for n in range(500)} <= kept
+    assert [n for n in near if 2 * n + 1 in kept] == []
+
+
+def test_elements_in_common():
+    rnd = random.Random(10)
+    sets = [{rnd.randrange(20_000) for _ in range(rnd.randrange(6000))} for _ in range(12)]
+    got = simhash._in_common([np.array(sorted(s), np.int64) for s in sets])
+    assert got.tolist() == [[len(a & b) if a is not b else len(a & set().union(*(s for s in sets if s is not a))) for b in sets] for a in sets]
