@@ -4,11 +4,13 @@ Documents overlap if they share a rare line: one long enough to be no chance hit
 occurs once in each of them. Each such line links a later document to the first one that
 has it, however many others do, so there are never more pairs than lines. The line
 hashes of a pair are aligned by patience diff, and blocks of aligned lines go from the
-later document. The first document with a line keeps it, so no line is lost altogether.
+later document. Alignment is increasing, so passages in another order cross; a run of lines of
+the later document that the earlier one holds anywhere goes as well. The first document with a line keeps it, so no line is lost altogether.
 """
 
 from __future__ import annotations
 
+import struct
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
@@ -29,7 +31,11 @@ def line_hashes(text: str | None) -> tuple[list[int], list[int]]:
     """Signed 64-bit hash and number of words of each line, without white space around it."""
     lines = (text or "").split("\n")
     digests = (xxhash.xxh64_intdigest(line.strip()) for line in lines)
-    return [d - (1 << 64) if d >> 63 else d for d in digests], [len(line.split()) for line in lines]
+    return [_signed(d) for d in digests], [len(line.split()) for line in lines]
+
+
+def _signed(digest: int) -> int:
+    return digest - (1 << 64) if digest >> 63 else digest
 
 
 def _anchors(a: list[int], b: list[int], a0: int, a1: int, b0: int, b1: int) -> list[tuple[int, int]]:
@@ -92,6 +98,43 @@ def common_blocks(a: list[int], b: list[int], words: list[int], min_words: int)
     return found
 
 
+def runs(hashes: list[int], words: list[int], min_words: int) -> list[tuple[int, int, int]]:
+    """``(start, end, hash)``: from each line with a word, the shortest run of lines that has ``min_words`` words."""
+    found: list[tuple[int, int, int]] = []
+    end = have = 0
+    for start, own in enumerate(words):
+        while end < len(words) and have < min_words:
+            have += words[end]
+            end += 1
+        if have < min_words:
+            break
+        if own:
+            one = end == start + 1
+            found.append((start, end, hashes[start] if one else _signed(xxhash.xxh64_intdigest(struct.pack(f"<{end - start}q", *hashes[start:end])))))
+        have -= own
+    return found
+
+
+def held_runs(a: list[int], b: list[int], words: list[int], min_words: int) -> list[int]:
+    """Places in ``b`` of the runs that ``a`` has anywhere, and of the lines that go on alike after them."""
+    known = dict(zip(b, words, strict=True))
+    # A line that only a has ends a run, which b then does not have.
+    places: dict[int, int] = {}
+    for start, _, h in runs(a, [known.get(x, min_words) for x in a], min_words):
+        places.setdefault(h, start)
+    found: list[int] = []
+    done = 0
+    for start, end, h in runs(b, words, min_words):
+        if end <= done or h not in places:
+            continue
+        ahead = places[h] + end - start
+        while end < len(b) and ahead < len(a) and a[ahead] == b[end]:
+            ahead, end = ahead + 1, end + 1
+        found += range(max(start, done), end)
+        done = end
+    return found
+
+
 def _key(id_col: str, text_col: str) -> Column:
     """Orders documents: by id, null last, then by text; rows alike in both are one document."""
     return F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.xxhash64(text_col).alias("hash"))
@@ -131,7 +174,7 @@ def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             columns = [batch.column(n).to_pylist() for n in (1, 2, 3)]
-            places = [common_blocks(*x, min_words) for x in zip(*columns, strict=True)]
+            places = [sorted({*common_blocks(*x, min_words), *held_runs(*x, min_words)}) for x in zip(*columns, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(places, pa.list_(pa.int32()))], names=["key", "places"])
 
     found = both.mapInArrow(align, with_fields(both.select("key").schema, "places array<int>"))
@@ -141,7 +184,7 @@ def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def drop_duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """``docs`` without the aligned blocks that an earlier document has; same rows and columns.
+    """``docs`` without the blocks of lines that an earlier document has; same rows and columns.
 
     Documents are in the order of their id (null ids last), then of a hash of their text; rows
     alike in both are one document and keep or lose the same lines. A text that loses all its

@@ -62,3 +62,27 @@ def test_odd_rows(spark):
     expected = [(None, ""), (None, ""), (2, LONG[0]), (2, LONG[0]), (3, None), (4, ""), (5, "\n\n"), (6, "z" * 100_000)]
     assert got == sorted(expected, key=str)
     assert texts_after(spark, []) == []
+
+
+def test_passages_in_another_order_go(spark):
+    p, q = "\n".join(LONG[:8]), "\n".join(LONG[8:16])
+    got = dict(texts_after(spark, [(1, f"{q}\n{p}"), (2, f"{p}\n{q}"), (3, f"{p}\n{q}"), (4, f"{p}\nThe fourth has a line of its own.\n{q}")]))
+    assert got == {1: f"{q}\n{p}", 2: "", 3: "", 4: "The fourth has a line of its own."}
+
+
+def test_held_runs_equal_brute_force():
+    rnd = random.Random(6)
+    for _ in range(500):
+        words = [rnd.randrange(4) for _ in range(8)]
+        a, b = ([rnd.randrange(8) for _ in range(rnd.randrange(20))] for _ in range(2))
+        got = set(line_dedup.held_runs(a, b, [words[x] for x in b], 5))
+        expected = set()
+        for start in range(len(b)):
+            for end in range(start + 1, len(b) + 1):
+                part = b[start:end]
+                if words[part[0]] and sum(words[x] for x in part) >= 5 and any(a[i : i + len(part)] == part for i in range(len(a))):
+                    expected |= set(range(start, end))
+                    break
+        # All of every shortest run goes; what follows it goes if it is alike.
+        assert expected <= got
+        assert all(any(a[i : i + 1] == [b[j]] for i in range(len(a))) for j in got)
