@@ -1,8 +1,8 @@
 """Line dedup by pairwise alignment.
 
-Documents overlap if they share a rare line: one long enough to be no chance hit, which
-occurs once in each of them. Each such line links a later document to the first one that
-has it, however many others do, so there are never more pairs than lines. The line
+Documents overlap if they share a run of lines with enough words to be no chance hit: mostly one
+line, or as many short ones as it takes. Each run links a later document to the first one that
+has it, however many others do and how often, so there are never more pairs than lines. The line
 hashes of a pair are aligned by patience diff, and blocks of aligned lines go from the
 later document. Alignment is increasing, so passages in another order cross; a run of lines of
 the later document that the earlier one holds anywhere goes as well. The first document with a line keeps it, so no line is lost altogether.
@@ -10,10 +10,11 @@ the later document that the earlier one holds anywhere goes as well. The first d
 
 from __future__ import annotations
 
+import re
 import struct
 from bisect import bisect_left
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import xxhash
@@ -23,15 +24,23 @@ from pyspark.sql import functions as F
 from segqa.llm.arrow import with_fields
 from segqa.plans.scale import materialize
 
-# Words that a line needs to link documents, and a block to be deleted.
+# Words that a run of lines needs to link documents, and a block to be deleted.
 MIN_WORDS = 5
+# Scripts without blanks between words (Thai, Lao, Burmese, Khmer, Japanese, Chinese), and characters of theirs that count as a word.
+UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
+UNSPACED_WORD = 2
 
 
 def line_hashes(text: str | None) -> tuple[list[int], list[int]]:
     """Signed 64-bit hash and number of words of each line, without white space around it."""
     lines = (text or "").split("\n")
     digests = (xxhash.xxh64_intdigest(line.strip()) for line in lines)
-    return [_signed(d) for d in digests], [len(line.split()) for line in lines]
+    return [_signed(d) for d in digests], [_words(line) for line in lines]
+
+
+def _words(line: str) -> int:
+    found = len(line.split())
+    return found if line.isascii() else max(found, len(UNSPACED.findall(line)) // UNSPACED_WORD)
 
 
 def _signed(digest: int) -> int:
@@ -140,34 +149,36 @@ def _key(id_col: str, text_col: str) -> Column:
     return F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.xxhash64(text_col).alias("hash"))
 
 
-def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        hashes, words = [], []
-        for text in batch.column(1):
-            h, w = line_hashes(text.as_py())
-            hashes.append(h)
-            words.append(w)
-        made = [pa.array(hashes, pa.list_(pa.int64())), pa.array(words, pa.list_(pa.int32()))]
-        yield pa.RecordBatch.from_arrays([batch.column(0), *made], names=["key", "lines", "words"])
+def _scan(min_words: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hashes, words, linking = [], [], []
+            for text in batch.column(1):
+                h, w = line_hashes(text.as_py())
+                hashes.append(h)
+                words.append(w)
+                linking.append(list({x[2] for x in runs(h, w, min_words)}))
+            made = [pa.array(hashes, pa.list_(pa.int64())), pa.array(words, pa.list_(pa.int32())), pa.array(linking, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *made], names=["key", "lines", "words", "runs"])
+
+    return run
 
 
 def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """``(key, places)``: for each document that loses lines, their places from 0 in ascending order."""
     keyed = docs.select(_key(id_col, text_col).alias("key"), F.col(text_col))
-    schema = with_fields(keyed.select("key").schema, "lines array<long>, words array<int>")
-    lines = materialize(keyed.mapInArrow(_scan, schema).groupBy("key").agg(F.first("lines").alias("lines"), F.first("words").alias("words")))
-
-    long_lines = F.filter(F.arrays_zip("lines", "words"), lambda x: x["words"] >= min_words)
-    each = lines.select("key", F.explode(F.transform(long_lines, lambda x: x["lines"])).alias("line"))
-    # A line that a document repeats is no anchor there.
-    single = each.groupBy("key", "line").count().where("count = 1").select("key", "line")
-    single = materialize(single)
-    shared = single.groupBy("line").agg(F.min("key").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    # From tables on both sides, so that the rows of a frequent line can be split.
-    shared = materialize(shared.select("line", "first"))
-    pairs = materialize(single.join(shared, "line").where("key <> first").select("key", "first").distinct())
-
-    later = pairs.join(lines, "key")
+    schema = with_fields(keyed.select("key").schema, "lines array<long>, words array<int>, runs array<long>")
+    scanned = keyed.mapInArrow(_scan(min_words), schema).groupBy("key")
+    lines = materialize(scanned.agg(*[F.first(c).alias(c) for c in ("lines", "words", "runs")]))
+
+    # A run that a document repeats links it once.
+    each = lines.select("key", F.explode("runs").alias("run"))
+    shared = each.groupBy("run").agg(F.min("key").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    # From tables on both sides, so that the rows of a frequent run can be split.
+    shared = materialize(shared.select("run", "first"))
+    pairs = materialize(each.join(shared, "run").where("key <> first").select("key", "first").distinct())
+
+    later = pairs.join(lines.drop("runs"), "key")
     earlier = lines.select(F.col("key").alias("first"), F.col("lines").alias("before"))
     both = later.join(earlier, "first").select("key", "before", "lines", "words")
 

@@ -86,3 +86,19 @@ def test_held_runs_equal_brute_force():
         # All of every shortest run goes; what follows it goes if it is alike.
         assert expected <= got
         assert all(any(a[i : i + 1] == [b[j]] for i in range(len(a))) for j in got)
+
+
+def test_short_lines_unspaced_scripts_and_repeated_passages_link(spark):
+    verse = "\n".join(f"{a} {b}" for a, b in zip("red sun cold moon far hill".split(), "old sky pale sea deep well".split(), strict=True))
+    chinese = "\n".join(["今天的天气非常好我们去公园散步", "他们在图书馆里看了一整天的书"])
+    twice = "\n".join([*LONG[:6], "The passage comes once more now.", *LONG[:6]])
+    rows = [
+        (1, f"One document has this first line.\n{verse}"), (2, f"Two begins in words of its own.\n{verse}"),
+        (3, chinese), (4, f"第四份文件自己的第一行文字内容\n{chinese}"),
+        (5, twice), (6, "\n".join(["Six has a passage that five repeats.", *LONG[:6]])),
+        (7, "\n".join(LONG[10:16])), (8, "\n".join([*LONG[10:16], "Eight has what seven has two times.", *LONG[10:16]])),
+    ]
+    got = dict(texts_after(spark, rows))
+    assert [got[i] for i in (1, 3, 5, 7)] == [rows[i - 1][1] for i in (1, 3, 5, 7)]
+    assert got[2] == "Two begins in words of its own." and got[4] == "第四份文件自己的第一行文字内容"
+    assert got[6] == "Six has a passage that five repeats." and got[8] == "Eight has what seven has two times."
