@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from segqa.llm import bpe, chat, langid, lattice, line_dedup, packing, quality, secret_scan, sharding, simhash
+from segqa.llm import bpe, chat, langid, lattice, line_dedup, mixing, packing, quality, secret_scan, sharding, simhash
 from segqa.llm.oracles import ORACLES
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -154,3 +154,12 @@ def op10_bpe_round_trip(spark: SparkSession, sf: str) -> DataFrame:
 
     docs = _table(spark, sf, "documents").select("doc_id", "text")
     return docs.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+
+
+@query
+def op11_pivotal_mixing(spark: SparkSession, sf: str) -> DataFrame:
+    """No SQL: which documents are rounded up is drawn at random. Words that the mix takes of each document."""
+    found = mixing.copies(_table(spark, sf, "documents"))
+    return found.select(
+        F.col("id").alias("doc_id"), "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies", "source"
+    )
