@@ -87,4 +87,27 @@ def _quality() -> str:
     from docs join base using (rid) left join word_js w using (rid) left join class_js c using (rid)"""
 
 
-ORACLES = {"op5_secret_scan": _secrets(), "op6_lattice_near_dedup": _LATTICE, "op7_quality_rules": _quality()}
+_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+
+
+def _ranked() -> str:
+    said = f"regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '{_TERM}')"
+    return f"""with docs as materialized (select row_number() over () as rid, doc_id, {said} as terms from documents),
+    corpus as (select count(*) as docs_n, sum(len(terms))::bigint as all_n from docs where len(terms) > 0),
+    occurring as materialized (select rid, unnest(terms) as term from docs), tf as materialized (select rid, term, count(*) as tf from occurring group by all),
+    df as materialized (select term, count(*) as df from tf group by term),
+    weights as materialized (select term, cast(floor(1000 * ln((2 * docs_n + 2) / (2 * df + 1))) as bigint) as w from df, corpus),
+    norms as materialized (select rid, doc_id, 100 - 50 + ((50 * len(terms) * docs_n) // all_n) as m from docs, corpus where len(terms) > 0),
+    items as materialized (select row_number() over () as iid, * from (select distinct item_id, text from benchmark)),
+    asked as materialized (select distinct iid, unnest({said}) as term from items),
+    scores as (select iid, rid, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * m)))::bigint as score
+      from asked join tf using (term) join weights using (term) join norms using (rid) group by all),
+    ranked as (select iid, doc_id, score, row_number() over (partition by iid order by score desc, doc_id nulls last) as r
+      from scores join norms using (rid) where score > 0)
+    select item_id, cast(r as integer) as rank, doc_id, score from ranked join items using (iid) where r <= 50"""
+
+
+ORACLES = {
+    "op5_secret_scan": _secrets(), "op6_lattice_near_dedup": _LATTICE, "op7_quality_rules": _quality(), "op13_ball_tree_search": _ranked(),
+}

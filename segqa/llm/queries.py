@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from segqa.llm import bpe, chat, langid, lattice, line_dedup, mixing, packing, quality, secret_scan, sharding, simhash
+from segqa.llm import bpe, chat, langid, lattice, lexical, line_dedup, mixing, packing, quality, secret_scan, sharding, simhash
 from segqa.llm.oracles import ORACLES
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -163,3 +163,8 @@ def op11_pivotal_mixing(spark: SparkSession, sf: str) -> DataFrame:
     return found.select(
         F.col("id").alias("doc_id"), "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies", "source"
     )
+
+
+@query
+def op13_ball_tree_search(spark: SparkSession, sf: str) -> DataFrame:
+    return lexical.search(_table(spark, sf, "documents"), _table(spark, sf, "benchmark"), limit=50)

@@ -13,10 +13,10 @@ from test_simhash import plain_fingerprint, smallest_reachable
 import __spark_entry__ as entry
 from segqa.llm.oracles import ORACLES
 
-TABLES = ["documents", "embeddings", "conversations"]
+TABLES = ["documents", "embeddings", "conversations", "benchmark"]
 NAMES = [
     "op1_simhash", "op2_line_dedup", "op3_language_id", "op4_virtual_slots", "op5_secret_scan", "op6_lattice_near_dedup", "op7_quality_rules",
-    "op8_chat_windows", "op9_best_fit_packing", "op10_bpe_round_trip", "pipeline",
+    "op8_chat_windows", "op9_best_fit_packing", "op10_bpe_round_trip", "op11_pivotal_mixing", "op12_spelling_variants", "op13_ball_tree_search", "pipeline",
 ]
 
 
