@@ -108,6 +108,33 @@ def _ranked() -> str:
     select item_id, cast(r as integer) as rank, doc_id, score from ranked join items using (iid) where r <= 50"""
 
 
+def _spelling() -> str:
+    # The checksum byte by byte through its table; letters up to U+00FF take one or two bytes.
+    low = _LOWER.format("coalesce(text, '')")
+    return f"""with recursive crc as materialized (select list(list_reduce(list_concat([i], range(8)), lambda a, x: case when a % 2 = 1 then xor(a >> 1, 3988292384) else a >> 1 end) order by i) as t
+      from (select unnest(range(256)) as i)),
+    occurring as materialized (select doc_id, unnest(regexp_extract_all({low}, '[a-zÀ-ÿ]+')) as run from documents),
+    runs as materialized (select doc_id, run, count(*) as n from occurring group by all),
+    coded as (select *, flatten(list_transform(string_split(doc_id || ':' || run, ''),
+        lambda c: case when ord(c) < 128 then [ord(c)::bigint] else [192 + (ord(c) >> 6)::bigint, 128 + (ord(c) & 63)::bigint] end)) as bytes from runs),
+    hashed as materialized (select run, n, xor(list_reduce(list_concat([4294967295], bytes), lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1])), 4294967295) as h from coded, crc),
+    changed as (select case when h % 97 = 0 then left(run, (h % length(run))::bigint) || substr(run, (h % length(run))::bigint + 2) else run end as word, n from hashed),
+    words as materialized (select word, sum(n)::bigint as n from changed group by word having length(word) >= 5 and sum(n) >= 3),
+    places as materialized (select word, unnest(range(1, length(word) + 1)) as i from words),
+    masked as materialized (select word, i, left(word, i - 1) as head, substr(word, i + 1) as tail from places),
+    pairs as materialized (select distinct * from (
+      select a.word as a, b.word as b from masked a join masked b on a.i = b.i and a.head = b.head and a.tail = b.tail and a.word <> b.word
+      union all select m.word, w.word from masked m join words w on w.word = m.head || m.tail
+      union all select w.word, m.word from masked m join words w on w.word = m.head || m.tail)),
+    near as (select a as word, b as other, words.n as other_n, row_number() over (partition by a order by words.n desc, b) as r, count(*) over (partition by a) as n_near from pairs join words on word = b),
+    judged as materialized (select words.word, words.n, coalesce(n_near, 0) as n_near, case when other_n >= 2 * words.n then other end as form, case when other_n >= 2 * words.n then other_n end as form_n
+      from words left join near on near.word = words.word and r = 1),
+    chain as (select word, word as root from judged union all select c.word, j.form from chain c join judged j on j.word = c.root where j.form is not null),
+    ends as (select c.word, c.root from chain c join judged j on j.word = c.root where j.form is null)
+    select word, form, root, n, n_near, form_n from judged join ends using (word)"""
+
+
 ORACLES = {
-    "op5_secret_scan": _secrets(), "op6_lattice_near_dedup": _LATTICE, "op7_quality_rules": _quality(), "op13_ball_tree_search": _ranked(),
+    "op5_secret_scan": _secrets(), "op6_lattice_near_dedup": _LATTICE, "op7_quality_rules": _quality(),
+    "op12_spelling_variants": _spelling(), "op13_ball_tree_search": _ranked(),
 }

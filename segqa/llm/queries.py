@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from segqa.llm import bpe, chat, langid, lattice, lexical, line_dedup, mixing, packing, quality, secret_scan, sharding, simhash
+from segqa.llm import bpe, chat, langid, lattice, lexical, line_dedup, mixing, packing, quality, secret_scan, sharding, simhash, spelling
 from segqa.llm.oracles import ORACLES
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -165,6 +165,11 @@ def op11_pivotal_mixing(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query
+def op12_spelling_variants(spark: SparkSession, sf: str) -> DataFrame:
+    return spelling.variants(_table(spark, sf, "documents"))
+
+
 @query
 def op13_ball_tree_search(spark: SparkSession, sf: str) -> DataFrame:
     return lexical.search(_table(spark, sf, "documents"), _table(spark, sf, "benchmark"), limit=50)
