@@ -185,30 +185,62 @@ def _key(id_col: str, text_col: str) -> Column:
 
 
 def _entered(nodes: DataFrame, radius: int) -> DataFrame:
-    """``(node, fp, bucket)``: nodes by their buckets. The lowest ``radius + 1`` bits of a bucket number its table."""
-    masks = F.array(*[F.struct(F.lit(t).cast("long").alias("t"), F.lit(m).alias("m")) for t, m in enumerate(covering_masks(radius))])
-    hashed = F.transform(masks, lambda x: F.shiftleft(F.xxhash64(x["m"], F.col("fp").bitwiseAND(x["m"])), radius + 1).bitwiseOR(x["t"]))
-    return nodes.select("node", "fp", F.explode(hashed).alias("bucket"))
+    """``(bucket, node, fp)``: nodes by their buckets, each bucket in one task and in its own order of the nodes.
+
+    The lowest ``radius + 1`` bits of a bucket number its table. Rows travel without their bucket, which is
+    computed again where they arrive.
+    """
+    masks = covering_masks(radius)
+    mask = F.element_at(F.array(*map(F.lit, masks)), F.col("t") + 1)
+    bucket = F.shiftleft(F.xxhash64(mask, F.col("fp").bitwiseAND(mask)), radius + 1).bitwiseOR(F.col("t"))
+    # A few orders of the nodes, by table, so that a group has a few representatives and not just one.
+    order = F.xxhash64("node", F.pmod("t", F.lit(ORDERS)))
+    rows = nodes.select("node", "fp", F.explode(F.sequence(F.lit(0), F.lit(len(masks) - 1))).alias("t")).repartition(bucket)
+    return rows.select(bucket.alias("bucket"), "node", "fp", order.alias("order")).sortWithinPartitions("bucket", "order").drop("order")
 
 
-def _chosen(nodes: DataFrame, radius: int) -> DataFrame:
-    """``(bucket, rep, n)``: representative and number of nodes of each bucket of two or more."""
-    # A few orders of the nodes, by bucket, so that a group has a few representatives and not just one.
-    order = F.xxhash64("node", F.pmod("bucket", F.lit(ORDERS)))
-    first = F.min(F.struct(order.alias("h"), "node")).alias("first")
-    chosen = _entered(nodes, radius).groupBy("bucket").agg(first, F.count(F.lit(1)).alias("n"))
-    return materialize(chosen.where("n > 1").select("bucket", F.col("first.node").alias("rep"), "n"))
+def _met(nodes: DataFrame, radius: int) -> DataFrame:
+    """``(bucket, node, fp, rep)``: one pass over the buckets.
 
+    The first node of a bucket represents it. Rows with ``rep`` are nodes within ``radius`` bits of their bucket's
+    representative; rows without are all members of a bucket of three or more, by ``bucket``.
+    """
+    names = ["bucket", "node", "fp", "rep"]
 
-def _proposed(nodes: DataFrame, radius: int, chosen: DataFrame | None = None) -> DataFrame:
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # The first rows of the bucket that the last batch ended in, two at most, and whether it is known to be crowded.
+        held, known = [np.zeros(0, np.int64)] * 3, False
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            old = len(held[0])
+            bucket, node, fp = (np.concatenate([h, c.to_numpy()]) for h, c in zip(held, batch.columns, strict=True))
+            starts = np.concatenate([[0], np.flatnonzero(np.diff(bucket)) + 1])
+            sizes = np.diff([*starts, len(bucket)])
+            first = np.repeat(starts, sizes)
+            place = np.arange(len(bucket)) - first
+            close = (np.bitwise_count((fp ^ fp[first]).view("<u8")) <= radius) & (place > 0)
+            close[:old] = False
+            crowded = np.repeat(sizes > 2, sizes)
+            if known:
+                crowded[: sizes[0]] = True
+                crowded[:old] = False
+            near, full = np.flatnonzero(close), np.flatnonzero(crowded)
+            if len(near) + len(full):
+                at = np.concatenate([near, full])
+                rep = pa.array(node[first[at]], mask=np.arange(len(at)) >= len(near))
+                yield pa.RecordBatch.from_arrays([*(pa.array(c[at]) for c in (bucket, node, fp)), rep], names=names)
+            known = bool(sizes[-1] > 2 or known and len(sizes) == 1)
+            last = slice(starts[-1], starts[-1] + (1 if known else 2))
+            held = [c[last] for c in (bucket, node, fp)]
+
+    return materialize(_entered(nodes, radius).mapInArrow(walk, ", ".join(f"{n} long" for n in names)))
+
+
+def _proposed(nodes: DataFrame, radius: int, met: DataFrame | None = None) -> DataFrame:
     """``(a, b)``: nodes within ``radius`` bits, each with the representative of a bucket they share."""
-    chosen = _chosen(nodes, radius) if chosen is None else chosen
-    pairs = _entered(nodes, radius).join(chosen, "bucket").where("node <> rep").select(F.least("node", "rep").alias("a"), F.greatest("node", "rep").alias("b"))
-    pairs = materialize(pairs.distinct())
-    left = nodes.select(F.col("node").alias("a"), F.col("fp").alias("fa"))
-    right = nodes.select(F.col("node").alias("b"), F.col("fp").alias("fb"))
-    close = F.bit_count(F.col("fa").bitwiseXOR(F.col("fb"))) <= radius
-    return pairs.join(left, "a").join(right, "b").where(close).select("a", "b")
+    met = _met(nodes, radius) if met is None else met
+    return met.where("rep is not null").select(F.least("node", "rep").alias("a"), F.greatest("node", "rep").alias("b")).distinct()
 
 
 def _blocks(crowded: DataFrame) -> DataFrame:
@@ -348,10 +380,10 @@ def keep_first(docs: DataFrame, id_col: str, text_col: str, width: int = 5, leas
     scanned = rows.mapInArrow(scan, with_fields(rows.select("key").schema, "node long, fp long"))
     # Texts alike are one node before anything is compared.
     nodes = materialize(scanned.groupBy("node").agg(F.min("key").alias("first"), F.min("fp").alias("fp")))
-    chosen = _chosen(nodes, radius)
-    proposed = materialize(_proposed(nodes, radius, chosen))
+    met = _met(nodes, radius)
+    proposed = materialize(_proposed(nodes, radius, met))
     # In buckets of two the representative has met all there is.
-    crowded = materialize(_entered(nodes, radius).join(chosen.where("n > 2"), "bucket").select("bucket", "node", "fp"))
+    crowded = met.where("rep is null").select("bucket", "node", "fp")
 
     def shingle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -375,7 +407,7 @@ def keep_first(docs: DataFrame, id_col: str, text_col: str, width: int = 5, leas
     further = components(apart).select(F.col("node").alias("group"), "root")
     groups = materialize(groups.join(further, "group", "left").select(F.coalesce("root", "group").alias("group"), "first"))
     kept = materialize(groups.groupBy("group").agg(F.min("first").alias("__key")).select("__key"))
-    # Key by key: rows that repeat an id and a text come down to one.
-    order = F.row_number().over(Window.partitionBy("__key").orderBy(F.xxhash64(*docs.columns)))
-    found = docs.withColumn("__key", key).join(kept, "__key", "left_semi").withColumn("__n", order)
-    return found.where("__n = 1").select(*docs.columns)
+    # Key by key: rows that repeat an id and a text come down to one. The columns travel as one, so that their names can't clash.
+    given = docs.select(key.alias("__key"), F.struct(*docs.columns).alias("__row"), F.xxhash64(*docs.columns).alias("__order"))
+    found = given.join(kept, "__key", "left_semi").withColumn("__n", F.row_number().over(Window.partitionBy("__key").orderBy("__order")))
+    return found.where("__n = 1").select(*[F.col("__row")[c].alias(c) for c in docs.columns])
