@@ -184,8 +184,13 @@ def _key(id_col: str, text_col: str) -> Column:
     return F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.xxhash64(text_col).alias("hash"))
 
 
-def _entered(nodes: DataFrame, radius: int) -> DataFrame:
-    """``(bucket, node, fp)``: nodes by their buckets, each bucket in one task and in its own order of the nodes.
+def _units(nodes: DataFrame) -> DataFrame:
+    """``(fp, head, n)``: fingerprints with their smallest node and number of nodes."""
+    return nodes.groupBy("fp").agg(F.min("node").alias("head"), F.count(F.lit(1)).alias("n"))
+
+
+def _entered(units: DataFrame, radius: int) -> DataFrame:
+    """``(bucket, fp, n)``: fingerprints by their buckets, each bucket in one task and in its own order.
 
     The lowest ``radius + 1`` bits of a bucket number its table. Rows travel without their bucket, which is
     computed again where they arrive.
@@ -193,54 +198,67 @@ def _entered(nodes: DataFrame, radius: int) -> DataFrame:
     masks = covering_masks(radius)
     mask = F.element_at(F.array(*map(F.lit, masks)), F.col("t") + 1)
     bucket = F.shiftleft(F.xxhash64(mask, F.col("fp").bitwiseAND(mask)), radius + 1).bitwiseOR(F.col("t"))
-    # A few orders of the nodes, by table, so that a group has a few representatives and not just one.
-    order = F.xxhash64("node", F.pmod("t", F.lit(ORDERS)))
-    rows = nodes.select("node", "fp", F.explode(F.sequence(F.lit(0), F.lit(len(masks) - 1))).alias("t")).repartition(bucket)
-    return rows.select(bucket.alias("bucket"), "node", "fp", order.alias("order")).sortWithinPartitions("bucket", "order").drop("order")
+    # A few orders, by table, so that a group has a few representatives and not just one.
+    order = F.xxhash64("fp", F.pmod("t", F.lit(ORDERS)))
+    rows = units.select("fp", "n", F.explode(F.sequence(F.lit(0), F.lit(len(masks) - 1))).alias("t")).repartition(bucket)
+    return rows.select(bucket.alias("bucket"), "fp", "n", order.alias("order")).sortWithinPartitions("bucket", "order").drop("order")
 
 
-def _met(nodes: DataFrame, radius: int) -> DataFrame:
-    """``(bucket, node, fp, rep)``: one pass over the buckets.
+def _met(units: DataFrame, radius: int) -> DataFrame:
+    """``(bucket, fp, rep)``: one pass over the buckets.
 
-    The first node of a bucket represents it. Rows with ``rep`` are nodes within ``radius`` bits of their bucket's
-    representative; rows without are all members of a bucket of three or more, by ``bucket``.
+    The first fingerprint of a bucket represents it. Rows with ``rep`` are fingerprints within ``radius`` bits of their
+    bucket's representative; rows without are all fingerprints of a bucket of three or more nodes. Where a bucket
+    has but one fingerprint, its nodes meet in table 0 only.
     """
-    names = ["bucket", "node", "fp", "rep"]
+    names = ["bucket", "fp", "rep"]
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # The first rows of the bucket that the last batch ended in, two at most, and whether it is known to be crowded.
+        # The first rows of the bucket that the last batch ended in, two at most, and whether it has been given out as crowded.
         held, known = [np.zeros(0, np.int64)] * 3, False
         for batch in batches:
             if not batch.num_rows:
                 continue
             old = len(held[0])
-            bucket, node, fp = (np.concatenate([h, c.to_numpy()]) for h, c in zip(held, batch.columns, strict=True))
+            bucket, fp, n = (np.concatenate([h, c.to_numpy()]) for h, c in zip(held, batch.columns, strict=True))
             starts = np.concatenate([[0], np.flatnonzero(np.diff(bucket)) + 1])
             sizes = np.diff([*starts, len(bucket)])
+            full = (np.add.reduceat(n, starts) > 2) & ((sizes > 1) | (bucket[starts] & (1 << radius + 1) - 1 == 0))
+            full[0] |= known
             first = np.repeat(starts, sizes)
-            place = np.arange(len(bucket)) - first
-            close = (np.bitwise_count((fp ^ fp[first]).view("<u8")) <= radius) & (place > 0)
+            close = (np.bitwise_count((fp ^ fp[first]).view("<u8")) <= radius) & (np.arange(len(fp)) > first)
+            crowded = np.repeat(full, sizes)
+            # What was held has met its representative; if its bucket was crowded, it has been given out as well.
             close[:old] = False
-            crowded = np.repeat(sizes > 2, sizes)
             if known:
-                crowded[: sizes[0]] = True
                 crowded[:old] = False
-            near, full = np.flatnonzero(close), np.flatnonzero(crowded)
-            if len(near) + len(full):
-                at = np.concatenate([near, full])
-                rep = pa.array(node[first[at]], mask=np.arange(len(at)) >= len(near))
-                yield pa.RecordBatch.from_arrays([*(pa.array(c[at]) for c in (bucket, node, fp)), rep], names=names)
-            known = bool(sizes[-1] > 2 or known and len(sizes) == 1)
+            at = np.concatenate([near := np.flatnonzero(close), np.flatnonzero(crowded)])
+            if len(at):
+                rep = pa.array(fp[first[at]], mask=np.arange(len(at)) >= len(near))
+                yield pa.RecordBatch.from_arrays([pa.array(bucket[at]), pa.array(fp[at]), rep], names=names)
+            known = bool(full[-1])
             last = slice(starts[-1], starts[-1] + (1 if known else 2))
-            held = [c[last] for c in (bucket, node, fp)]
+            held = [c[last] for c in (bucket, fp, n)]
+
+    return materialize(_entered(units, radius).mapInArrow(walk, ", ".join(f"{n} long" for n in names)))
+
 
-    return materialize(_entered(nodes, radius).mapInArrow(walk, ", ".join(f"{n} long" for n in names)))
+def _proposed(nodes: DataFrame, radius: int, units: DataFrame | None = None, met: DataFrame | None = None) -> DataFrame:
+    """``(a, b)``: nodes of one fingerprint, and heads of fingerprints within ``radius`` bits, each with its representative."""
+    units = _units(nodes) if units is None else units
+    met = _met(units.select("fp", "n"), radius) if met is None else met
+    near = met.where("rep is not null").select("fp", "rep").distinct()
+    a, b = units.select("fp", F.col("head").alias("x")), units.select(F.col("fp").alias("rep"), F.col("head").alias("y"))
+    pairs = near.join(a, "fp").join(b, "rep").select("x", "y")
+    pairs = pairs.unionByName(nodes.join(a, "fp").where("node <> x").select("x", F.col("node").alias("y")))
+    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
-def _proposed(nodes: DataFrame, radius: int, met: DataFrame | None = None) -> DataFrame:
-    """``(a, b)``: nodes within ``radius`` bits, each with the representative of a bucket they share."""
-    met = _met(nodes, radius) if met is None else met
-    return met.where("rep is not null").select(F.least("node", "rep").alias("a"), F.greatest("node", "rep").alias("b")).distinct()
+def _members(crowded: DataFrame, groups: DataFrame) -> DataFrame:
+    """``(bucket, node, fp, group)`` of the buckets ``(bucket, fp)`` whose nodes are in several groups."""
+    ends = groups.groupBy("fp").agg(F.min("group").alias("lo"), F.max("group").alias("hi"))
+    several = crowded.join(ends, "fp").groupBy("bucket").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo <> hi")
+    return crowded.join(materialize(several.select("bucket")), "bucket").join(groups, "fp").select("bucket", "node", "fp", "group")
 
 
 def _blocks(crowded: DataFrame) -> DataFrame:
@@ -380,17 +398,19 @@ def keep_first(docs: DataFrame, id_col: str, text_col: str, width: int = 5, leas
     scanned = rows.mapInArrow(scan, with_fields(rows.select("key").schema, "node long, fp long"))
     # Texts alike are one node before anything is compared.
     nodes = materialize(scanned.groupBy("node").agg(F.min("key").alias("first"), F.min("fp").alias("fp")))
-    met = _met(nodes, radius)
-    proposed = materialize(_proposed(nodes, radius, met))
+    units = materialize(_units(nodes))
+    met = _met(units.select("fp", "n"), radius)
+    proposed = materialize(_proposed(nodes, radius, units, met))
     # In buckets of two the representative has met all there is.
-    crowded = met.where("rep is null").select("bucket", "node", "fp")
+    crowded = met.where("rep is null").select("bucket", "fp")
 
     def shingle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             made = pa.array([shingle_set(t.as_py(), width) for t in batch.column(1)], pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([batch.column(0), made], names=["node", "shingles"])
 
-    asked = proposed.select(F.explode(F.array("a", "b")).alias("node")).unionByName(crowded.select("node")).distinct()
+    asked = proposed.select(F.explode(F.array("a", "b")).alias("node"))
+    asked = asked.unionByName(crowded.select("fp").distinct().join(nodes, "fp").select("node")).distinct()
     asked = materialize(asked.join(nodes, "node").select("node", F.col("first").alias("key")))
     # Rows alike in id and text meet here once more.
     texts = rows.join(asked, "key").select("node", text_col)
@@ -402,8 +422,8 @@ def keep_first(docs: DataFrame, id_col: str, text_col: str, width: int = 5, leas
     edges = proposed.join(a, "a").join(b, "b").where(alike).select("a", "b")
 
     roots = components(edges).select("node", "root")
-    groups = materialize(nodes.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("group"), "first"))
-    apart = _left_apart(materialize(crowded.join(groups, "node").select("bucket", "node", "fp", "group")), sets, radius, least)
+    groups = materialize(nodes.join(roots, "node", "left").select("node", "fp", F.coalesce("root", "node").alias("group"), "first"))
+    apart = _left_apart(materialize(_members(crowded, groups)), sets, radius, least)
     further = components(apart).select(F.col("node").alias("group"), "root")
     groups = materialize(groups.join(further, "group", "left").select(F.coalesce("root", "group").alias("group"), "first"))
     kept = materialize(groups.groupBy("group").agg(F.min("first").alias("__key")).select("__key"))

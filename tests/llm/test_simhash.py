@@ -179,3 +179,32 @@ def test_elements_in_common():
     sets = [{rnd.randrange(20_000) for _ in range(rnd.randrange(6000))} for _ in range(12)]
     got = simhash._in_common([np.array(sorted(s), np.int64) for s in sets])
     assert got.tolist() == [[len(a & b) if a is not b else len(a & set().union(*(s for s in sets if s is not a))) for b in sets] for a in sets]
+
+
+def test_one_pass_over_buckets_whatever_the_batches(spark):
+    rnd = random.Random(11)
+    base = [rnd.getrandbits(64) for _ in range(12)]
+    fps = {simhash.signed(b ^ sum(1 << x for x in rnd.sample(range(64), rnd.randrange(4)))) for b in base for _ in range(rnd.choice([1, 2, 3, 30]))}
+    units = [(fp, rnd.choice([1, 1, 2, 5])) for fp in fps]
+    given = spark.createDataFrame(units, "fp long, n long")
+    masks, buckets = simhash.covering_masks(6), {}
+    for fp, n in units:
+        for t, m in enumerate(masks):
+            buckets.setdefault((t, fp & m), []).append((fp, n))
+    crowded = [sorted(x for x, _ in b) for (t, _), b in buckets.items() if sum(n for _, n in b) > 2 and (len(b) > 1 or t == 0)]
+    for size in ("2", "10000"):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+        rows = simhash._met(given, 6).collect()
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+        got, near = {}, {}
+        for r in rows:
+            if r.rep is None:
+                got.setdefault(r.bucket, []).append(r.fp)
+            else:
+                near.setdefault((r.bucket, r.rep), []).append(r.fp)
+        assert sorted(sorted(b) for b in got.values()) == sorted(crowded)
+        assert len({b for b, _ in near}) == len(near)
+        apart = lambda a, b: ((a ^ b) % (1 << 64)).bit_count()
+        for (bucket, rep), found in near.items():
+            (members,) = [b for (t, _), b in buckets.items() if t == bucket % 128 and {rep, *found} <= {x for x, _ in b}]
+            assert sorted(found) == sorted(x for x, _ in members if x != rep and apart(x, rep) <= 6)
