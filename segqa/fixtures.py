@@ -182,6 +182,20 @@ def phrase_memory(spark: SparkSession) -> DataFrame:
     return phrase_rows(raw)
 
 
+# A memory that grows with the reports: every second job's CAS numbers and results, as an operator would have refined them.
+CORPUS_PHRASES_SQL = """
+select 'English' as source_language, 'Polish' as target_language, case when max(o) % 3 = 0 then min(source_text) else '' end as source_text, phrase as replace_text,
+ concat('nr ', phrase, ' (potw.)') as preferred_text, '' as approved_text, 'job-0' as job_id, cast(max(o) as string) as segment_id, max(o) as stored_no
+from (select *, regexp_extract(translated_text, '^(CAS [0-9]+-[0-9]+|Wynik [0-9]+ mg/kg)', 1) as phrase from {pairs} where o % 16 in (3, 6)) x
+where phrase <> '' group by phrase
+"""
+
+
+def corpus_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw = spark.sql(CORPUS_PHRASES_SQL, pairs=report_pairs(spark, sf_dir))
+    return phrase_rows(raw.withColumn("updated_at", F.timestamp_seconds("stored_no")))
+
+
 F5_FINDINGS_SQL = """
 select job_id, segment_id, order_index, c % 3 as pos,
  case (o + c) % 4 when 0 then 'critical' when 1 then 'major' when 2 then 'minor' else 'style' end as severity,

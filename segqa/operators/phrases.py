@@ -2,8 +2,9 @@
 
 A phrase applies to a translation that contains its wording, or to a source text that equals
 its own. Both are found by equality joins, whatever the size of the memory: a phrase is
-filed under one short piece of its wording, a text is looked up under all its pieces of
-that length, and what meets is verified. The newest few matches of a segment then
+filed under the short piece of its wording that is rarest in all texts, and a text is looked up
+under those of its pieces that a filter of all filed ones lets through (:mod:`segqa.operators.pieces`).
+What meets is verified. The newest few matches of a segment then
 become one array, which the rest of the work folds over inside the row.
 """
 
@@ -21,8 +22,9 @@ from segqa.functions.locale import apply_locale, with_note
 from segqa.functions.rules import finding, merge_verdict, translation
 from segqa.functions.text import casefold, clean_phrase, let, normalize_phrase, normalize_ws, strip_ws
 from segqa.operators.memory import touch_by_key, upsert_by_key
+from segqa.operators.pieces import key_filter, lookups, piece_counts, pieces_of
 from segqa.operators.validation import pair_issues
-from segqa.plans.scale import skew_join
+from segqa.plans.scale import materialize, skew_join, spread
 from segqa.sources.glossary import Term
 
 PHRASE_COLUMNS = (
@@ -38,9 +40,6 @@ _REPLACED = [
 SEGMENT = ["job_id", "segment_id"]
 # The newest phrases that are tried on a segment.
 MATCH_LIMIT = 5
-# Characters of the piece that a phrase is filed under, and of the blocks that texts are cut from.
-PIECE = 8
-PIECE_BLOCK = 256
 
 
 def phrase_key(source_language: Column, target_language: Column, normalized_replace: Column) -> Column:
@@ -91,44 +90,26 @@ def phrase_count(memory: DataFrame) -> DataFrame:
     return memory.groupBy("source_language", "target_language").agg(F.count(F.lit(1)).alias("phrases"))
 
 
-def pieces(text: Column, n: Column | int) -> Column:
-    """All pieces of ``n`` characters of a text, block by block, so that long texts stay linear."""
-    size = F.lit(n) if isinstance(n, int) else n
-    last = F.length(text) - size + 1
-    starts = F.filter(F.sequence(F.lit(1), F.greatest(last, F.lit(1)), F.lit(PIECE_BLOCK)), lambda at: at <= last)
+def _filed(phrases: DataFrame, texts: DataFrame) -> tuple[DataFrame, list[int]]:
+    """Phrases with ``key``: once under the rarest piece of their wording, once under their source text if they have one.
 
-    def block(at: Column) -> Column:
-        return let(F.substring(text, at, F.lit(PIECE_BLOCK) + size - 1), lambda b: F.transform(
-            F.sequence(F.lit(1), F.length(b) - size + 1), lambda i: F.substring(b, i, size)
-        ))
-
-    return F.flatten(F.transform(starts, block))
-
-
-def _wording_key(piece: Column) -> Column:
-    return F.xxhash64(F.lit("wording"), piece)
+    Also the sizes of the pieces, at most ``PIECE`` different ones.
+    """
+    held = materialize(pieces_of(phrases, "cache_key", "normalized_replace"))
+    sizes = sorted(r[0] for r in held.select("size").distinct().collect())
+    counts = piece_counts(texts, "t", key_filter(held.select("key")), sizes)
+    rarest = F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "key")).alias("rarest")
+    # A phrase with a piece that no text has is in no text, and its key meets nothing.
+    anchors = held.join(counts, "key", "left").groupBy("id").agg(rarest).select(F.col("id").alias("cache_key"), F.col("rarest.key").alias("key"))
+    worded = phrases.join(anchors, "cache_key").withColumn("reason", F.lit("target_phrase"))
+    sourced = phrases.where("normalized_source <> ''").withColumns({"key": _source_key(F.col("normalized_source")), "reason": F.lit("source_exact")})
+    return materialize(worded.unionByName(sourced)), sizes
 
 
 def _source_key(source: Column) -> Column:
     return F.xxhash64(F.lit("source"), source)
 
 
-def _filed(phrases: DataFrame) -> DataFrame:
-    """Phrases under a piece of their wording, and under their source text if they have one."""
-    size = F.least(F.length("normalized_replace"), F.lit(PIECE))
-    # Any piece would do; the choice by hash spreads phrases that share a common one.
-    piece = F.array_min(F.transform(pieces(F.col("normalized_replace"), size), lambda p: F.struct(F.xxhash64(p).alias("h"), p.alias("p"))))["p"]
-    keys = F.array_compact(F.array(_wording_key(piece), F.when(F.col("normalized_source") != "", _source_key(F.col("normalized_source")))))
-    return phrases.withColumn("key", F.explode(keys))
-
-
-def _looked_up(texts: DataFrame, sizes: Sequence[int]) -> DataFrame:
-    """Segments under all pieces of their translation and under their source text."""
-    wordings = [F.transform(pieces(F.col("t"), n), _wording_key) for n in sizes]
-    keys = F.array_distinct(F.concat(*wordings, F.array(_source_key(F.col("s")))))
-    return texts.select(*SEGMENT, F.explode(keys).alias("key"))
-
-
 def phrase_matches(pairs: DataFrame, memory: DataFrame, config: JobConfig, limit: int = MATCH_LIMIT) -> DataFrame:
     """Pairs with ``matches``, an ordered array of the newest ``limit`` applying phrases (H2).
 
@@ -137,17 +118,16 @@ def phrase_matches(pairs: DataFrame, memory: DataFrame, config: JobConfig, limit
     same_pair = (F.col("source_language") == config.source_language) & (F.col("target_language") == config.target_language)
     usable = (F.col("normalized_replace") != "") & (F.col("normalized_preferred") != "")
     phrases = memory.where(same_pair & usable)
-    # At most PIECE different sizes, however many phrases there are.
-    sizes = [r[0] for r in phrases.select(F.least(F.length("normalized_replace"), F.lit(PIECE))).distinct().collect()]
     texts = pairs.select(*SEGMENT, normalize_phrase(F.col("source_text")).alias("s"), normalize_phrase(F.col("translated_text")).alias("t"))
-    texts = texts.where("t <> ''")
-    met = _looked_up(texts, sorted(sizes)).join(_filed(phrases), "key").join(texts, SEGMENT)
-
-    reason = F.when(F.contains("t", "normalized_replace"), F.lit("target_phrase")).when(
-        (F.col("s") != "") & (F.col("s") == F.col("normalized_source")), F.lit("source_exact")
-    )
-    applying = met.where(~F.contains("t", "normalized_preferred")).withColumn("reason", reason).where("reason is not null")
-    applying = applying.dropDuplicates([*SEGMENT, "cache_key"])
+    # Read twice: for the counts of pieces and for the look-up.
+    texts = materialize(spread(texts.where("t <> ''")))
+    filed, sizes = _filed(phrases, texts)
+    met = lookups(texts, "t", _source_key(F.col("s")), key_filter(filed.select("key")), sizes).join(filed, "key")
+
+    # A pair that meets by wording and by source counts once, by wording.
+    holds = F.contains("t", "normalized_replace")
+    same = (F.col("s") != "") & (F.col("s") == F.col("normalized_source"))
+    applying = met.where(F.when(F.col("reason") == "target_phrase", holds).otherwise(same & ~holds) & ~F.contains("t", "normalized_preferred"))
     newest = W.partitionBy(*SEGMENT).orderBy(F.desc("updated_at"), F.desc("cache_key"))
     kept = applying.withColumn("pos", F.row_number().over(newest) - 1).where(F.col("pos") < limit)
     match = F.struct(

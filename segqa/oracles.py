@@ -572,6 +572,13 @@ def oracle_sql() -> dict[str, str]:
             l.a as approved_text, l.s as source_text, cast(l.e as varchar) as origin_segment_id, 0::bigint as hits from pstored""",
         "h2_phrase_match": """select job_id, segment_id, row_number() over (partition by job_id, segment_id order by reason <> 'target_phrase', -length(replace_text), stored_no desc) - 1 as pos,
             reason, replace_text, preferred_text from top5""",
+        "h2_phrase_match_corpus": f"""select * from (with own as materialized ({fx.CORPUS_PHRASES_SQL.format(pairs='f2').replace('as string', 'as varchar')}),
+            met as (select f2.job_id, f2.segment_id, m.*, contains(lower(f2.translated_text), lower(m.replace_text)) as holds from f2 join own m
+              on contains(lower(f2.translated_text), lower(m.replace_text)) or (m.source_text <> '' and lower(m.source_text) = lower(f2.source_text))
+              where not contains(lower(f2.translated_text), lower(m.preferred_text))),
+            best as (select *, row_number() over (partition by job_id, segment_id order by stored_no desc) as newest from met)
+            select job_id, segment_id, row_number() over (partition by job_id, segment_id order by not holds, -length(replace_text), stored_no desc) - 1 as pos,
+            case when holds then 'target_phrase' else 'source_exact' end as reason, replace_text, preferred_text from best where newest <= 5)""",
         "h3_phrase_apply": """select f2.job_id, f2.segment_id, case when a.n is null then f2.translated_text when x.proposal is not null then x.proposal
               else regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(f2.translated_text, 'Migracja globalna', 'Migracja całkowita', 'i'), 'poniżej', 'mniejsza niż', 'i'),
                 'nie wykryto', 'nie stwierdzono', 'i'), 'Wynik', 'Rezultat', 'i'), 'Rozporządzenie', 'Regulacja', 'i'), 'patrz sekcja', 'zob. sekcja', 'i') end as text,

@@ -711,6 +711,15 @@ def h2_phrase_match(spark, sf):
     )
 
 
+@query
+def h2_phrase_match_corpus(spark, sf):
+    """Against a memory that Spark derives from the reports and that grows with them."""
+    matched = phrases.phrase_matches(fx.report_pairs(spark, sf), fx.corpus_phrases(spark, sf), fx.CONFIG)
+    return matched.select("job_id", "segment_id", F.posexplode_outer("matches").alias("pos", "m")).where(F.col("m").isNotNull()).select(
+        "job_id", "segment_id", "pos", "m.reason", "m.replace_text", "m.preferred_text"
+    )
+
+
 @query
 def h3_phrase_apply(spark, sf):
     rows = _matched(spark, sf).withColumn("translation", fx.as_translation(F.col("translated_text"), "medium"))
