@@ -24,7 +24,7 @@ small tasks; a block gives a spanning forest of its links, never the links thems
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from itertools import combinations
+from itertools import chain, combinations
 
 import numpy as np
 import pyarrow as pa
@@ -204,41 +204,65 @@ def _entered(units: DataFrame, radius: int) -> DataFrame:
     return rows.select(bucket.alias("bucket"), "fp", "n", order.alias("order")).sortWithinPartitions("bucket", "order").drop("order")
 
 
+def _to_compare(bucket: int, fp: np.ndarray, n: np.ndarray, radius: int) -> np.ndarray:
+    """Places of the fingerprints of a whole bucket, its representative first, whose nodes have still to be compared here.
+
+    A pair is compared in the first table that it shares a bucket in. Single nodes have met their representative, and
+    two nodes of one fingerprint have met each other.
+    """
+    table = bucket & (1 << radius + 1) - 1
+    alone = (n > 2) & (table == 0)
+    a, b = np.triu_indices(len(fp), 1)
+    apart = (fp[a] ^ fp[b]).view("<u8")
+    near = np.flatnonzero((np.bitwise_count(apart) <= radius) & ((a > 0) | (n[a] > 1) | (n[b] > 1)))
+    masks = np.array(covering_masks(radius), np.int64).view("<u8")
+    for at in range(0, len(near), COLUMNS):
+        part = near[at : at + COLUMNS]
+        here = part[((apart[part][:, None] & masks) == 0).argmax(axis=1) == table]
+        alone[a[here]] = alone[b[here]] = True
+    return np.flatnonzero(alone)
+
+
 def _met(units: DataFrame, radius: int) -> DataFrame:
     """``(bucket, fp, rep)``: one pass over the buckets.
 
     The first fingerprint of a bucket represents it. Rows with ``rep`` are fingerprints within ``radius`` bits of their
-    bucket's representative; rows without are all fingerprints of a bucket of three or more nodes. Where a bucket
-    has but one fingerprint, its nodes meet in table 0 only.
+    bucket's representative. Rows without are those of a bucket of three or more nodes that have still to be compared in
+    it; in a bucket of more than ``BLOCK`` fingerprints all of them.
     """
     names = ["bucket", "fp", "rep"]
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # The first rows of the bucket that the last batch ended in, two at most, and whether it has been given out as crowded.
-        held, known = [np.zeros(0, np.int64)] * 3, False
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        # Rows of the bucket that the last batch ended in: all up to BLOCK of them, or the first if the bucket has more.
+        held, large = [np.zeros(0, np.int64)] * 3, False
+        for columns in chain(([c.to_numpy() for c in b.columns] for b in batches if b.num_rows), [None]):
+            last = columns is None
             old = len(held[0])
-            bucket, fp, n = (np.concatenate([h, c.to_numpy()]) for h, c in zip(held, batch.columns, strict=True))
+            bucket, fp, n = held if last else [np.concatenate(x) for x in zip(held, columns, strict=True)]
+            if not len(bucket):
+                continue
             starts = np.concatenate([[0], np.flatnonzero(np.diff(bucket)) + 1])
             sizes = np.diff([*starts, len(bucket)])
-            full = (np.add.reduceat(n, starts) > 2) & ((sizes > 1) | (bucket[starts] & (1 << radius + 1) - 1 == 0))
-            full[0] |= known
             first = np.repeat(starts, sizes)
             close = (np.bitwise_count((fp ^ fp[first]).view("<u8")) <= radius) & (np.arange(len(fp)) > first)
-            crowded = np.repeat(full, sizes)
-            # What was held has met its representative; if its bucket was crowded, it has been given out as well.
             close[:old] = False
-            if known:
-                crowded[:old] = False
-            at = np.concatenate([near := np.flatnonzero(close), np.flatnonzero(crowded)])
+            crowded = np.add.reduceat(n, starts) > 2
+            crowded[0] |= large
+            out = [near := np.flatnonzero(close)]
+            for k in np.flatnonzero(crowded).tolist():
+                start, stop = int(starts[k]), int(starts[k] + sizes[k])
+                if large and k == 0:
+                    out.append(np.arange(old, stop))
+                elif sizes[k] > BLOCK:
+                    out.append(np.arange(start, stop))
+                elif last or k + 1 < len(sizes):
+                    out.append(start + _to_compare(int(bucket[start]), fp[start:stop], n[start:stop], radius))
+            at = np.concatenate(out)
             if len(at):
                 rep = pa.array(fp[first[at]], mask=np.arange(len(at)) >= len(near))
                 yield pa.RecordBatch.from_arrays([pa.array(bucket[at]), pa.array(fp[at]), rep], names=names)
-            known = bool(full[-1])
-            last = slice(starts[-1], starts[-1] + (1 if known else 2))
-            held = [c[last] for c in (bucket, fp, n)]
+            large = bool(sizes[-1] > BLOCK or large and len(sizes) == 1)
+            held = [c[starts[-1] : starts[-1] + (1 if large else BLOCK)] for c in (bucket, fp, n)]
 
     return materialize(_entered(units, radius).mapInArrow(walk, ", ".join(f"{n} long" for n in names)))
 
@@ -254,13 +278,6 @@ def _proposed(nodes: DataFrame, radius: int, units: DataFrame | None = None, met
     return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
-def _members(crowded: DataFrame, groups: DataFrame) -> DataFrame:
-    """``(bucket, node, fp, group)`` of the buckets ``(bucket, fp)`` whose nodes are in several groups."""
-    ends = groups.groupBy("fp").agg(F.min("group").alias("lo"), F.max("group").alias("hi"))
-    several = crowded.join(ends, "fp").groupBy("bucket").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo <> hi")
-    return crowded.join(materialize(several.select("bucket")), "bucket").join(groups, "fp").select("bucket", "node", "fp", "group")
-
-
 def _blocks(crowded: DataFrame) -> DataFrame:
     """Members ``(bucket, node, fp, group)`` of buckets with several groups, once for each pair of blocks they belong to.
 
@@ -423,7 +440,8 @@ def keep_first(docs: DataFrame, id_col: str, text_col: str, width: int = 5, leas
 
     roots = components(edges).select("node", "root")
     groups = materialize(nodes.join(roots, "node", "left").select("node", "fp", F.coalesce("root", "node").alias("group"), "first"))
-    apart = _left_apart(materialize(_members(crowded, groups)), sets, radius, least)
+    members = materialize(crowded.join(groups, "fp").select("bucket", "node", "fp", "group"))
+    apart = _left_apart(members, sets, radius, least)
     further = components(apart).select(F.col("node").alias("group"), "root")
     groups = materialize(groups.join(further, "group", "left").select(F.coalesce("root", "group").alias("group"), "first"))
     kept = materialize(groups.groupBy("group").agg(F.min("first").alias("__key")).select("__key"))

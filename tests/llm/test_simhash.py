@@ -181,30 +181,40 @@ def test_elements_in_common():
     assert got.tolist() == [[len(a & b) if a is not b else len(a & set().union(*(s for s in sets if s is not a))) for b in sets] for a in sets]
 
 
-def test_one_pass_over_buckets_whatever_the_batches(spark):
+def test_one_pass_over_buckets_whatever_the_batches(spark, monkeypatch):
     rnd = random.Random(11)
+    apart = lambda a, b: ((a ^ b) % (1 << 64)).bit_count()
     base = [rnd.getrandbits(64) for _ in range(12)]
     fps = {simhash.signed(b ^ sum(1 << x for x in rnd.sample(range(64), rnd.randrange(4)))) for b in base for _ in range(rnd.choice([1, 2, 3, 30]))}
     units = [(fp, rnd.choice([1, 1, 2, 5])) for fp in fps]
+    count = dict(units)
     given = spark.createDataFrame(units, "fp long, n long")
-    masks, buckets = simhash.covering_masks(6), {}
-    for fp, n in units:
-        for t, m in enumerate(masks):
-            buckets.setdefault((t, fp & m), []).append((fp, n))
-    crowded = [sorted(x for x, _ in b) for (t, _), b in buckets.items() if sum(n for _, n in b) > 2 and (len(b) > 1 or t == 0)]
-    for size in ("2", "10000"):
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
-        rows = simhash._met(given, 6).collect()
+    buckets = {}
+    for fp, _ in units:
+        for t, m in enumerate(simhash.covering_masks(6)):
+            buckets.setdefault((t, fp & m), set()).add(fp)
+    near = {(a, b) for a, b in combinations(sorted(fps), 2) if apart(a, b) <= 6}
+    for rows, block in (("2", 256), ("10000", 256), ("7", 5)):
+        monkeypatch.setattr(simhash, "BLOCK", block)
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+        found = simhash._met(given, 6).collect()
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
-        got, near = {}, {}
-        for r in rows:
+        met, proposed = {}, {}
+        for r in found:
             if r.rep is None:
-                got.setdefault(r.bucket, []).append(r.fp)
+                met.setdefault(r.bucket, []).append(r.fp)
             else:
-                near.setdefault((r.bucket, r.rep), []).append(r.fp)
-        assert sorted(sorted(b) for b in got.values()) == sorted(crowded)
-        assert len({b for b, _ in near}) == len(near)
-        apart = lambda a, b: ((a ^ b) % (1 << 64)).bit_count()
-        for (bucket, rep), found in near.items():
-            (members,) = [b for (t, _), b in buckets.items() if t == bucket % 128 and {rep, *found} <= {x for x, _ in b}]
-            assert sorted(found) == sorted(x for x, _ in members if x != rep and apart(x, rep) <= 6)
+                proposed.setdefault((r.bucket, r.rep), []).append(r.fp)
+        assert len({b for b, _ in proposed}) == len(proposed)
+        for (bucket, rep), close in proposed.items():
+            (members,) = [b for (t, _), b in buckets.items() if t == bucket % 128 and {rep, *close} <= b]
+            assert sorted(close) == sorted(x for x in members if x != rep and apart(x, rep) <= 6)
+        # Every pair has met its representative, if both are single, or is to be compared in a bucket; nothing comes twice.
+        assert all(len(b) == len(set(b)) for b in met.values())
+        direct = {tuple(sorted((rep, x))) for (_, rep), close in proposed.items() for x in close}
+        together = {pair for b in met.values() for pair in combinations(sorted(b), 2)}
+        assert all(p in together or p in direct and count[p[0]] == count[p[1]] == 1 for p in near)
+        assert {x for x, n in units if n > 2} <= {x for bucket, b in met.items() if bucket % 128 == 0 for x in b}
+        # A bucket of up to a block holds only what has a partner there.
+        if block == 256:
+            assert all(count[x] > 2 or any(apart(x, y) <= 6 for y in b if y != x) for b in met.values() for x in b)
