@@ -35,6 +35,17 @@ def mixed(piece: np.ndarray, size: int) -> np.ndarray:
 
 def piece_keys(texts: pa.Array, sizes: Sequence[int]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """``(row, key)`` of all pieces of the given sizes of a column of texts, part by part; nulls have none."""
+    for row, _, key in _pieces(texts, sizes):
+        yield row, key
+
+
+def piece_places(texts: pa.Array, sizes: Sequence[int]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """``(place, key)`` likewise, with the byte of its text that a piece starts at."""
+    for _, place, key in _pieces(texts, sizes):
+        yield place, key
+
+
+def _pieces(texts: pa.Array, sizes: Sequence[int]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     texts = texts.cast(pa.large_string()).fill_null("")
     offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
     data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)
@@ -51,7 +62,7 @@ def piece_keys(texts: pa.Array, sizes: Sequence[int]) -> Iterator[tuple[np.ndarr
             whole = np.flatnonzero(left >= size)
             if len(whole):
                 low = piece[whole] & np.uint64((1 << 8 * size) - 1)
-                yield row[whole], mixed(low, size).view(np.int64)
+                yield row[whole], place[whole] - offsets[row[whole]], mixed(low, size).view(np.int64)
 
 
 def bits_of(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

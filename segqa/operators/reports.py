@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator, Sequence
+
+import numpy as np
+import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
+from pyspark.sql.types import StructType
 
 from segqa.functions.rules import is_blocking
 from segqa.functions.text import normalize_ws, short_text
-from segqa.plans.scale import CHUNK, number_rows, skew_join
+from segqa.operators.pieces import PIECE, Filter, key_filter, piece_places, pieces_of
+from segqa.plans.scale import CHUNK, materialize, number_rows, skew_join, spread
 
 KEYS = ["job_id", "segment_id"]
 FINISHED = ("completed", "completed_with_output_warnings")
@@ -21,9 +28,8 @@ METRICS = (
 )
 # Output verification: a translation counts as found when its first characters are.
 PREFIX = 40
-# Job texts up to this size are searched directly; longer ones through an index.
-DIRECT_TEXT = 1_048_576
-TEXT_BLOCK = 512
+# Places of a text whose fragments are held at a time.
+PLACES = 4096
 
 
 def _contribution(df: DataFrame, **values: Column) -> DataFrame:
@@ -194,50 +200,71 @@ def _expected_prefixes(translations: DataFrame, length: int) -> DataFrame:
     )
 
 
+def _held_prefixes(output: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``(job_id, prefix)``: which of the ``wanted(job_id, prefix)`` the output texts ``(job_id, out)`` hold, and few others.
+
+    Each text is read once, where it is. A place is looked at only if its first bytes start a prefix of any job,
+    and leaves the task only if one of the lengths asked for gives a fingerprint that its own job wants; both are
+    tested with filters of a fixed size.
+    """
+    fingerprint = F.xxhash64("job_id", "prefix")
+    starts = wanted.select("prefix").distinct().select(F.monotonically_increasing_id().alias("id"), F.expr(f"left(prefix, {PIECE})").alias("start"))
+    # Eight characters may be more than eight bytes: the pieces after the first do no harm.
+    anchors = materialize(pieces_of(starts, "id", "start"))
+    sizes = sorted(r[0] for r in anchors.select("size").distinct().collect())
+    lengths = sorted(r[0] for r in wanted.select(F.length("prefix")).distinct().collect())
+    first, own = key_filter(anchors.select("key")), key_filter(wanted.select(fingerprint.alias("key")))
+    # The seed that the job gives to the fingerprints of its prefixes.
+    rows = output.select("job_id", F.xxhash64("job_id").alias("seed"), "out")
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        may_start, may_want = Filter(first), Filter(own)
+        for batch in batches:
+            texts = batch.column(2)
+            held: set[tuple[int, str]] = set()
+            for at, text in enumerate(texts.to_pylist()):
+                seed = batch.column(1)[at].as_py() % (1 << 64)
+                for size, places in _starting(texts.slice(at, 1), sizes, may_start):
+                    # A piece of less than the usual size is a whole prefix.
+                    possible = [n for n in lengths if n <= size] if size < PIECE else lengths
+                    found = sorted({text[i : i + n] for i in places for n in possible if i + n <= len(text)})
+                    prints = np.array([xxhash.xxh64_intdigest(f.encode("utf-8"), seed) for f in found], np.uint64).view(np.int64)
+                    held.update((at, found[k]) for k in np.flatnonzero(may_want.may_hold(prints)).tolist())
+            if held:
+                made = sorted(held)
+                jobs = batch.column(0).take(pa.array([m[0] for m in made]))
+                yield pa.RecordBatch.from_arrays([jobs, pa.array([m[1] for m in made], pa.string())], names=["job_id", "prefix"])
+
+    schema = StructType([rows.schema["job_id"], *StructType.fromDDL("prefix string").fields])
+    return rows.mapInArrow(scan, schema)
+
+
+def _starting(text: pa.Array, sizes: Sequence[int], known: Filter) -> Iterator[tuple[int, list[int]]]:
+    """Places of one text, in characters and in parts, whose first bytes the filter knows, with their size."""
+    data = np.frombuffer(text[0].as_py().encode("utf-8"), np.uint8)
+    character = np.cumsum((data & 0xC0) != 0x80) - 1
+    for size in sizes:
+        for place, key in piece_places(text, [size]):
+            hit = np.unique(character[place[known.may_hold(key)]])
+            for part in range(0, len(hit), PLACES):
+                yield size, hit[part : part + PLACES].tolist()
+
+
 def missing_segments(texts: DataFrame, translations: DataFrame, prefix: int = PREFIX) -> DataFrame:
     """Translations that do not occur in their job's output text.
 
     A translation is looked for whole, or else by its first ``prefix`` characters; the whole text
-    contains its own start, so the prefix alone decides. Output texts of usual size
-    are searched in place. Longer ones are cut into blocks and turned into distinct
-    fragments of exactly the lengths asked for, so that finding a prefix is an
-    equality join however many segments or however much text a job has. Both ways give the
-    same rows; a null or blank text holds no translation.
+    contains its own start, so the prefix alone decides. One plan serves texts of any length and jobs of any number
+    of segments: texts give the prefixes they hold, which are joined by equality. Jobs without an output
+    text are left out; a null or blank text holds no translation.
     """
-    is_long = F.length("text") > DIRECT_TEXT
-    output = texts.select("job_id", F.lower(normalize_ws(F.coalesce("text", F.lit("")))).alias("out"), F.coalesce(is_long, F.lit(False)).alias("long"))
-    expected = _expected_prefixes(translations, prefix)
-    located = skew_join(
-        expected,
-        output.select("job_id", "long", F.when(~F.col("long"), F.col("out")).alias("out")),
-        ["job_id"], "inner", spread_by=["segment_id"],
-        counts=translations.groupBy("job_id").agg(F.count(F.lit(1)).alias("n")),
-    )
-    near = located.where(~F.col("long") & ~F.contains(F.col("out"), F.col("prefix"))).select(*KEYS)
-    far = located.where("long").select(*KEYS, "prefix")
-
-    wanted = far.select("job_id", "prefix").distinct()
-    lengths = wanted.groupBy("job_id").agg(F.collect_set(F.length("prefix")).alias("lengths"))
-    # A long text may still be blank, and has no block then.
-    starts = F.filter(F.sequence(F.lit(1), F.length("out") + 1, F.lit(TEXT_BLOCK)), lambda at: at <= F.length("out"))
-    # A block reaches over its end so that fragments across the border stay whole.
-    blocks = output.where("long").select("job_id", "out", F.explode(starts).alias("at")).select(
-        "job_id", "at", F.substring("out", F.col("at"), F.lit(TEXT_BLOCK + prefix - 1)).alias("block")
-    )
-    sized = skew_join(blocks, lengths, ["job_id"], "inner", spread_by=["at"])
-
-    def fragments(n: Column) -> Column:
-        return F.transform(
-            F.filter(F.sequence(F.lit(1), F.lit(TEXT_BLOCK)), lambda i: i + n - 1 <= F.length("block")),
-            lambda i: F.substring("block", i, n),
-        )
-
-    found = sized.select(
-        "job_id", F.explode_outer(F.array_distinct(F.flatten(F.transform("lengths", fragments)))).alias("prefix")
-    ).where(F.col("prefix").isNotNull()).distinct()
-    lost = wanted.join(found, ["job_id", "prefix"], "left_anti")
-    missing = skew_join(far, lost, ["job_id", "prefix"], "inner", spread_by=["segment_id"]).select(*KEYS)
-    return near.unionByName(missing)
+    output = texts.select("job_id", F.lower(normalize_ws(F.coalesce("text", F.lit("")))).alias("out"))
+    expected = _expected_prefixes(translations, prefix).join(texts.select("job_id").distinct(), "job_id", "left_semi")
+    expected = materialize(expected)
+    wanted = materialize(expected.select("job_id", "prefix").distinct())
+    held = _held_prefixes(spread(output), wanted).distinct()
+    lost = wanted.join(held, ["job_id", "prefix"], "left_anti")
+    return skew_join(expected, lost, ["job_id", "prefix"], "inner", spread_by=["segment_id"]).select(*KEYS)
 
 
 def verify_output(texts: DataFrame, translations: DataFrame, prefix: int = PREFIX) -> DataFrame:

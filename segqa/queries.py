@@ -1054,7 +1054,7 @@ def _expected_output(segs):
 @query
 def a7_output_verification(spark, sf):
     segs = _segments(spark, sf)
-    return reports.verify_output(fx.output_texts(segs), _expected_output(segs)).select(
+    return reports.verify_output(materialize(fx.output_texts(segs)), _expected_output(segs)).select(
         "job_id", "ok", "extracted_text_chars", "missing_segments", F.size("messages").alias("messages")
     )
 
@@ -1062,7 +1062,7 @@ def a7_output_verification(spark, sf):
 @query
 def a7_missing_segments(spark, sf):
     segs = _segments(spark, sf)
-    return reports.missing_segments(fx.output_texts(segs), _expected_output(segs))
+    return reports.missing_segments(materialize(fx.output_texts(segs)), _expected_output(segs))
 
 
 @query

@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from segqa.operators import phrases, reports
+from segqa.operators import phrases, pieces, reports
 from segqa.plans import scale
 from segqa.config import JobConfig
 
@@ -50,20 +50,26 @@ def test_running_offsets(spark):
     }
 
 
-def test_long_output_texts_take_the_index_and_agree(spark, monkeypatch):
-    texts = spark.createDataFrame(
-        [(1, " ".join(f"Wynik {i} mg" for i in range(400)) + " {{A_1}}"), (2, "abc")], "job_id int, text string"
-    )
+def test_output_texts_of_any_length_equal_a_plain_search(spark, monkeypatch):
+    long = " ".join(f"Wynik {i} mg" for i in range(400)) + " {{A_1}}"
+    texts = spark.createDataFrame([(1, long), (2, "abc"), (4, "Źdźbło  ŻÓŁĆ ąę")], "job_id int, text string")
     wanted = spark.createDataFrame(
         [(1, f"s{i}", f"wynik  {i} mg Wynik {i + 1} mg wynik {i + 2} mg wynik {i + 3}") for i in range(0, 500, 7)]
-        + [(1, "a", "MG W"), (1, "b", "xyz"), (1, "c", "zz"), (2, "d", "abc"), (2, "e", "abd")],
+        + [(1, "a", "MG W"), (1, "b", "xyz"), (1, "c", "zz"), (2, "d", "abc"), (2, "e", "abd"), (2, "f", "wynik 3 mg"), (3, "g", "no output")]
+        + [(4, "h", "źdźbło żółć"), (4, "i", "żółć"), (4, "j", "żółw"), (4, "k", " ąę "), (4, "l", None), (1, "m", long), (1, "n", long[:200] + "x" * 300)],
         "job_id int, segment_id string, translated_text string",
     )
-    direct = sorted(reports.missing_segments(texts, wanted).collect())
-    monkeypatch.setattr(reports, "DIRECT_TEXT", 10)
-    monkeypatch.setattr(reports, "TEXT_BLOCK", 64)
-    assert sorted(reports.missing_segments(texts, wanted).collect()) == direct
-    assert (1, "b") in direct and (2, "e") in direct and (1, "a") not in direct and (1, "c") not in direct
+    plain = lambda t: " ".join((t or "").split()).lower()
+    outputs = {r.job_id: plain(r.text) for r in texts.collect()}
+    expected = sorted(
+        (r.job_id, r.segment_id) for r in wanted.collect()
+        if r.job_id in outputs and len(plain(r.translated_text)) > 2 and plain(r.translated_text)[:40] not in outputs[r.job_id]
+    )
+    assert sorted(map(tuple, reports.missing_segments(texts, wanted).collect())) == expected
+    monkeypatch.setattr(reports, "PLACES", 3)
+    monkeypatch.setattr(pieces, "STEP", 64)
+    assert sorted(map(tuple, reports.missing_segments(texts, wanted).collect())) == expected
+    assert {(1, "b"), (2, "e"), (2, "f"), (4, "j")} <= set(expected)
     done = {r.job_id: r for r in reports.verify_output(texts, wanted).collect()}
     assert done[1].placeholder_leaks == ["{{A_1}}"] and not done[1].ok
 
@@ -126,15 +132,13 @@ def test_hot_text_is_routed_alike_with_and_without_salting(spark, monkeypatch):
     assert sum(route == "persistent" for _, route, _, _ in plain) == 1
 
 
-def test_blank_and_null_outputs_hold_no_translation(spark, monkeypatch):
+def test_blank_and_null_outputs_hold_no_translation(spark):
     texts = spark.createDataFrame([(1, " " * 200), (2, None), (3, "Wynik 1 mg"), (4, "")], "job_id int, text string")
     wanted = spark.createDataFrame([(j, "s", "Wynik 1 mg") for j in (1, 2, 3, 4)], "job_id int, segment_id string, translated_text string")
-    for direct in (reports.DIRECT_TEXT, 5):
-        monkeypatch.setattr(reports, "DIRECT_TEXT", direct)
-        assert sorted(reports.missing_segments(texts, wanted).collect()) == [(1, "s"), (2, "s"), (4, "s")]
-        done = {r.job_id: r for r in reports.verify_output(texts, wanted).collect()}
-        assert [done[j].ok for j in (1, 2, 3, 4)] == [False, False, True, False]
-        assert done[2].missing_segments == 1 and done[2].extracted_text_chars == 0
+    assert sorted(reports.missing_segments(texts, wanted).collect()) == [(1, "s"), (2, "s"), (4, "s")]
+    done = {r.job_id: r for r in reports.verify_output(texts, wanted).collect()}
+    assert [done[j].ok for j in (1, 2, 3, 4)] == [False, False, True, False]
+    assert done[2].missing_segments == 1 and done[2].extracted_text_chars == 0
 
 
 def test_salts_follow_the_rows_of_a_key(spark, monkeypatch):
