@@ -1131,10 +1131,8 @@ def st1_incremental(spark, sf):
 def st2_stream_dedup(spark, sf):
     keys = _read_stream(spark, sf, "events").selectExpr("concat('k', user_id % 40) as cache_key", "event_type", "cast(ts as timestamp) as at")
     out, checkpoint = _stream_dirs(spark)
-    stream.stream_dedup(keys, ["cache_key", "event_type"], "at").drop("at").writeStream.format("parquet").option(
-        "checkpointLocation", checkpoint
-    ).trigger(availableNow=True).start(out).awaitTermination()
-    return spark.read.parquet(out)
+    stream.write_first(keys, out, checkpoint, ["cache_key", "event_type"], ["at"]).trigger(availableNow=True).start().awaitTermination()
+    return stream.read_first(spark, out, keys.schema, ["cache_key", "event_type"], ["at"]).select("cache_key", "event_type")
 
 
 @query

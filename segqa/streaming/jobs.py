@@ -5,9 +5,10 @@ from __future__ import annotations
 import logging
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
+from pyspark.sql.types import StructType
 
 from segqa.config import JobConfig
 from segqa.functions.text import normalize_ws
@@ -15,8 +16,10 @@ from segqa.operators.memory import cache_rows, cache_scope, group_key, route_reu
 from segqa.operators.review import review
 from segqa.operators.translation import Reviewer, Translator, empty_translation
 from segqa.operators.validation import pair_issues
+from segqa.plans.scale import materialize
 from segqa.sources.documents import page_blocks, segment_id
 from segqa.sources.glossary import Term
+from segqa.streaming.keyed import KeyedLog
 
 log = logging.getLogger(__name__)
 KEYS = ["job_id", "segment_id"]
@@ -41,41 +44,44 @@ def stream_segments(pages: DataFrame) -> DataFrame:
     )
 
 
-def _earlier(spark: SparkSession, root: str, epoch: int) -> DataFrame | None:
-    """Results of earlier micro-batches; a replayed batch does not see its own output.
-
-    Every batch writes its folder, so only the first has nothing before it; a history that
-    can't be read is an error.
-    """
-    return read_results(spark, root).where(F.col("epoch") < epoch) if epoch else None
+def _logs(spark: SparkSession, segments: DataFrame, root: str) -> tuple[KeyedLog, KeyedLog, KeyedLog]:
+    """What earlier batches have done: their segments, the first translation of a text by job, and over all jobs."""
+    kept = segments.select(*KEYS, "order_index", "source_text", "key", empty_translation().alias("translation")).schema
+    first = ["order_index", "segment_id"]
+    return (
+        KeyedLog(spark, f"{root}/log-segments", segments.select(*KEYS).schema, KEYS, []),
+        KeyedLog(spark, f"{root}/log-memory", kept, ["job_id", "key"], first),
+        KeyedLog(spark, f"{root}/log-texts", kept, ["key"], ["job_id", "segment_id"]),
+    )
 
 
 def process_batch(
     batch: DataFrame, epoch: int, root: str, translator: Translator, reviewer: Reviewer, terms: Sequence[Term],
-    config: JobConfig,
+    config: JobConfig, phrases: DataFrame | None = None,
 ) -> None:
     """Translate, review and validate one micro-batch and write it as its own folder.
 
-    Segments done in an earlier batch are skipped; their translations serve as job memory
-    and cache for the new ones. The folder of a batch is overwritten on replay, so a
-    restart neither repeats nor loses work.
+    Segments done in an earlier batch are skipped; the first translation of each text, in the job and over all,
+    serves as job memory and cache for the new ones. They are looked up by key in logs of what is done, so a
+    batch reads the buckets of its own keys. The folders of a batch are overwritten on replay, so a
+    restart neither repeats nor loses work. ``phrases`` is the operator's phrase memory for the review.
     """
     spark = batch.sparkSession
     segments = batch.select(*KEYS, "order_index", "source_text").dropDuplicates(KEYS)
-    segments = segments.withColumn("key", group_key(normalize_ws(F.col("source_text")), F.col("segment_id")))
-    done = _earlier(spark, root, epoch)
+    segments = materialize(segments.withColumn("key", group_key(normalize_ws(F.col("source_text")), F.col("segment_id"))))
+    logs = done_log, memory_log, text_log = _logs(spark, segments, root)
+    for kept in logs:
+        kept.compact(epoch)
     columns = [*KEYS, "order_index", "source_text"]
     scope = cache_scope(config)
-    if done is None:
-        memory_segments = segments.select(*columns)
-        relevant = segments.limit(0).withColumn("translation", empty_translation())
-    else:
-        todo = segments.join(done.select(*KEYS), KEYS, "left_anti")
-        # Only earlier rows with a text of this batch can be reused.
-        relevant = done.join(todo.select("key").distinct(), "key", "left_semi")
-        memory_segments = todo.select(*columns).unionByName(relevant.select(*columns))
-    known = relevant.select(*KEYS, "translation")
-    stored = cache_rows(relevant.select(*KEYS, "source_text", "translation"), scope, F.lit("1970-01-01 00:00:00").cast("timestamp"))
+    done = done_log.known(segments, epoch)
+    todo = segments if done is None else materialize(segments.join(done, KEYS, "left_anti"))
+    none = segments.limit(0).withColumn("translation", empty_translation())
+    in_job = none if epoch == 0 else materialize(memory_log.known(todo, epoch))
+    anywhere = none if epoch == 0 else text_log.known(todo, epoch)
+    memory_segments = todo.select(*columns).unionByName(in_job.select(*columns))
+    known = in_job.select(*KEYS, "translation")
+    stored = cache_rows(anywhere.select(*KEYS, "source_text", "translation"), scope, F.lit("1970-01-01 00:00:00").cast("timestamp"))
     cache = stored.groupBy("cache_key").agg(
         F.min_by(F.struct("translation", "origin_job_id", "origin_segment_id"), F.struct("origin_job_id", "origin_segment_id")).alias("c")
     ).select("cache_key", "c.*")
@@ -84,19 +90,27 @@ def process_batch(
     made = translate_distinct(fresh, translator, config.target_language)
     ready = fresh.where(~F.col("route").isin("miss", "duplicate")).unionByName(made)
     reviewed = review(
-        ready.select(*columns, "route", F.col("group_key").alias("key"), "translation"), reviewer, config
+        ready.select(*columns, "route", F.col("group_key").alias("key"), "translation"), reviewer, config, phrases
     )
     issues = pair_issues(F.col("source_text"), F.col("translation.translated_text"), terms, config.target_language)
-    reviewed.withColumn("issues", issues).write.mode("overwrite").parquet(f"{root}/epoch={epoch}")
+    path = f"{root}/epoch={epoch}"
+    # The logs get what has been written, not what would be computed again.
+    result = reviewed.withColumn("issues", issues)
+    result.write.mode("overwrite").parquet(path)
+    written = spark.read.schema(result.schema).parquet(path)
+    done_log.add(written, epoch)
+    usable = written.select(*memory_log.schema.names)
+    memory_log.add(memory_log.first(usable), epoch)
+    text_log.add(text_log.first(usable), epoch)
 
 
 def start_incremental(
     segments: DataFrame, root: str, checkpoint: str, translator: Translator, reviewer: Reviewer, terms: Sequence[Term],
-    config: JobConfig, available_now: bool = False,
+    config: JobConfig, available_now: bool = False, phrases: DataFrame | None = None,
 ) -> StreamingQuery:
     """Process segments as they arrive (ST1); results are read with :func:`read_results`."""
     def run(batch: DataFrame, epoch: int) -> None:
-        process_batch(batch, epoch, root, translator, reviewer, terms, config)
+        process_batch(batch, epoch, root, translator, reviewer, terms, config, phrases)
 
     writer = segments.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
@@ -106,14 +120,40 @@ def read_results(spark: SparkSession, root: str) -> DataFrame:
     return spark.read.option("basePath", root).parquet(f"{root}/epoch=*")
 
 
-def stream_dedup(stream: DataFrame, keys: Sequence[str], event_time: str | None = None, delay: str = "1 day") -> DataFrame:
-    """First arrival per key (ST2); with an event time the state is dropped after ``delay``.
+def first_log(spark: SparkSession, root: str, schema: StructType, keys: Sequence[str], order: Sequence[str]) -> KeyedLog:
+    """The log of :func:`write_first`."""
+    return KeyedLog(spark, root, schema, keys, order)
+
 
-    Without one the state holds every key there ever was, so give one unless keys are few.
+def write_first(
+    stream: DataFrame, root: str, checkpoint: str, keys: Sequence[str], order: Sequence[str] = (), since: Column | None = None,
+) -> DataStreamWriter:
+    """One row per key of all that arrives (ST2): the one that ``order``, then its other columns, puts first.
+
+    Null keys are keys. Which rows remain does not depend on how the stream is cut into batches: a batch
+    adds the keys that are new and the rows that come before the one known so far, and :func:`read_first`
+    reads one row a key. What is known lies in a keyed log in the shared folder, not in the memory of the executors.
+    ``since``, a condition on the rows, is the rule of expiry: rows without it neither arrive nor count as known.
     """
-    if event_time is None:
-        return stream.dropDuplicates(list(keys))
-    return stream.withWatermark(event_time, delay).dropDuplicatesWithinWatermark(list(keys))
+    keys, order = list(keys), list(order)
+
+    def run(batch: DataFrame, epoch: int) -> None:
+        kept = first_log(batch.sparkSession, root, stream.schema, keys, order)
+        kept.compact(epoch)
+        rows = materialize(kept.first(batch if since is None else batch.where(since)))
+        known = kept.known(rows, epoch)
+        if known is not None:
+            known = materialize(known if since is None else known.where(since))
+            # Rows of a key that is known come out of both only if they are first.
+            rows = kept.first(rows.unionByName(known)).exceptAll(known)
+        kept.add(rows, epoch)
+
+    return stream.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
+
+
+def read_first(spark: SparkSession, root: str, schema: StructType, keys: Sequence[str], order: Sequence[str] = ()) -> DataFrame:
+    """The rows of :func:`write_first`, one a key."""
+    return first_log(spark, root, schema, list(keys), list(order)).all()
 
 
 def progress_stream(events: DataFrame) -> DataFrame:
