@@ -563,6 +563,9 @@ def oracle_sql() -> dict[str, str]:
         "m7_cache_upsert": "select cache_key, text, origin_job_id, origin_segment_id, strftime(created, '%Y-%m-%d %H:%M:%S') as created, strftime(updated, '%Y-%m-%d %H:%M:%S') as updated, 0::bigint as hits from stored",
         "m8_cache_touch": """select s.cache_key, count(l.event_id) as hits, strftime(coalesce(max(l.updated_at), any_value(s.created)), '%Y-%m-%d %H:%M:%S') as last_used
             from stored s left join log l on l.cache_key = s.cache_key and l.op = 'hit' group by s.cache_key""",
+        "m7_cache_log": """select s.cache_key, any_value(s.text) as text, any_value(s.origin_job_id) as origin_job_id, strftime(any_value(s.updated), '%Y-%m-%d %H:%M:%S') as updated,
+            count(l.event_id) as hits, strftime(coalesce(max(l.updated_at), any_value(s.created)), '%Y-%m-%d %H:%M:%S') as last_used
+            from stored s left join log l on l.cache_key = s.cache_key and l.op = 'hit' group by s.cache_key""",
         "m9_cache_backfill": f"select cast(job_id as varchar) as job_id, segment_id, sha256('{_SCOPE_TESTS}' || chr(31) || source_text) as cache_key, sha256(source_text) as source_hash from f2",
         "m10_second_run": "select job_id, 0::bigint as memory_hits, count(*) as persistent_hits, 0::bigint as misses from f2 group by job_id",
         "m8_second_run_hits": f"select sha256('{fx.SCOPE}' || chr(31) || source_text) as cache_key, sha256(source_text) as source_hash, (2 * count(*) - 1)::bigint as hits from f2 group by source_text",

@@ -23,6 +23,7 @@ from segqa.operators import review as rev
 from segqa.plans import workflow
 from segqa.plans.scale import materialize, shared_dir
 from segqa.sources import job_store
+from segqa.sources.cache_log import CacheLog
 from segqa.sources.documents import read_segments
 from segqa.sources.glossary import terms_table
 from segqa.sources.languages import with_language_index
@@ -634,6 +635,20 @@ def m8_cache_touch(spark, sf):
     )
 
 
+@query
+def m7_cache_log(spark, sf):
+    """The cache kept as a log: two versions of stored rows and one of uses, each touching its own keys only."""
+    log = _cache_log(spark, sf)
+    stored = CacheLog(spark, f"{shared_dir(spark)}/cache-{uuid.uuid4().hex}", log.drop("event_id").schema, buckets=16)
+    stored.upsert(log.where("event_id % 3 = 0").drop("event_id"), 0)
+    stored.upsert(log.where("event_id % 3 <> 0").drop("event_id"), 1)
+    stored.touch(_uses(spark, sf), 2)
+    return stored.table(3).select(
+        "cache_key", F.col("translation.translated_text").alias("text"), "origin_job_id",
+        F.date_format("updated_at", "yyyy-MM-dd HH:mm:ss").alias("updated"), "hits", F.date_format("last_used_at", "yyyy-MM-dd HH:mm:ss").alias("last_used"),
+    )
+
+
 @query
 def m9_cache_backfill(spark, sf):
     return job_store.cache_backfill(_payloads(spark, sf)).select(

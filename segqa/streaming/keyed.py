@@ -59,7 +59,10 @@ class KeyedLog:
         return [f"{self.root}/base/epoch={base}"] * (base > 0) + [f"{self.root}/batch/epoch={e}" for e in range(base, epoch)]
 
     def compact(self, epoch: int) -> None:
-        """Write the base that batches from ``epoch`` on start with, if one is due; call it before their look-ups."""
+        """Write the base that batches from ``epoch`` on start with, if one is due; call it before their look-ups.
+
+        It follows from earlier batches alone, so writing it again changes nothing.
+        """
         if epoch and epoch % self.every == 0:
             rows = self._read(self._paths(epoch - self.every, epoch))
             self._write(self.first(rows), f"{self.root}/base/epoch={epoch}")
