@@ -327,6 +327,27 @@ def joined_text(pairs: DataFrame, label: str = "page", chunk: int = 1000) -> Dat
     )
 
 
+def close_reports(report: DataFrame, jobs: DataFrame, fingerprints: DataFrame, texts: DataFrame, translations: DataFrame) -> DataFrame:
+    """A report with its job's files, their SHA-256, status and output verification.
+
+    ``jobs(job_id, source_path, output_path, status)`` has a null ``output_path`` where there is no output, and then no
+    hash of it either; a file without an entry in ``fingerprints(path, sha256)`` is "missing". ``texts`` and
+    ``translations`` are as for :func:`verify_output`; jobs without an output text have a null verification.
+    The ids of missing segments may be any number and stay in :func:`missing_segments`; the report counts them.
+    """
+    checked = verify_output(texts, translations)
+    verification = checked.select("job_id", F.struct(*[c for c in checked.columns if c != "job_id"]).alias("output_verification"))
+
+    def hashed(rows: DataFrame, side: str) -> DataFrame:
+        found = fingerprints.select(F.col("path").alias(f"{side}_path"), F.col("sha256").alias(f"{side}_sha256"))
+        absent = F.when(F.col(f"{side}_path").isNotNull(), F.lit("missing"))
+        return rows.join(found, f"{side}_path", "left").withColumn(f"{side}_sha256", F.coalesce(f"{side}_sha256", absent))
+
+    files = hashed(hashed(jobs.select("job_id", "source_path", "output_path", "status"), "source"), "output")
+    closed = report.join(files, "job_id", "left").join(verification, "job_id", "left")
+    return closed.withColumn("status", F.coalesce("status", F.lit("unknown")))
+
+
 def nested_reports(report: DataFrame, issues: DataFrame, findings: DataFrame, part_size: int = 10_000) -> DataFrame:
     """Audit reports with their issue and finding lists.
 

@@ -502,6 +502,15 @@ def oracle_sql() -> dict[str, str]:
             case when {_localized('source_text')} <> source_text then 1 else 0 end::bigint as notes from f2""",
         "s12_restore_jobs": """select job_id, case when job_id is not null then 'segments_translated' end as status, count(*) as segments, count(*) as translations, 0::bigint as reviews from f2 group by job_id""",
         "s13_report_sink": "select job_id, 0::bigint as part, segments_total, 'English' as source_language, 'Polish' as target_language, deterministic_issues as issues, review_findings as findings from (" + audit + ")",
+        "s13_closed_report": f"""select j.job_id, segments_total, case j.job_id % 3 when 0 then 'unknown' when 1 then 'completed' else 'needs_human_review' end as status,
+            case when j.job_id % 17 = 0 then 'missing' else sha256(source) end as source_sha256, sha256(outp) as output_sha256,
+            case when outp is not null then lost = 0 and leaks = 0 end as ok, case when outp is not null then lost end as missing,
+            case when outp is not null then leaks end as leaks, case when outp is not null then (lost > 0)::bigint + leaks end as messages
+            from (select a.job_id, segments_total, source, outp, (a.job_id % 26 = 0)::bigint as leaks, (select count(*) from f2 where f2.job_id = a.job_id
+                and length({norm('f2.translated_text')}) > 2 and not contains(lower({norm('outp')}), left(lower({norm('f2.translated_text')}), 40))) as lost
+              from (select job_id, count(*) as segments_total, string_agg(source_text, ' ' order by order_index) as source,
+                case when job_id % 13 = 0 then string_agg(translated_text, ' ' order by order_index) filter (where order_index <> 6) || case when job_id % 26 = 0 then ' {{{{ID_9}}}}' else '' end end as outp
+                from f2 group by job_id) a) j""",
         "s14_fingerprint": "select o.doc_id, coalesce(sha256(d.text), 'missing') as sha256 from (select distinct o_custkey as doc_id from orders) o left join documents d using (doc_id)",
         "p1_normalize_ws": f"select doc_id, length({norm('text')}) as chars, sha256({norm('text')}) as sha from documents",
         "p2_normalize_phrase": f"select doc_id, length(t) as chars, sha256(t) as sha from (select doc_id, replace(lower({norm('text')}), 'ß', 'ss') as t from documents)",

@@ -206,6 +206,36 @@ def s13_report_sink(spark, sf):
     )
 
 
+def _joined(rows, text):
+    item = F.sort_array(F.collect_list(F.struct("order_index", F.col(text).alias("t"))))
+    return rows.groupBy("job_id").agg(F.array_join(F.transform(item, lambda i: i["t"]), " ").alias("text"))
+
+
+@query
+def s13_closed_report(spark, sf):
+    """Reports with files, hashes, status and verification, written and read back; some files are missing."""
+    pairs = fx.report_pairs(spark, sf)
+    sources = _joined(pairs, "source_text")
+    leak = F.when(F.col("job_id") % 26 == 0, F.lit(" {{ID_9}}")).otherwise(F.lit(""))
+    outputs = materialize(_joined(pairs.where("job_id % 13 = 0 and order_index <> 6"), "translated_text").withColumn("text", F.concat("text", leak)))
+    jobs = sources.select(
+        "job_id", F.concat(F.lit("in/"), "job_id").alias("source_path"), F.when(F.col("job_id") % 13 == 0, F.concat(F.lit("out/"), "job_id")).alias("output_path"),
+        F.when(F.col("job_id") % 3 > 0, F.when(F.col("job_id") % 3 == 1, "completed").otherwise("needs_human_review")).alias("status"),
+    )
+    prints = sources.where("job_id % 17 > 0").select(F.concat(F.lit("in/"), "job_id").alias("path"), _sha("text").alias("sha256")).unionByName(
+        outputs.select(F.concat(F.lit("out/"), "job_id").alias("path"), _sha("text").alias("sha256"))
+    )
+    report = pairs.groupBy("job_id").agg(F.count(F.lit(1)).alias("segments_total"))
+    closed = reports.close_reports(report, jobs, prints, outputs, pairs.select("job_id", "segment_id", "translated_text"))
+    path = f"{shared_dir(spark)}/segqa-reports-{uuid.uuid4().hex}"
+    job_store.write_reports(closed, path)
+    check = F.col("output_verification")
+    return job_store.read_reports(spark, path, closed.schema).select(
+        "job_id", "segments_total", "status", "source_sha256", "output_sha256", check["ok"].alias("ok"), check["missing_segments"].alias("missing"),
+        F.size(check["placeholder_leaks"]).cast("long").alias("leaks"), F.size(check["messages"]).cast("long").alias("messages"),
+    )
+
+
 @query
 def s14_fingerprint(spark, sf):
     prints = fx.table(spark, sf, "documents").select("doc_id", _sha("text").alias("sha256"))

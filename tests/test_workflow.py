@@ -358,3 +358,18 @@ def test_progress_of_many_batches_needs_no_state(spark, tmp_path):
         assert spark.read.parquet(f"{out}/epoch={n}").agg(F.sum("events")).first()[0] == 2
     rows = {(r.job_id, r.stage): (r.current, r.total, r.events) for r in stream.read_progress(spark, out).collect()}
     assert rows == {(1, "translate"): (4, 5, 5)} | {(n, "review"): (1, 1, 1) for n in range(5)}
+
+
+def test_closed_reports_name_files_status_and_verification(spark):
+    report = spark.createDataFrame([(1, 5), (2, 6), (3, 7)], "job_id int, segments_total int")
+    jobs = spark.createDataFrame([(1, "a", "x", "completed"), (2, "b", None, "translating"), (4, "d", None, None)], "job_id int, source_path string, output_path string, status string")
+    prints = spark.createDataFrame([("a", "ha"), ("b", "hb")], "path string, sha256 string")
+    texts = spark.createDataFrame([(1, "jeden dwa {{T_1}}")], "job_id int, text string")
+    wanted = spark.createDataFrame([(1, "s1", "Jeden"), (1, "s2", "trzy"), (2, "s1", "x y z")], "job_id int, segment_id string, translated_text string")
+    rows = {r.job_id: r for r in reports.close_reports(report, jobs, prints, texts, wanted).collect()}
+    assert {j: (r.status, r.source_sha256, r.output_sha256) for j, r in rows.items()} == {
+        1: ("completed", "ha", "missing"), 2: ("translating", "hb", None), 3: ("unknown", None, None),
+    }
+    check = rows[1].output_verification
+    assert (check.ok, check.extracted_text_chars, check.missing_segments, check.placeholder_leaks, len(check.messages)) == (False, 17, 1, ["{{T_1}}"], 2)
+    assert rows[2].output_verification is None and rows[3].output_verification is None
