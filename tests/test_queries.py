@@ -8,13 +8,7 @@ from segqa.oracles import oracle_sql
 from segqa.queries import QUERIES
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-CHECKED = [
-    "s1_segment_source", "s4_line_features", "s6_table_cells", "s7_reading_order", "s10_job_store_upsert", "p2_normalize_phrase",
-    "p5_block_type", "p6_context_attach", "t1_extract_tokens", "t4_token_inventory", "v6_forbidden_term", "v7_validate_corpus",
-    "l1_localize_decimals", "x4_rule_translate", "x10_usage_extract", "m6_fan_out_copy", "m8_cache_touch", "h2_phrase_match",
-    "h3_phrase_apply", "r4_resolve_strict", "r5_revise_loop", "r8_decisions_undo", "r11_review_queue", "a1_audit_report",
-    "a7_output_verification", "a9_preview_tail", "st3_progress_stream", "u1_batch_client", "flagship_corpus_audit",
-]
+CHECKED = sorted(set(QUERIES) & set(oracle_sql()))
 
 
 @pytest.fixture(scope="module")
