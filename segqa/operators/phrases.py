@@ -227,6 +227,7 @@ def phrase_finding_array(matches: Column, source: Column, translated: Column) ->
     def one(match: Column) -> Column:
         def build(proposal: Column) -> Column:
             evidence = F.when(match["reason"] == "target_phrase", match["replace_text"]).otherwise(translated)
+            # The wording of the explanation.
             explanation = F.concat(
                 F.lit("Pamięć fraz operatora ma zatwierdzoną podmianę: użyj "), _repr(match["preferred_text"]),
                 F.lit(" zamiast "), _repr(match["replace_text"]), F.lit("."),

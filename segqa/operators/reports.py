@@ -279,6 +279,7 @@ def verify_output(texts: DataFrame, translations: DataFrame, prefix: int = PREFI
         "extracted_text_chars",
         F.coalesce("missing", F.lit(0)).alias("missing_segments"),
         "placeholder_leaks",
+        # The wording of the messages.
         F.array_compact(F.array(
             F.when(F.size("placeholder_leaks") > 0, F.lit("PDF wynikowy zawiera niepodmienione placeholdery.")),
             F.when(
