@@ -5,8 +5,9 @@ window ends. Each repeats the system turn and a limited stretch of the turns bef
 those nothing is under the loss mask, so every assistant turn is a target exactly once.
 The template marks turns with control strings, which are escaped where a text holds them.
 
-Conversations are cut into segments of turn numbers, each of which gets the system turn and
-the turns before it, so a conversation of any length is spread over many tasks.
+Turns are numbered without gaps, and a conversation is cut into segments of so many turns, each of
+which gets the system turn and the turns right before it, so a conversation of any length is
+spread over many tasks. A window ends with its segment.
 """
 
 from __future__ import annotations
@@ -14,20 +15,20 @@ from __future__ import annotations
 import re
 from collections import deque
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from segqa.llm import bpe
 from segqa.plans.scale import materialize
 
-# Tokens of a window, and of the repeated turns in it; turn numbers of a segment, and how many
-# before it are looked at for the repeated turns.
+# Tokens of a window, and of the repeated turns in it; turns of a segment. A turn counts one token
+# at least, so no more than ``HISTORY`` turns are ever repeated.
 BUDGET = 1024
 HISTORY = 256
-SEGMENT = 256
-HISTORY_TURNS = 8
+SEGMENT = 4096
 
 # Control strings of the template; a mark goes before each of them, and before itself, in texts.
 OPEN, CLOSE, MARK = "### ", "</turn>\n", "\\"
@@ -59,11 +60,13 @@ def parse(text: str) -> list[tuple[str, str]]:
     return [(unescape(m.group(1)), unescape(m.group(2))) for m in _TURN.finditer(text)]
 
 
-def windows(turns: Iterator[tuple[str, str, int, bool]], budget: int, history: int) -> Iterator[tuple[int, str, list[tuple[int, int]]]]:
+def windows(
+    turns: Iterator[tuple[str, str, int, bool]], budget: int, history: int, opens: bool = True
+) -> Iterator[tuple[int, str, list[tuple[int, int]]]]:
     """Windows (number of repeated turns, text, loss spans) of one segment's turns (role, text, tokens, fresh).
 
     Turns that are not fresh come first and only serve as system turn and history, which never
-    holds a system turn. A turn that alone is over the budget still gets a window.
+    holds a system turn. The first of all may be the system turn if the conversation ``opens`` with it. A turn that alone is over the budget still gets a window.
     """
     system: list[tuple[str, str, int]] = []
     before: deque[tuple[str, str, int]] = deque()
@@ -99,7 +102,7 @@ def windows(turns: Iterator[tuple[str, str, int, bool]], budget: int, history: i
 
     for n, (role, text, tokens, fresh) in enumerate(turns):
         turn = (role, text, tokens)
-        leads = n == 0 and role == "system"
+        leads = opens and n == 0 and role == "system"
         if not fresh:
             if leads:
                 system.append(turn)
@@ -119,11 +122,18 @@ def windows(turns: Iterator[tuple[str, str, int, bool]], budget: int, history: i
 
 
 def by_key(run: Callable[[tuple, Iterator[dict]], Iterator[tuple]], keys: list[str], schema: pa.Schema):
-    """A function for mapInArrow over rows sorted by ``keys``: ``run`` gets the rows of one key after the other."""
+    """A function for mapInArrow over rows sorted by ``keys``: ``run`` gets the rows of one key after the other.
+
+    The first column of ``schema`` is the first key, whose type is taken from the rows.
+    """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made_of = schema
+
         def rows() -> Iterator[tuple[tuple, dict]]:
+            nonlocal made_of
             for batch in batches:
+                made_of = schema.set(0, batch.schema.field(keys[0]))
                 for row in batch.to_pylist():
                     yield tuple(row[k] for k in keys), row
 
@@ -146,12 +156,12 @@ def by_key(run: Callable[[tuple, Iterator[dict]], Iterator[tuple]], keys: list[s
                 made.append(row)
                 size += sum(len(v) for v in row if isinstance(v, str))
                 if len(made) >= 1000 or size > 8_000_000:
-                    yield _batch(made, schema)
+                    yield _batch(made, made_of)
                     made, size = [], 0
             for _ in members:
                 pass
         if made:
-            yield _batch(made, schema)
+            yield _batch(made, made_of)
 
     return work
 
@@ -161,63 +171,86 @@ def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
 
-def with_tokens(rows: DataFrame, path: str, text_col: str = "text", name: str = "tokens") -> DataFrame:
-    """Add the number of tokens of each text."""
+def with_places(rows: DataFrame, path: str) -> DataFrame:
+    """Add ``tokens`` of each ``(conv_id, turn, role, text)`` and ``at``, its place in its conversation from 0 without gaps.
+
+    Rows are dealt by ranges of their order, so a conversation of any size is spread, also where
+    many rows have one turn number. A range counts its own rows. Only a conversation that goes
+    on from an earlier range has to be shifted: there is one a range at most, so that list is
+    no longer than there are tasks.
+    """
     source = bpe.vocabulary_source(rows.sparkSession, path)
-    at = rows.columns.index(text_col)
-    names = [*rows.columns, name]
+    order = [F.col("conv_id"), F.col("turn").asc_nulls_last(), F.col("role"), F.col("text")]
+    names = [*rows.columns, "tokens", "inside"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = bpe.encoder(source)
+        current, n = None, 0
         for batch in batches:
-            counts = pa.array((len(ids) // 4 for ids in coder.encode(batch.column(at).to_pylist())), pa.int64())
-            yield pa.RecordBatch.from_arrays([*batch.columns, counts], names=names)
-
-    return rows.mapInArrow(run, f"{', '.join(f'`{n}` {t}' for n, t in rows.dtypes)}, `{name}` long")
+            counts = [max(1, len(ids) // 4) for ids in coder.encode(batch.column("text").to_pylist())]
+            places = []
+            for conv in batch.column("conv_id").to_pylist():
+                n = n + 1 if conv == current else 0
+                current = conv
+                places.append(n)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(counts, pa.int64()), pa.array(places, pa.int64())], names=names)
+
+    sorted_rows = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    counted = sorted_rows.mapInArrow(run, f"{', '.join(f'`{n}` {t}' for n, t in rows.dtypes)}, tokens long, inside long")
+    counted = materialize(counted.withColumn("part", F.spark_partition_id()))
+    parts = counted.groupBy("conv_id", "part").agg(F.count(F.lit(1)).alias("n"))
+    earlier = Window.partitionBy("conv_id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    shifts = parts.withColumn("shift", F.sum("n").over(earlier)).where("shift is not null")
+    shifts = shifts.select(F.col("conv_id").alias("__conv"), F.col("part").alias("__part"), "shift")
+    same = F.col("conv_id").eqNullSafe(F.col("__conv")) & (F.col("part") == F.col("__part"))
+    return counted.join(F.broadcast(shifts), same, "left").select(
+        *rows.columns, "tokens", (F.col("inside") + F.coalesce("shift", F.lit(0))).alias("at")
+    )
 
 
 def format_windows(conversations: DataFrame, path: str, budget: int = BUDGET, history: int = HISTORY) -> DataFrame:
     """``(conv_id, segment, window, repeated, text, loss)``: the windows of every conversation.
 
-    Turns go by number, then role and text; a null number comes last, and a null role or text is
-    empty. Rows that repeat are turns like any other, and rows with a null conversation are one
-    conversation. ``repeated`` is the number of turns at the start of a window that an earlier
-    one has in full; ``loss`` holds the code points of each assistant text that is not repeated.
-    Only a first turn by ``system`` is a system turn. Other columns are left out; ids are longs,
-    ints or strings.
+    Turns go by number, then role and text, however far apart the numbers are; a null number comes
+    last, and a null role or text is empty. Rows that repeat are turns like any other, and rows with
+    a null conversation are one conversation. ``repeated`` is the number of turns at the start of a
+    window that an earlier one has in full; ``loss`` holds the code points of each assistant text
+    that is not repeated. Only a first turn by ``system`` is a system turn. Other columns are left
+    out; ids are of any type that can be ordered.
     """
     blank = F.lit("")
     rows = conversations.select(
         "conv_id", F.col("turn").cast("long").alias("turn"), F.coalesce("role", blank).alias("role"), F.coalesce("text", blank).alias("text")
     )
-    rows = materialize(with_tokens(rows, path).withColumn("segment", F.coalesce(F.floor(F.col("turn") / SEGMENT), F.lit(1 << 53))))
-    order = ["turn", "role", "text"]
-
-    # What a segment sees of the others: the last turn numbers before it, and the first turn of all.
-    fresh = rows.withColumn("kind", F.lit(2))
-    near_end = F.pmod(F.col("turn"), F.lit(SEGMENT)) >= SEGMENT - HISTORY_TURNS
-    earlier = rows.where(near_end).withColumn("segment", F.col("segment") + 1).withColumn("kind", F.lit(1))
-    used = materialize(rows.groupBy("conv_id", "segment").agg(F.count(F.lit(1)).alias("n"))).select("conv_id", "segment")
-    first = rows.groupBy("conv_id").agg(F.min(F.struct(F.col("turn").isNull(), "turn", "role", "text", "tokens", "segment")).alias("first"))
-    first = materialize(first.where("first.role = 'system'").select("conv_id", "first.turn", "first.role", "first.text", "first.tokens", F.col("first.segment").alias("home")))
-    repeated = first.join(used.withColumnRenamed("conv_id", "__conv"), F.col("conv_id").eqNullSafe(F.col("__conv"))).where("segment <> home")
-    repeated = repeated.withColumn("kind", F.lit(0)).select(*fresh.columns)
-    earlier = earlier.join(used.select(F.col("conv_id").alias("__conv"), F.col("segment").alias("__segment")),
-                           F.col("conv_id").eqNullSafe(F.col("__conv")) & (F.col("segment") == F.col("__segment")), "left_semi")
-    whole = fresh.unionByName(earlier).unionByName(repeated)
-    ready = whole.repartition("conv_id", "segment").sortWithinPartitions("conv_id", "segment", "kind", F.col("turn").asc_nulls_last(), "role", "text")
-    ready = ready.select("conv_id", "segment", "kind", *order, "tokens")
+    length = SEGMENT
+    placed = with_places(rows, path).withColumn("segment", F.floor(F.col("at") / length))
+    placed = materialize(placed.select("conv_id", "segment", "at", "role", "text", "tokens"))
+
+    # What a later segment sees of the others: the turns right before it that fit the history, and the system turn.
+    later = placed.where((F.col("segment") > 0) & (F.col("at") % length == 0)).select(F.col("conv_id").alias("__conv"), F.col("segment").alias("__segment"))
+    own = F.col("conv_id").eqNullSafe(F.col("__conv"))
+    leads = (F.col("at") == 0) & (F.col("role") == "system")
+    reaches = F.floor((F.col("at") + history) / length)
+    near = placed.where((reaches > F.col("segment")) & (F.col("role") != "system"))
+    near = near.withColumn("segment", F.explode(F.sequence(F.col("segment") + 1, reaches)))
+    back = Window.partitionBy("conv_id", "segment").orderBy(F.desc("at"))
+    last = near.withColumn("back", F.sum("tokens").over(back)).where(F.col("back") <= history).drop("back")
+    last = last.join(later, own & (F.col("segment") == F.col("__segment")), "left_semi")
+    system = placed.where(leads).drop("segment").join(later, own).withColumnRenamed("__segment", "segment").drop("__conv")
+
+    # By place, the system turn and history come before a segment's own turns.
+    fresh = placed.withColumn("fresh", F.lit(True))
+    whole = fresh.unionByName(last.withColumn("fresh", F.lit(False))).unionByName(system.withColumn("fresh", F.lit(False)))
+    ready = whole.repartition("conv_id", "segment").sortWithinPartitions("conv_id", "segment", "at")
 
     span = pa.struct([("start", pa.int32()), ("end", pa.int32())])
     fields = [("segment", pa.int64()), ("window", pa.int64()), ("repeated", pa.int32()), ("text", pa.string()), ("loss", pa.list_(span))]
-
-    kind = dict(conversations.dtypes)["conv_id"]
-    key_type = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
-    schema = pa.schema([("conv_id", key_type), *fields])
+    schema = pa.schema([("conv_id", pa.null()), *fields])
 
     def run(key: tuple, group: Iterator[dict]) -> Iterator[tuple]:
-        turns = ((r["role"], r["text"], r["tokens"], r["kind"] == 2) for r in group)
-        for n, (again, text, loss) in enumerate(windows(turns, budget, history)):
+        first = next(group)
+        turns = ((r["role"], r["text"], r["tokens"], r["fresh"]) for r in chain([first], group))
+        for n, (again, text, loss) in enumerate(windows(turns, budget, history, opens=first["at"] == 0)):
             yield (*key, n, again, text, [{"start": a, "end": b} for a, b in loss])
 
-    return ready.mapInArrow(by_key(run, ["conv_id", "segment"], schema), f"conv_id {kind}, {WINDOWS}")
+    return ready.mapInArrow(by_key(run, ["conv_id", "segment"], schema), f"conv_id {dict(conversations.dtypes)['conv_id']}, {WINDOWS}")

@@ -60,7 +60,6 @@ def test_query_reads_back_whole_conversations(spark, sf_dir):
 
 def test_odd_rows_and_long_conversations_in_segments(spark, vocabulary, monkeypatch):
     monkeypatch.setattr(chat, "SEGMENT", 4)
-    monkeypatch.setattr(chat, "HISTORY_TURNS", 2)
     rows = [(1, 0, "system", "be kind")] + [(1, i, ("user", "assistant")[i % 2], f"word {i} " * (i % 5)) for i in range(1, 23)]
     rows += [(2, None, None, None), (2, 3, "assistant", "twice"), (2, 3, "assistant", "twice"), (None, 0, "user", "x " * 4000), (3, 7, "assistant", "")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("segment", F.lit("clash")).withColumn("tokens", F.lit(1))
@@ -80,3 +79,70 @@ def test_odd_rows_and_long_conversations_in_segments(spark, vocabulary, monkeypa
         loss = [chat.unescape(r.text[s.start : s.end]) for r in windows for s in r.loss]
         assert loss == [r[3] for r in own if r[2] == "assistant"]
     assert chat.format_windows(df.limit(0), vocabulary).count() == 0
+
+
+def plain_windows(rows, library, budget, history, length):
+    """Windows of one conversation by plain loops: [(repeated, turns)] of rows (role, text) in order."""
+    cost = [max(1, len(library.encode(text, add_special_tokens=False).ids)) for _, text in rows]
+    system = [0] if rows and rows[0][0] == "system" else []
+    made = []
+    for start in range(0, len(rows), length):
+        end = min(start + length, len(rows))
+        at = start
+        while at < end:
+            # The system turn is repeated once it has been shown, the turns before as far as they fit.
+            again = [n for n in system if n < at]
+            before = []
+            nearest = range(at - 1, max(0, start - history) - 1, -1)
+            for n in nearest:
+                if rows[n][0] != "system":
+                    if sum(cost[m] for m in before) + cost[n] > history:
+                        break
+                    before.insert(0, n)
+            again += before
+            upto = at + 1
+            while upto < end and sum(cost[n] for n in again) + sum(cost[at : upto + 1]) <= budget:
+                upto += 1
+            made.append((len(again), [rows[n] for n in [*again, *range(at, upto)]]))
+            at = upto
+    return made
+
+
+def shown(made, conv):
+    mine = sorted((r for r in made if r.conv_id == conv), key=lambda r: (r.segment, r.window))
+    return [(r.repeated, chat.parse(r.text)) for r in mine]
+
+
+def test_windows_do_not_depend_on_how_far_apart_turn_numbers_are(spark, vocabulary, library, monkeypatch):
+    said = [("system", "be kind"), *[(("user", "assistant")[i % 2], f"word {i} " * (i % 6)) for i in range(59)]]
+    said[20] = ("system", "later")
+    said[32] = ("system", "at a border")
+    rows = [(c, i * step, *said[i]) for c, step in ((1, 1), (2, 1000), (3, 10**12)) for i in range(60)]
+    rows += [(4, 7, "user", f"{i:03} same number") for i in range(40)] + [(5, i, *said[i + 1]) for i in range(59)]
+    df = spark.createDataFrame(rows, "conv_id int, turn long, role string, text string").repartition(7)
+    for length, budget, history in ((chat.SEGMENT, 100, 30), (16, 60, 12), (16, 1024, 16)):
+        monkeypatch.setattr(chat, "SEGMENT", length)
+        made = chat.format_windows(df, vocabulary, budget, history).collect()
+        want = plain_windows(said, library, budget, history, length)
+        assert shown(made, 1) == shown(made, 2) == shown(made, 3) == want
+        assert shown(made, 4) == plain_windows([r[2:] for r in rows if r[0] == 4], library, budget, history, length)
+        assert shown(made, 5) == plain_windows(said[1:], library, budget, history, length)
+
+
+def test_query_has_the_characters_of_plain_windows(spark, sf_dir, library):
+    by_conv = {}
+    for r in spark.read.parquet(f"{sf_dir}/conversations.parquet").collect():
+        by_conv.setdefault(r.conv_id, []).append(r)
+    got = {r.conv_id: r.formatted_chars for r in entry.queries()["op8_chat_windows"](spark, sf_dir).collect()}
+    for conv, rows in by_conv.items():
+        ordered = sorted(rows, key=lambda r: (r.turn is None, r.turn or 0, r.role or "", r.text or ""))
+        made = plain_windows([(r.role or "", r.text or "") for r in ordered], library, chat.BUDGET, chat.HISTORY, chat.SEGMENT)
+        assert got[conv] == sum(len(chat.template(*t)[0]) for _, turns in made for t in turns)
+
+
+def test_any_type_of_id(spark, vocabulary):
+    for made in ("cast(id as decimal(20, 2))", "date_add(date'2020-01-01', cast(id as int))", "cast(id as smallint)", "cast(id as string)"):
+        df = spark.range(3).selectExpr(f"{made} as conv_id", "0 as turn", "'user' as role", "'x' as text")
+        got = chat.format_windows(df, vocabulary)
+        assert got.schema["conv_id"].dataType == df.schema["conv_id"].dataType
+        assert {r.conv_id for r in got.collect()} == {r.conv_id for r in df.collect()}
