@@ -68,9 +68,11 @@ def _quality() -> str:
     classed as (select *, length(t) - c_lower - c_upper - c_other_letter - c_digit - c_space - c_symbol - c_punctuation as c_other from (select rid, lang, known, t, length(t) as chars, {counts} from docs)),
     low as materialized (select rid, lang, known, unnest(lows) as word from split),
     seen as (select lang, word, count(*) as n from low where known group by all),
-    totals as (select lang, sum(n) as total from seen group by lang having sum(n) >= 0.001 * (select sum(n) from seen)),
+    totals as (select lang, sum(n) as total from seen group by lang),
     top as materialized (select lang, word, n from (select *, row_number() over (partition by lang order by n desc, word) as place from seen where length(word) <= 6) join totals using (lang) where place <= 100),
     usual as (select lang, total, total - sum(n) as other from totals join top using (lang) group by lang, total),
+    -- A text without one common word; its distance in words is the measure of the limit.
+    bounds as (select lang, least(0.55, 0.95 * sqrt(greatest(0, (total - other) / total + {apart('1', 'other / total')} + {apart('other / total', '1')}) / 2)) as word_limit from usual),
     mine as (select rid, lang, word, count(*) as m from low join top using (lang, word) group by all),
     sizes as (select rid, lang, len(lows) as words from split),
     word_apart as (select s.rid, sum({apart('coalesce(m, 0) / words', 'n / total')} + {apart('n / total', 'coalesce(m, 0) / words')}) as js, sum(coalesce(m, 0)) as common
@@ -83,8 +85,8 @@ def _quality() -> str:
         len(ls) - len(list_distinct(ls)) as n_dup_lines, coalesce(n_repeat_words, 0) as n_repeat_words from split join docs using (rid) left join rep using (rid))
     select doc_id, n_words::bigint as n_words, word_chars::bigint as word_chars, n_symbols::bigint as n_symbols, n_dup_lines::bigint as n_dup_lines, n_repeat_words::bigint as n_repeat_words,
       n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed, round(w.d, 6) as word_distance, round(c.d, 6) as class_distance,
-      not (n_words < 50 or 100 * n_repeat_words > 50 * n_words or coalesce(w.d, 0) > 0.55 or coalesce(c.d, 0) > 0.3) as kept
-    from docs join base using (rid) left join word_js w using (rid) left join class_js c using (rid)"""
+      not (n_words < 50 or 100 * n_repeat_words > 50 * n_words or coalesce(w.d > word_limit, false) or coalesce(c.d, 0) > 0.3) as kept
+    from docs join base using (rid) left join word_js w using (rid) left join class_js c using (rid) left join bounds on bounds.lang = docs.lang"""
 
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"

@@ -93,7 +93,7 @@ def op6_lattice_near_dedup(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def op7_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
     docs = _table(spark, sf, "documents").select("doc_id", "text", "lang")
-    scored = quality.score(docs, quality.references(docs)).drop("text", "lang")
+    scored = quality.scored(docs).drop("text", "lang")
     return scored.withColumns({c: F.round(c, 6) for c in ("word_distance", "class_distance")})
 
 
