@@ -148,6 +148,14 @@ def prefix_client():
     return call
 
 
+def refusing_client():
+    """A client of a service that is out of reach."""
+    def call(batch):
+        raise ConnectionError(f"{len(batch)} requests were sent")
+
+    return call
+
+
 def output_texts(segments: DataFrame) -> DataFrame:
     """Output text per job: its translations, every thirteenth left out, some with a placeholder."""
     kept = segments.where("order_index % 13 <> 5")

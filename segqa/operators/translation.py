@@ -25,13 +25,12 @@ from segqa.functions.rules import (
     verdict,
 )
 from segqa.functions.text import let
+from segqa.operators.answers import RETRIES, TIMEOUT, AnswerLog, Batch, patient
 from segqa.sources.glossary import Term
 
 # Fixed value: what a translator is told to do with a segment under revision.
 REVISE_INSTRUCTION = "Revise only the material issues. Preserve protected tokens."
 
-Batch = Callable[[pd.DataFrame], pd.DataFrame]
-
 
 class Translator(Protocol):
     """Adds a ``translation`` struct to rows that have ``segment_id`` and ``source_text``."""
@@ -63,14 +62,16 @@ class RuleReviewer:
 
 
 def _call_in_batches(
-    rows: DataFrame, open_client: Callable[[], Batch], schema: str, optional: str, calls: int | None
+    rows: DataFrame, open_client: Callable[[], Batch], schema: str, optional: str, calls: int | None,
+    timeout: float, retries: int, answers: AnswerLog | None,
 ) -> DataFrame:
     """Send rows through an external client, one client per task, opened on the first row.
 
     The client returns one row per input row, in order; input columns, the segment id
     among them, are always taken from the input. Columns of ``optional`` that it leaves out
     are null. ``calls`` limits how many tasks call the service at once; without it the
-    current partitioning is kept.
+    current partitioning is kept. A call that fails or takes longer than ``timeout`` seconds is made
+    again ``retries`` times. With ``answers``, requests that have an answer there are not sent.
     """
     may_lack = T.StructType.fromDDL(optional).fieldNames()
     added = T.StructType.fromDDL(f"{schema}, {optional}")
@@ -82,7 +83,9 @@ def _call_in_batches(
         for batch in batches:
             if batch.empty:
                 continue
-            client = client or open_client()
+            if client is None:
+                client = patient(open_client(), timeout, retries)
+                client = answers.keep(client) if answers else client
             result = client(batch)
             if len(result) != len(batch):
                 raise ValueError("a client must return one row per input row")
@@ -90,6 +93,12 @@ def _call_in_batches(
             kept = batch.drop(columns=[n for n in names if n in batch.columns])
             yield pd.concat([kept.reset_index(drop=True), result[names].reset_index(drop=True)], axis=1)
 
+    if answers:
+        def send(asked: DataFrame) -> DataFrame:
+            extra = [f for f in asked.schema.fields if f.name not in rows.columns]
+            return asked.mapInPandas(run, T.StructType([f for f in rows.schema.fields if f.name not in names] + extra + added.fields))
+
+        return answers.send_once(rows, send, calls)
     return (rows.repartition(calls) if calls else rows).mapInPandas(run, out)
 
 
@@ -104,11 +113,14 @@ class ClientTranslator:
     open_client: Callable[[], Batch]
     target_language: str = "Polish"
     calls: int | None = None
+    timeout: float = TIMEOUT
+    retries: int = RETRIES
+    answers: AnswerLog | None = None
 
     def translate(self, rows: DataFrame) -> DataFrame:
         schema = "translated_text string, translator_notes array<string>, confidence string"
         optional = f"uncertain_terms array<string>, source_terms_retained array<string>, token_usage {USAGE_TYPE}"
-        done = _call_in_batches(rows, self.open_client, schema, optional, self.calls)
+        done = _call_in_batches(rows, self.open_client, schema, optional, self.calls, self.timeout, self.retries, self.answers)
         raw = translation(
             F.col("translated_text"), F.col("translator_notes"), F.col("confidence"),
             F.coalesce("uncertain_terms", strings([])), F.coalesce("source_terms_retained", strings([])), F.col("token_usage"),
@@ -124,10 +136,14 @@ class ClientReviewer:
 
     open_client: Callable[[], Batch]
     calls: int | None = None
+    timeout: float = TIMEOUT
+    retries: int = RETRIES
+    answers: AnswerLog | None = None
 
     def review(self, pairs: DataFrame) -> DataFrame:
         done = _call_in_batches(
-            pairs, self.open_client, f"findings array<{FINDING_TYPE}>", f"token_usage {USAGE_TYPE}", self.calls
+            pairs, self.open_client, f"findings array<{FINDING_TYPE}>", f"token_usage {USAGE_TYPE}", self.calls,
+            self.timeout, self.retries, self.answers,
         )
         return done.withColumnRenamed("token_usage", "review_usage").withColumn("verdict", verdict(F.col("findings")))
 

@@ -671,6 +671,9 @@ def oracle_sql() -> dict[str, str]:
         "st1_incremental": "select job_id, segment_id, 'PL: ' || source_text as text, 'accept' as verdict from f1",
         "st2_stream_dedup": "select distinct 'k' || (user_id % 40) as cache_key, event_type from events",
         "st3_progress_stream": "select user_id as job_id, event_type as stage, max(event_id) as current, max(user_id * 2) as total, count(*) as events from events group by all",
+        "s14_file_fingerprints": "select doc_id // 50 as file, octet_length(encode(string_agg(coalesce(text, '') || chr(10), '' order by doc_id)))::bigint as length, "
+        "sha256(string_agg(coalesce(text, '') || chr(10), '' order by doc_id)) as sha256 from documents group by doc_id // 50",
+        "u1_answered_calls": "select job_id, segment_id, 'PL: ' || source_text as text, 'client' as notes from f2",
         "u1_batch_client": "select f.j as job_id, f.s as segment_id, 'PL: ' || source_text as text, 'client' as notes from (select source_text, min({'j': job_id, 's': segment_id}) as f from f2 group by source_text)",
         "flagship_corpus_audit": f"""select job_id, count(*)::bigint as segments_total, (count(*) filter (where k in (1,4,7)))::bigint as segments_human_review_required,
             (count(*) filter (where k in (1,4,7)) + count(*) filter (where k = 4))::bigint as deterministic_issues,

@@ -18,11 +18,11 @@ from segqa.functions.rules import looks_english, merge_verdict, phrase_rules, ru
 from segqa.functions.tokens import extract_tokens
 from segqa.functions.usage import estimate_request, extract_usage
 from segqa.operators import decisions as dec
-from segqa.operators import layout, memory, phrases, reports, segments, translation, validation
+from segqa.operators import answers, layout, memory, phrases, reports, segments, translation, validation
 from segqa.operators import review as rev
 from segqa.plans import workflow
 from segqa.plans.scale import materialize, shared_dir
-from segqa.sources import job_store
+from segqa.sources import files, job_store
 from segqa.sources.cache_log import CacheLog
 from segqa.sources.documents import read_segments
 from segqa.sources.glossary import terms_table
@@ -243,6 +243,16 @@ def s14_fingerprint(spark, sf):
     return job_store.with_fingerprint(wanted, prints, "doc_id")
 
 
+@query
+def s14_file_fingerprints(spark, sf):
+    """Files of fifty document ids each, written by Spark under the shared folder, and the hash of their bytes."""
+    root = f"{shared_dir(spark)}/segqa-files-{uuid.uuid4().hex}"
+    docs = fx.table(spark, sf, "documents").selectExpr("doc_id div 50 as file", "doc_id", "coalesce(text, '') as text")
+    docs.repartition("file").sortWithinPartitions("file", "doc_id").select("file", "text").write.partitionBy("file").text(root)
+    prints = files.file_fingerprints(spark, root)
+    return prints.select(F.regexp_extract("path", r"file=(\d+)", 1).cast("long").alias("file"), "length", "sha256")
+
+
 # Text
 
 @query
@@ -1203,6 +1213,17 @@ def u1_batch_client(spark, sf):
     )
 
 
+@query
+def u1_answered_calls(spark, sf):
+    """The texts of every report through a client with an answer log; the second run gets all answers from the log."""
+    texts = fx.report_pairs(spark, sf).select("job_id", "segment_id", "source_text")
+    log = answers.AnswerLog(f"{shared_dir(spark)}/segqa-answers-{uuid.uuid4().hex}", "model-1", buckets=16)
+    first = translation.ClientTranslator(fx.prefix_client, "German", answers=log).translate(texts)
+    first.write.format("noop").mode("overwrite").save()
+    again = translation.ClientTranslator(fx.refusing_client, "German", answers=log).translate(texts)
+    return again.select("job_id", "segment_id", F.col("translation.translated_text").alias("text"), F.array_join("translation.translator_notes", "|").alias("notes"))
+
+
 @query
 def flagship_corpus_audit(spark, sf):
     """Segments, reuse routing, rule translation, review, validation, resolution and report in one run."""

@@ -150,12 +150,6 @@ def read_reports(spark: SparkSession, path: str, schema: StructType) -> DataFram
     return spark.read.schema(schema).json(path).select(*schema.fieldNames())
 
 
-def file_fingerprints(spark: SparkSession, path: str, recursive: bool = True) -> DataFrame:
-    """SHA-256 of file contents."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(path)
-    return files.select("path", "length", F.sha2("content", 256).alias("sha256"))
-
-
 def with_fingerprint(rows: DataFrame, fingerprints: DataFrame, key: str) -> DataFrame:
     """Fingerprint per row, "missing" where there is no file."""
     found = fingerprints.select(key, "sha256")

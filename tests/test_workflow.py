@@ -8,7 +8,7 @@ from segqa.operators import decisions, memory, phrases, reports, translation
 from segqa.operators import review as rev
 from segqa.operators.layout import assemble_lines, words_outside
 from segqa.plans import workflow
-from segqa.sources import job_store
+from segqa.sources import files, job_store
 from segqa.streaming import jobs as stream
 
 KEYS = "job_id string, segment_id string"
@@ -181,10 +181,10 @@ def test_file_fingerprints(spark, tmp_path):
     import hashlib
 
     (tmp_path / "a.pdf").write_bytes(b"abc")
-    found = job_store.file_fingerprints(spark, str(tmp_path)).first()
+    found = files.file_fingerprints(spark, str(tmp_path)).first()
     assert found.sha256 == hashlib.sha256(b"abc").hexdigest()
     wanted = spark.createDataFrame([(found.path,), ("none",)], "path string")
-    got = {r.path: r.sha256 for r in job_store.with_fingerprint(wanted, job_store.file_fingerprints(spark, str(tmp_path)), "path").collect()}
+    got = {r.path: r.sha256 for r in job_store.with_fingerprint(wanted, files.file_fingerprints(spark, str(tmp_path)), "path").collect()}
     assert got["none"] == "missing"
 
 
