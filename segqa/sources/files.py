@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import hashlib
 import re
+import uuid
 from collections.abc import Iterator
 from urllib.parse import quote
 
 import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 # Bytes of a file that are in memory at a time.
@@ -60,3 +62,32 @@ def file_fingerprints(spark: SparkSession, path: str, recursive: bool = True, ta
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(path).select("path", "length")
     return with_file_hash(files.repartition(tasks or int(spark.conf.get("spark.sql.shuffle.partitions"))), "path")
+
+
+def write_texts(rows: DataFrame, root: str, name: str, order: str, text: str) -> None:
+    """Write the ``text`` of all rows with one ``name`` as lines of one file under ``root``, in ``order``, where tasks run.
+
+    A file is written under another name, which Spark does not list, and then renamed, so a repeated task replaces
+    what it wrote before. All files lie in one folder: nothing is committed or listed file by file on the driver.
+    """
+    folder, top = open_folder(root)
+    folder.create_dir(top)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        target, base = open_folder(root)
+        own, current, stream = f"{base}/_{uuid.uuid4().hex}", None, None
+        for batch in batches:
+            for file, line in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if stream is None or file != current:
+                    if stream is not None:
+                        stream.close()
+                        target.move(own, f"{base}/{current}")
+                    current, stream = file, target.open_output_stream(own)
+                stream.write(f"{line}\n".encode())
+        if stream is not None:
+            stream.close()
+            target.move(own, f"{base}/{current}")
+            yield pa.RecordBatch.from_arrays([pa.array([True])], names=["done"])
+
+    sorted_rows = rows.select(F.col(name).cast("string").alias("__f"), F.coalesce(text, F.lit("")).alias("__t"), order).repartition("__f")
+    sorted_rows.sortWithinPartitions("__f", order).select("__f", "__t").mapInArrow(run, "done boolean").write.format("noop").mode("overwrite").save()

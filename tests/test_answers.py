@@ -124,3 +124,10 @@ def test_files_over_two_gigabytes_are_hashed_in_pieces(spark, tmp_path):
     assert {r.path: r.sha256 for r in files.with_file_hash(rows, "path").collect()} == dict(
         zip(asked, [hashlib.sha256(b"").hexdigest(), digest.hexdigest(), "missing", "missing", "missing"], strict=True)
     )
+
+
+def test_texts_are_written_to_one_folder_where_tasks_run(spark, tmp_path):
+    rows = spark.createDataFrame([("a", 2, "zwei ö"), ("b", 1, None), ("a", 1, "eins")], "name string, at int, line string")
+    for _ in range(2):  # a repeated run replaces the files
+        files.write_texts(rows, str(tmp_path / "out"), "name", "at", "line")
+    assert {p.name: p.read_text("utf-8") for p in (tmp_path / "out").iterdir() if not p.name.startswith(".")} == {"a": "eins\nzwei ö\n", "b": "\n"}
