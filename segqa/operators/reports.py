@@ -30,6 +30,8 @@ METRICS = (
 PREFIX = 40
 # Places of a text whose fragments are held at a time.
 PLACES = 4096
+# Found prefixes that a task holds before it hands them on.
+HELD = 16_384
 
 
 def _contribution(df: DataFrame, **values: Column) -> DataFrame:
@@ -217,23 +219,30 @@ def _held_prefixes(output: DataFrame, wanted: DataFrame) -> DataFrame:
     # The seed that the job gives to the fingerprints of its prefixes.
     rows = output.select("job_id", F.xxhash64("job_id").alias("seed"), "out")
 
+    def held_rows(batch: pa.RecordBatch, held: set[tuple[int, str]]) -> pa.RecordBatch:
+        made = sorted(held)
+        jobs = batch.column(0).take(pa.array([m[0] for m in made]))
+        return pa.RecordBatch.from_arrays([jobs, pa.array([m[1] for m in made], pa.string())], names=["job_id", "prefix"])
+
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         may_start, may_want = Filter(first), Filter(own)
         for batch in batches:
             texts = batch.column(2)
             held: set[tuple[int, str]] = set()
-            for at, text in enumerate(texts.to_pylist()):
-                seed = batch.column(1)[at].as_py() % (1 << 64)
+            for at in range(len(texts)):
+                # One text at a time: a batch may hold many megabytes of them.
+                text, seed = texts[at].as_py(), batch.column(1)[at].as_py() % (1 << 64)
                 for size, places in _starting(texts.slice(at, 1), sizes, may_start):
                     # A piece of less than the usual size is a whole prefix.
                     possible = [n for n in lengths if n <= size] if size < PIECE else lengths
-                    found = sorted({text[i : i + n] for i in places for n in possible if i + n <= len(text)})
+                    found = list({text[i : i + n] for i in places for n in possible if i + n <= len(text)})
                     prints = np.array([xxhash.xxh64_intdigest(f.encode("utf-8"), seed) for f in found], np.uint64).view(np.int64)
                     held.update((at, found[k]) for k in np.flatnonzero(may_want.may_hold(prints)).tolist())
+                    if len(held) >= HELD:
+                        yield held_rows(batch, held)
+                        held = set()
             if held:
-                made = sorted(held)
-                jobs = batch.column(0).take(pa.array([m[0] for m in made]))
-                yield pa.RecordBatch.from_arrays([jobs, pa.array([m[1] for m in made], pa.string())], names=["job_id", "prefix"])
+                yield held_rows(batch, held)
 
     schema = StructType([rows.schema["job_id"], *StructType.fromDDL("prefix string").fields])
     return rows.mapInArrow(scan, schema)

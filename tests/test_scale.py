@@ -163,3 +163,13 @@ def test_shared_folder_is_needed_on_a_cluster(spark):
 
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         scale.shared_dir(Session())
+
+
+def test_found_prefixes_leave_the_task_in_bounded_parts(spark, monkeypatch):
+    from segqa.operators import reports
+
+    monkeypatch.setattr(reports, "HELD", 3)
+    words = [f"wording number {i}" for i in range(40)]
+    texts = spark.createDataFrame([(j, " ".join(words[j:])) for j in range(2)], "job_id int, text string").coalesce(1)
+    made = spark.createDataFrame([(j, f"s{i}", w) for j in range(2) for i, w in enumerate(words)], "job_id int, segment_id string, translated_text string")
+    assert [tuple(r) for r in reports.missing_segments(texts, made).collect()] == [(1, "s0")]
