@@ -19,6 +19,10 @@ NOT_BEFORE_WORD = f"(?!{WORD})"
 # Only runs that are not already a single plain space need rewriting, so clean
 # text is scanned but never rebuilt.
 _WS_RUN = f"(?:[{WS_CHARS}&&[^ ]]{WS}*| {WS}+)"
+# Texts without these characters have no whitespace but the plain space. Java tests a list of Latin-1 characters with one
+# look-up and a single range with one call; the range holds all further whitespace, and other characters too.
+_NARROW_WS = r"[\t\n\x0b\f\r\x1c\x1d\x1e\x1f\x85\xa0]"
+_WIDE_WS = r"[\u1680-\u3000]"
 
 # Names under which Polish is recognised as a target language,
 # and the narrower set that selects the decimal comma.
@@ -33,7 +37,12 @@ def let(value: Column, body) -> Column:
 
 def normalize_ws(text: Column) -> Column:
     """Collapse whitespace runs to one space and trim; null becomes ''."""
-    return F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), _WS_RUN, " "))
+    def clean(known: Column) -> Column:
+        wide = (F.octet_length(known) > F.length(known)) & known.rlike(_WIDE_WS)
+        rough = F.contains(known, F.lit("  ")) | known.rlike(_NARROW_WS) | wide
+        return F.trim(F.when(rough, F.regexp_replace(known, _WS_RUN, " ")).otherwise(known))
+
+    return let(F.coalesce(text, F.lit("")), clean)
 
 
 @lru_cache(maxsize=1)
@@ -74,8 +83,12 @@ def short_text(text: Column, limit: int) -> Column:
 
 
 def strip_ws(text: Column) -> Column:
-    """Trim Unicode whitespace at both ends, keeping inner whitespace."""
-    return F.regexp_replace(text, f"^{WS}+|{WS}+$", "")
+    """Trim Unicode whitespace at both ends, keeping inner whitespace; texts without any there are not searched."""
+    def strip(t: Column) -> Column:
+        ends = F.concat(F.left(t, F.lit(1)), F.right(t, F.lit(1)))
+        return F.when(ends.rlike(WS), F.regexp_replace(t, f"^{WS}+|{WS}+$", "")).otherwise(t)
+
+    return let(text, strip)
 
 
 def language_name(language: Column) -> Column:

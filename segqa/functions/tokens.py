@@ -51,6 +51,17 @@ PATTERNS = (
     ),
 )
 
+# What any text with a token holds: a digit, one of these signs, or a whole word of the kinds that do without digits.
+# Characters beyond Latin-1 that such a token may start with are looked for where a character of their range is.
+_SIGNS = "[<>=±°%]"
+_LATIN = "".join(map(chr, (*range(0x41, 0x5B), *range(0x61, 0x7B))))
+_WORDS = (
+    rf"(?=[mMµuUgGkKpPdDhHsSnNlLoO])(?<![{_LATIN}]){NOT_AFTER_WORD}(?iu)(?:mg/dm[2²]|mg/kg|µg/kg|ug/kg|g/m[2²]|kg|mg|µg|ug|ppm|ppb|days?|hours?|hrs?|min|s"
+    rf"|ND|N/A|NA|LOQ|LOD|SML|OML){NOT_BEFORE_WORD}"
+)
+_WIDE_RANGE = r"[\u017f-\u2265]"
+_WIDE_STARTS = "[≤≥μΜ\u212aſ]"
+
 _MARK = "\x1f"
 _SPAN = "struct<start:int,end:int,kind:string>"
 TOKEN_TYPE = "struct<token_id:string,kind:string,text:string,normalized:string,start:int,end:int>"
@@ -62,10 +73,23 @@ def marked_parts(text: Column, pattern: str) -> Column:
     The mark is an ASCII separator; a mark already in the text is first turned into
     its neighbour, which every pattern treats alike, so offsets stay valid.
     """
-    safe = F.translate(text, _MARK, "\x1e")
+    return _split_marked(_safe(text), pattern)
+
+
+def _safe(text: Column) -> Column:
+    return F.when(F.contains(text, F.lit(_MARK)), F.translate(text, _MARK, "\x1e")).otherwise(text)
+
+
+def _split_marked(safe: Column, pattern: str) -> Column:
     return F.split(F.regexp_replace(safe, f"(?:{pattern})", f"{_MARK}$0{_MARK}"), _MARK)
 
 
+def may_hold_tokens(text: Column) -> Column:
+    """False only for texts without any token; most prose is settled by it."""
+    wide = (F.octet_length(text) > F.length(text)) & text.rlike(_WIDE_RANGE) & text.rlike(_WIDE_STARTS)
+    return text.rlike(_D) | text.rlike(_SIGNS) | text.rlike(_WORDS) | wide
+
+
 def _candidates(text: Column) -> Column:
     """Per pattern its kind and the marked parts of the text; no parts where it cannot match."""
     nothing = F.expr("cast(array() as array<string>)")
@@ -80,11 +104,11 @@ def _candidates(text: Column) -> Column:
                 found = t.contains(need) & found
             if kind not in DIGITLESS_KINDS:
                 found = digits & found
-            parts = F.when(found, marked_parts(t, pattern)).otherwise(nothing)
+            parts = F.when(found, _split_marked(t, pattern)).otherwise(nothing)
             groups.append(F.struct(F.lit(kind).alias("kind"), parts.alias("parts")))
         return F.array(*groups)
 
-    return let(F.struct(text.alias("t"), text.rlike(_D).alias("digits")), build)
+    return let(F.struct(_safe(text).alias("t"), text.rlike(_D).alias("digits")), build)
 
 
 def _spans(candidate: Column) -> Column:
@@ -115,7 +139,10 @@ def token_spans(text: Column) -> Column:
 
         return F.when(F.size(candidate["parts"]) == 0, acc).otherwise(F.concat(acc, F.filter(_spans(candidate), free)))
 
-    return F.sort_array(F.aggregate(_candidates(F.coalesce(text, F.lit(""))), none, keep))
+    def build(t: Column) -> Column:
+        return F.when(may_hold_tokens(t), F.sort_array(F.aggregate(_candidates(t), none, keep))).otherwise(none)
+
+    return let(F.coalesce(text, F.lit("")), build)
 
 
 def normalize_token(kind: Column, value: Column) -> Column:

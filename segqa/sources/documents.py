@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from segqa.functions.text import normalize_ws
+from segqa.functions.text import WS_CHARS, normalize_ws
 from segqa.plans.scale import running_offsets
 
 
@@ -18,6 +18,11 @@ def page_blocks(text: Column) -> Column:
     return F.filter(lines, lambda b: b["source_text"] != "")
 
 
+def block_count(text: Column) -> Column:
+    """Number of :func:`page_blocks`, without making them."""
+    return F.size(F.filter(F.split(text, "\n"), lambda line: line.rlike(f"[^{WS_CHARS}]")))
+
+
 def segment_id(page: Column, block: Column) -> Column:
     return F.format_string("p%03d-b%04d", page, block)
 
@@ -29,7 +34,7 @@ def read_segments(pages: DataFrame) -> DataFrame:
     takes part in the running offset, which is then joined back on the page key.
     """
     blocks = pages.withColumn("__blocks", page_blocks(F.col("text"))).drop("text")
-    sizes = blocks.select("job_id", F.col("page_number").cast("long").alias("page_number"), F.size("__blocks").alias("n"))
+    sizes = pages.select("job_id", F.col("page_number").cast("long").alias("page_number"), block_count(F.col("text")).alias("n"))
     offsets = running_offsets(sizes, ["job_id"], "page_number", "n").drop("n")
     rest = [c for c in pages.columns if c not in ("job_id", "page_number", "text")]
     located = blocks.withColumn("page_number", F.col("page_number").cast("long")).join(
