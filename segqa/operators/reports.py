@@ -307,18 +307,21 @@ def translation_preview(
     With ``last`` only the final rows of each job are shown; they are cut per task before
     the shuffle and numbered back from the job's total.
     """
-    shown = pairs.select(
-        *KEYS, "page_number", "block_type", "order_index",
-        short_text(F.col("source_text"), source_chars).alias("source"),
-        short_text(F.col("translated_text"), translation_chars).alias("translation"),
-        "confidence",
-    )
+    def shown(rows: DataFrame, *more: str) -> DataFrame:
+        return rows.select(
+            *KEYS, "page_number", "block_type", "order_index",
+            short_text(F.col("source_text"), source_chars).alias("source"),
+            short_text(F.col("translated_text"), translation_chars).alias("translation"),
+            "confidence", *more,
+        )
+
     if last is None:
-        return number_rows(shown, ["job_id"], F.col("order_index"), ["order_index"], "number", chunk).withColumn(
+        return number_rows(shown(pairs), ["job_id"], F.col("order_index"), ["order_index"], "number", chunk).withColumn(
             "number", F.col("number") + 1
         )
     back = W.partitionBy("job_id").orderBy(F.desc("order_index"))
-    tail = shown.withColumn("__back", F.row_number().over(back)).where(F.col("__back") <= last)
+    # Only what is shown is shortened.
+    tail = shown(pairs.withColumn("__back", F.row_number().over(back)).where(F.col("__back") <= last), "__back")
     totals = pairs.groupBy("job_id").agg(F.count(F.lit(1)).alias("__n"))
     return tail.join(totals, "job_id").withColumn("number", F.col("__n") - F.col("__back") + 1).drop("__n", "__back")
 

@@ -36,3 +36,11 @@ def test_every_kind_of_white_space_is_still_found(spark):
         assert (r.n, r.s, r.k) == (" ".join(r.t.split()), r.t.strip(), r.size), repr(r.t)
 
 
+def test_only_shown_rows_are_shortened(spark):
+    rows = spark.createDataFrame([("j", f"s{i}", 1, "p", i, f"a  {i}", f"b  {i}", "high") for i in range(30)], f"{KEYS}, page_number int, block_type string, order_index long, source_text string, translated_text string, confidence string")
+    tail = reports.translation_preview(rows, 3, 5, 5)
+    assert sorted((r.number, r.source, r.translation) for r in tail.collect()) == [(28, "a 27", "b 27"), (29, "a 28", "b 28"), (30, "a 29", "b 29")]
+    plan = _plan(tail)
+    assert "regexp_replace" in plan and "regexp_replace" not in plan[plan.index("Window ["):]
+
+
