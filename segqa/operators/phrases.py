@@ -159,8 +159,6 @@ def replace_first(text: Column, old: Column, new: Column) -> Column:
 def apply_match(text: Column, match: Column) -> Column:
     """What one phrase makes of a text (H3)."""
     approved = match["approved_text"]
-    old, new = strip_ws(match["replace_text"]), strip_ws(match["preferred_text"])
-    usable = (old != "") & (new != "")
     whole = F.when(approved != "", approved).otherwise(match["preferred_text"])
 
     def build(replaced: Column) -> Column:
@@ -171,7 +169,12 @@ def apply_match(text: Column, match: Column) -> Column:
             .otherwise(text)
         )
 
-    return let(F.when(usable, replace_first(text, old, new)).otherwise(text), build)
+    def replaced(words: Column) -> Column:
+        usable = (words["old"] != "") & (words["new"] != "")
+        return F.when(usable, replace_first(text, words["old"], words["new"])).otherwise(text)
+
+    words = F.struct(strip_ws(match["replace_text"]).alias("old"), strip_ws(match["preferred_text"]).alias("new"))
+    return let(let(words, replaced), build)
 
 
 def phrase_note(match: Column) -> Column:
@@ -324,7 +327,8 @@ def suggest_refinement(
         "current_low", F.lower(clean_phrase(F.col("translated_text"), text_chars))
     )
     # A segment may have any number of issues, but only one current text.
-    rows = skew_join(issues, current, keys, "inner", spread_by=["pos"]).withColumns({
+    # One join for both: segments without issues come out of it too, and copies of a current text that salting makes fall into one group.
+    rows = skew_join(issues, current, keys, "right", spread_by=["pos"]).withColumns({
         "proposal": clean_phrase(F.col("proposed_translation"), phrase_chars),
         "evidence": clean_phrase(F.col("translation_evidence"), phrase_chars),
     })
@@ -335,8 +339,9 @@ def suggest_refinement(
     best = rows.groupBy(*keys).agg(
         F.min_by(F.when(proposal_ok, F.col("proposal")), F.when(proposal_ok, F.col("pos"))).alias("p"),
         F.min_by(F.when(evidence_ok, F.col("evidence")), F.when(evidence_ok, F.col("pos"))).alias("e"),
+        F.first("translated_text").alias("translated_text"),
     )
-    suggested = current.join(best, keys, "left").withColumns({
+    suggested = best.withColumns({
         "replace_text": clean_phrase(F.col("translated_text"), phrase_chars),
         "preferred_text": F.coalesce("p", "e", F.lit("")),
     })

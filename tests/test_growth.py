@@ -60,3 +60,16 @@ def test_only_revised_pairs_are_validated_again(spark, monkeypatch):
     assert {r.segment_id for r in state.issues.collect()} == {f"s{i}" for i in range(9)} - {"s3", "s5"}
 
 
+@pytest.mark.parametrize("floor", [200_000, 20])
+def test_refinements_join_texts_once(spark, monkeypatch, floor):
+    monkeypatch.setattr(scale, "HOT_FLOOR", floor)
+    texts = spark.createDataFrame([("j", f"s{i}", f"Tekst {i}") for i in range(5)], f"{KEYS}, translated_text string")
+    issues = spark.createDataFrame([("j", "s1", p, f"Inny {p}" if p > 60 else "tekst 1", "x") for p in range(100)] + [("j", "s2", 0, None, "dowód")], f"{KEYS}, pos int, proposed_translation string, translation_evidence string")
+    out = phrases.suggest_refinement(texts, issues)
+    assert {r.segment_id: (r.replace_text, r.preferred_text) for r in out.collect()} == {
+        "s0": ("Tekst 0", ""), "s1": ("Tekst 1", "Inny 61"), "s2": ("Tekst 2", "dowód"), "s3": ("Tekst 3", ""), "s4": ("Tekst 4", ""),
+    }
+    if floor == 200_000:
+        assert _plan(out).count("Join ") == 1
+
+
