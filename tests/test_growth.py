@@ -73,3 +73,5 @@ def test_refinements_join_texts_once(spark, monkeypatch, floor):
         assert _plan(out).count("Join ") == 1
 
 
+def test_inputs_of_the_review_need_no_join(spark, sf_dir):
+    assert "Join" not in _plan(fx.translated_segments(spark, sf_dir))
