@@ -204,7 +204,8 @@ def drop_duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """
     places = materialize(duplicate_lines(docs, id_col, text_col, min_words))
     rows = docs.withColumn("__key", _key(id_col, text_col))
-    joined = rows.join(places.withColumnRenamed("key", "__key").withColumnRenamed("places", "__places"), "__key", "left")
+    # By key at any size: places grow with the documents, so a broadcast of them would do for small tables only.
+    joined = rows.join(places.withColumnRenamed("key", "__key").withColumnRenamed("places", "__places").hint("merge"), "__key", "left")
     kept = F.filter(F.split(text_col, "\n", -1), lambda _, i: ~F.array_contains(F.col("__places"), i))
     text = F.when(F.col("__places").isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n"))
     return joined.withColumn(text_col, text).select(*docs.columns)

@@ -102,3 +102,9 @@ def test_short_lines_unspaced_scripts_and_repeated_passages_link(spark):
     assert [got[i] for i in (1, 3, 5, 7)] == [rows[i - 1][1] for i in (1, 3, 5, 7)]
     assert got[2] == "Two begins in words of its own." and got[4] == "第四份文件自己的第一行文字内容"
     assert got[6] == "Six has a passage that five repeats." and got[8] == "Eight has what seven has two times."
+
+
+def test_texts_meet_their_places_by_key_at_any_size(spark):
+    df = spark.createDataFrame([(0, LONG[0]), (1, LONG[0])], "doc_id long, text string")
+    plan = line_dedup.drop_duplicate_lines(df)._jdf.queryExecution().sparkPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
