@@ -33,7 +33,7 @@ from segqa.llm.arrow import with_fields
 
 # Characters of text whose new words share one pair index.
 BLOCK_CHARS = 8_000_000
-# Runs that a task remembers the ids of; beyond that it forgets them all and starts anew.
+# Runs that a worker remembers the ids of; beyond that it forgets them all and starts anew.
 REMEMBERED = 600_000
 # Ranks that share a list of the pair index; within a list the lowest rank of a word goes first.
 LIST_RANKS = 256
@@ -297,9 +297,9 @@ class Encoder:
         return " ".join(map(self.vocabulary.tokens.__getitem__, array("I", ids)))
 
 
-@lru_cache(maxsize=2)
-def _vocabulary(source: str) -> Vocabulary:
-    return Vocabulary(source)
+@lru_cache(maxsize=1)
+def _encoder(source: str) -> Encoder:
+    return Encoder(Vocabulary(source))
 
 
 def vocabulary_source(spark: SparkSession, path: str) -> Broadcast:
@@ -309,8 +309,8 @@ def vocabulary_source(spark: SparkSession, path: str) -> Broadcast:
 
 
 def encoder(source: Broadcast) -> Encoder:
-    """A new encoder for a task; workers that run several tasks keep the vocabulary, not what was encoded."""
-    return Encoder(_vocabulary(source.value))
+    """The encoder of a worker: the runs that one task has merged, at most ``REMEMBERED`` and a block, need not be merged in the next."""
+    return _encoder(source.value)
 
 
 def encode(df: DataFrame, text_col: str, path: str, ids_col: str = "ids", decoded_col: str | None = None) -> DataFrame:

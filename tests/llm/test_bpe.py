@@ -70,3 +70,14 @@ def test_table_with_nulls_extra_and_clashing_columns(spark, vocabulary, library)
     assert [r.ids for r in rows] == [[], *[library.encode("Two words", add_special_tokens=False).ids] * 2]
     assert [r.back for r in rows] == ["", "two</w> words</w>", "two</w> words</w>"]
     assert bpe.encode(df.limit(0), "text", vocabulary).count() == 0
+
+
+def test_the_next_task_of_a_worker_knows_what_was_merged(monkeypatch):
+    import public_tokenizers
+
+    with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as file:
+        source = type("Source", (), {"value": file.read()})
+    texts = ["Unmistakably remembered words, twice.", None]
+    first = [*bpe.encoder(source).encode(texts)]
+    monkeypatch.setattr(bpe, "merge_words", None)
+    assert [*bpe.encoder(source).encode(texts)] == first
