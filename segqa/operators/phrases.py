@@ -4,8 +4,9 @@ A phrase applies to a translation that contains its wording, or to a source text
 its own. Both are found by equality joins, whatever the size of the memory: a phrase is
 filed under the short piece of its wording that is rarest in all texts, and a text is looked up
 under those of its pieces that a filter of all filed ones lets through (:mod:`segqa.operators.pieces`).
-What meets is verified. The newest few matches of a segment then
-become one array, which the rest of the work folds over inside the row.
+What meets is verified. The newest few matches of a pair of texts then become one array, which the
+rest of the work folds over inside the row. Matches depend on the two texts alone, so equal pairs
+are matched once (:mod:`segqa.operators.pairs`).
 """
 
 from __future__ import annotations
@@ -22,9 +23,10 @@ from segqa.functions.locale import apply_locale, with_note
 from segqa.functions.rules import finding, merge_verdict, translation
 from segqa.functions.text import casefold, clean_phrase, let, normalize_phrase, normalize_ws, strip_ws
 from segqa.operators.memory import touch_by_key, upsert_by_key
+from segqa.operators.pairs import KEY, SEGMENT, TEXTS, back_to_rows, distinct_pairs, keyed
 from segqa.operators.pieces import key_filter, lookups, piece_counts, pieces_of
 from segqa.operators.validation import pair_issues
-from segqa.plans.scale import materialize, skew_join, spread
+from segqa.plans.scale import materialize, skew_join
 from segqa.sources.glossary import Term
 
 PHRASE_COLUMNS = (
@@ -37,7 +39,6 @@ _REPLACED = [
     "normalized_source", "normalized_preferred", "source_text", "replace_text", "preferred_text", "approved_text",
     "origin_job_id", "origin_segment_id",
 ]
-SEGMENT = ["job_id", "segment_id"]
 # The newest phrases that are tried on a segment.
 MATCH_LIMIT = 5
 
@@ -110,17 +111,17 @@ def _source_key(source: Column) -> Column:
     return F.xxhash64(F.lit("source"), source)
 
 
-def phrase_matches(pairs: DataFrame, memory: DataFrame, config: JobConfig, limit: int = MATCH_LIMIT) -> DataFrame:
-    """Pairs with ``matches``, an ordered array of the newest ``limit`` applying phrases (H2).
-
-    Target phrases and long ones go first. Only usable phrases of the language pair count.
-    """
+def _met(keyed_pairs: DataFrame, memory: DataFrame, config: JobConfig, limit: int) -> tuple[DataFrame, DataFrame]:
+    """All distinct pairs, and ``(pair_key, matches)`` of those that a phrase applies to."""
     same_pair = (F.col("source_language") == config.source_language) & (F.col("target_language") == config.target_language)
     usable = (F.col("normalized_replace") != "") & (F.col("normalized_preferred") != "")
     phrases = memory.where(same_pair & usable)
-    texts = pairs.select(*SEGMENT, normalize_phrase(F.col("source_text")).alias("s"), normalize_phrase(F.col("translated_text")).alias("t"))
+    # Written before anything is filtered: a filter on a normalized text would normalize it once more.
+    pairs = materialize(distinct_pairs(keyed_pairs).withColumns(
+        {"s": normalize_phrase(F.col("source_text")), "t": normalize_phrase(F.col("translated_text"))}
+    ))
     # Read twice: for the counts of pieces and for the look-up.
-    texts = materialize(spread(texts.where("t <> ''")))
+    texts = pairs.where("t <> ''").select(KEY, "s", "t")
     filed, sizes = _filed(phrases, texts)
     met = lookups(texts, "t", _source_key(F.col("s")), key_filter(filed.select("key")), sizes).join(filed, "key")
 
@@ -128,7 +129,7 @@ def phrase_matches(pairs: DataFrame, memory: DataFrame, config: JobConfig, limit
     holds = F.contains("t", "normalized_replace")
     same = (F.col("s") != "") & (F.col("s") == F.col("normalized_source"))
     applying = met.where(F.when(F.col("reason") == "target_phrase", holds).otherwise(same & ~holds) & ~F.contains("t", "normalized_preferred"))
-    newest = W.partitionBy(*SEGMENT).orderBy(F.desc("updated_at"), F.desc("cache_key"))
+    newest = W.partitionBy(KEY).orderBy(F.desc("updated_at"), F.desc("cache_key"))
     kept = applying.withColumn("pos", F.row_number().over(newest) - 1).where(F.col("pos") < limit)
     match = F.struct(
         F.when(F.col("reason") == "target_phrase", 0).otherwise(1).alias("reason_rank"),
@@ -136,9 +137,18 @@ def phrase_matches(pairs: DataFrame, memory: DataFrame, config: JobConfig, limit
         F.col("pos").cast("int").alias("pos"),
         "updated_at", "cache_key", "reason", "replace_text", "preferred_text", "approved_text",
     )
-    found = kept.groupBy(*SEGMENT).agg(F.sort_array(F.collect_list(match)).alias("matches"))
+    return pairs, kept.groupBy(KEY).agg(F.sort_array(F.collect_list(match)).alias("matches"))
+
+
+def phrase_matches(pairs: DataFrame, memory: DataFrame, config: JobConfig, limit: int = MATCH_LIMIT) -> DataFrame:
+    """Pairs with ``matches``, an ordered array of the newest ``limit`` applying phrases (H2).
+
+    Target phrases and long ones go first. Only usable phrases of the language pair count.
+    """
+    rows = keyed(pairs)
+    distinct, found = _met(rows, memory, config, limit)
     nothing = F.expr(f"cast(array() as array<{_MATCH_FULL}>)")
-    return pairs.join(found, SEGMENT, "left").withColumn("matches", F.coalesce("matches", nothing))
+    return back_to_rows(rows, found, distinct, "left").withColumn("matches", F.coalesce("matches", nothing))
 
 
 _MATCH_FULL = (
@@ -244,10 +254,24 @@ def phrase_finding_array(matches: Column, source: Column, translated: Column) ->
     return F.array_compact(F.transform(matches, one))
 
 
-def phrase_findings(matched: DataFrame) -> DataFrame:
-    found = phrase_finding_array(F.col("matches"), F.col("source_text"), F.col("translated_text"))
+def _exploded(rows: DataFrame, found: Column) -> DataFrame:
     # The outer form keeps the planner from computing the array a second time to test it.
-    return matched.select("job_id", "segment_id", F.inline_outer(found)).where(F.col("category").isNotNull())
+    return rows.select(*SEGMENT, F.inline_outer(found)).where(F.col("category").isNotNull())
+
+
+def phrase_findings(matched: DataFrame) -> DataFrame:
+    """Findings of the rows of :func:`phrase_matches`, one row each (H4)."""
+    return _exploded(matched, phrase_finding_array(F.col("matches"), *map(F.col, TEXTS)))
+
+
+def pair_findings(pairs: DataFrame, memory: DataFrame, config: JobConfig, limit: int = MATCH_LIMIT) -> DataFrame:
+    """The same straight from pairs: phrases are matched and tried on equal pairs once (H4)."""
+    rows = keyed(pairs.select(*SEGMENT, *TEXTS))
+    distinct, matches = _met(rows, memory, config, limit)
+    tried = distinct.select(KEY, *TEXTS).join(matches, KEY)
+    found = tried.select(KEY, phrase_finding_array(F.col("matches"), *map(F.col, TEXTS)).alias("found"))
+    found = materialize(found).where(F.size("found") > 0)
+    return _exploded(back_to_rows(rows.select(*SEGMENT, KEY), found, distinct, "inner"), F.col("found"))
 
 
 def add_phrase_findings(reviewed: DataFrame) -> DataFrame:

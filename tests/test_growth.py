@@ -75,3 +75,35 @@ def test_refinements_join_texts_once(spark, monkeypatch, floor):
 
 def test_inputs_of_the_review_need_no_join(spark, sf_dir):
     assert "Join" not in _plan(fx.translated_segments(spark, sf_dir))
+
+
+PAIRS = [("Result 5 mg/kg was not found", "Wynik 6 mg/kg")] * 30 + [("Result 5 mg/kg", "Wynik 5 mg/kg")] * 30 + [
+    ("Result 5 mg/kg", None), (None, "Wynik 5 mg/kg"), (None, None), ("", ""), ("", None), ("5 kg\x1f7 kg", "8 kg"), ("5 kg", "7 kg\x1f8 kg"),
+    ("Overall migration", "ogólna migracja"), ("Declaration of compliance", "Certyfikat zgodności"), ("Declaration of compliance", "Deklaracja"),
+]
+
+
+def _pairs(spark):
+    return spark.createDataFrame([(i % 3, f"s{i}", *p) for i, p in enumerate(PAIRS)], "job_id int, segment_id string, source_text string, translated_text string")
+
+
+def _seen(monkeypatch, module):
+    """The number of rows of every table that ``module`` writes."""
+    seen = []
+    real = module.materialize
+    monkeypatch.setattr(module, "materialize", lambda df: (seen.append(df.count()), real(df))[1])
+    return seen
+
+
+@pytest.mark.parametrize("floor", [200_000, 7])
+def test_phrases_are_tried_on_equal_pairs_once(spark, monkeypatch, floor):
+    monkeypatch.setattr(scale, "HOT_FLOOR", floor)
+    seen = _seen(monkeypatch, phrases)
+    pairs, memory = _pairs(spark), fx.phrase_memory(spark)
+    matched = phrases.phrase_matches(pairs, memory, fx.CONFIG)
+    assert seen[0] == len(set(PAIRS)) and matched.count() == len(PAIRS) and matched.columns == [*pairs.columns, "matches"]
+    found = phrases.pair_findings(pairs, memory, fx.CONFIG)
+    assert "regexp_replace" not in _plan(found)
+    assert sorted(map(repr, found.collect())) == sorted(map(repr, phrases.phrase_findings(matched).collect()))
+    # "Wynik" in 61 rows; one text has the phrase and one the source of the declaration.
+    assert found.select("translation_evidence").distinct().count() == 3 and found.count() == 63
