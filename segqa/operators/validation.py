@@ -1,7 +1,7 @@
 """Source/translation pair validation (V1-V7).
 
 Every rule reads one pair and nothing else, so the issues of a pair are one array
-expression: validating a corpus needs no join beyond pairing and no shuffle.
+expression, and equal pairs are validated once (:mod:`segqa.operators.pairs`).
 """
 
 from __future__ import annotations
@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from segqa.functions.glossary import relevant_terms
 from segqa.functions.text import NOT_AFTER_WORD, NOT_BEFORE_WORD, WS, is_polish_name, let
 from segqa.functions.tokens import extract_tokens, key_count, token_key
+from segqa.operators.pairs import KEY, TEXTS, back_to_rows, distinct_pairs, keyed
+from segqa.plans.scale import materialize
 from segqa.sources.glossary import Term
 
 ISSUE = "struct<severity:string,issue_type:string,source_value:string,translated_value:string,message:string>"
@@ -160,13 +162,21 @@ def unexpected_additions(pairs: DataFrame) -> DataFrame:
 
 
 def validate_pairs(pairs: DataFrame, terms: Sequence[Term], target_language: str = "Polish") -> DataFrame:
-    """Issues of ``pairs(job_id, segment_id, source_text, translated_text)``, one row each (V7)."""
-    tokens = F.col("protected_tokens") if "protected_tokens" in pairs.columns else None
-    if tokens is not None:
-        source = F.col("source_text")
-        tokens = F.when(F.size(tokens) > 0, tokens).otherwise(extract_tokens(source))
-    issues = pair_issues(F.col("source_text"), F.col("translated_text"), terms, target_language, tokens)
-    return explode_issues(pairs, issues)
+    """Issues of ``pairs(job_id, segment_id, source_text, translated_text)``, one row each (V7).
+
+    Equal pairs are validated once. Pairs that come with ``protected_tokens`` may differ in these
+    and are validated row by row.
+    """
+    if "protected_tokens" in pairs.columns:
+        source, given = F.col("source_text"), F.col("protected_tokens")
+        tokens = F.when(F.size(given) > 0, given).otherwise(extract_tokens(source))
+        return explode_issues(pairs, pair_issues(source, F.col("translated_text"), terms, target_language, tokens))
+    rows = keyed(pairs.select("job_id", "segment_id", *TEXTS))
+    issues = pair_issues(*map(F.col, TEXTS), terms, target_language)
+    # Pairs without issues are kept for their counts.
+    judged = materialize(distinct_pairs(rows).select(KEY, "n", issues.alias("issues")))
+    found = judged.where(F.size("issues") > 0).select(KEY, "issues")
+    return explode_issues(back_to_rows(rows.select("job_id", "segment_id", KEY), found, judged, "inner"), F.col("issues"))
 
 
 def validate(

@@ -35,6 +35,16 @@ class RunState:
     unresolved: DataFrame
 
 
+@dataclass(frozen=True)
+class _Protecting:
+    """Shows a reviewer the protected tokens of the source; they follow from it and are not kept with the work."""
+
+    reviewer: Reviewer
+
+    def review(self, pairs: DataFrame) -> DataFrame:
+        return self.reviewer.review(protect(pairs)).drop("protected_tokens")
+
+
 def _pairs(work: DataFrame) -> DataFrame:
     return work.withColumn("translated_text", F.col("translation.translated_text"))
 
@@ -113,8 +123,9 @@ def run_corpus(
 ) -> tuple[RunState, DataFrame]:
     """From segments to resolved findings, for all jobs at once; also returns the routed rows."""
     routed = materialize(translate_corpus(segments, translations, cache, translator, config))
-    source = protect(segments).select(*KEYS, "block_type", "protected_tokens")
-    pairs = routed.select(*KEYS, "order_index", "source_text", "translation").join(source, KEYS)
+    kinds = segments.select(*KEYS, "block_type")
+    pairs = routed.select(*KEYS, "order_index", "source_text", "translation").join(kinds, KEYS)
+    reviewer = _Protecting(reviewer)
     work = review(pairs, reviewer, config, memory).withColumn("attempts", F.lit(0))
     return review_loop(work, terms, translator, reviewer, config, memory), routed
 

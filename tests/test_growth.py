@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 from segqa import fixtures as fx
 from segqa.functions.text import normalize_ws, strip_ws
 from segqa.functions.tokens import extract_tokens, may_hold_tokens
-from segqa.operators import phrases, reports
+from segqa.operators import phrases, reports, validation
+from segqa.operators.memory import CACHE_COLUMNS
 from segqa.operators.translation import RuleReviewer
 from segqa.plans import scale, workflow
 from segqa.sources.documents import block_count, page_blocks
@@ -95,6 +96,18 @@ def _seen(monkeypatch, module):
     return seen
 
 
+@pytest.mark.parametrize("floor", [200_000, 7])
+def test_equal_pairs_are_validated_once(spark, monkeypatch, floor):
+    monkeypatch.setattr(scale, "HOT_FLOOR", floor)
+    seen = _seen(monkeypatch, validation)
+    pairs = _pairs(spark)
+    issues = validation.validate_pairs(pairs, fx.terms())
+    assert seen == [len(set(PAIRS))] and "RLIKE" not in _plan(issues)
+    by_row = validation.explode_issues(pairs, validation.pair_issues(F.col("source_text"), F.col("translated_text"), fx.terms()))
+    assert sorted(map(repr, issues.collect())) == sorted(map(repr, by_row.collect()))
+    assert issues.where("issue_type = 'missing_negation'").count() == 30
+
+
 @pytest.mark.parametrize("floor", [200_000, 7])
 def test_phrases_are_tried_on_equal_pairs_once(spark, monkeypatch, floor):
     monkeypatch.setattr(scale, "HOT_FLOOR", floor)
@@ -107,3 +120,17 @@ def test_phrases_are_tried_on_equal_pairs_once(spark, monkeypatch, floor):
     assert sorted(map(repr, found.collect())) == sorted(map(repr, phrases.phrase_findings(matched).collect()))
     # "Wynik" in 61 rows; one text has the phrase and one the source of the declaration.
     assert found.select("translation_evidence").distinct().count() == 3 and found.count() == 63
+
+
+def test_tokens_of_the_source_are_shown_and_not_kept(spark):
+    shown = []
+
+    class Looking(RuleReviewer):
+        def review(self, pairs):
+            shown.append(pairs.select(F.size("protected_tokens")).first()[0])
+            return super().review(pairs)
+
+    segs = spark.createDataFrame([("j", "s1", 0, "paragraph", "Result 5 mg/kg")], f"{KEYS}, order_index long, block_type string, source_text string")
+    none = segs.limit(0).select("job_id", "segment_id", fx.as_translation(F.lit("x")).alias("translation"))
+    state, _ = workflow.run_corpus(segs, none, spark.createDataFrame([], CACHE_COLUMNS), fx.terms(), fx.PrefixTranslator(), Looking(), fx.CONFIG)
+    assert shown == [2] and "protected_tokens" not in state.work.columns
