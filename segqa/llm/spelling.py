@@ -41,6 +41,10 @@ PRIME = (1 << 61) - 1
 FACTOR = 0x1F0A3B5C7D9E2461
 # Rows that a task gathers before it hands them on.
 GATHERED = 1 << 14
+# States of a level that are sent to all tasks, in bytes; more are shuffled.
+SENT = 1 << 20
+# Bytes of a state besides the letters that are left.
+STATE = 64
 
 
 def perturbed(prefix: int | None, run: str) -> str:
@@ -142,6 +146,11 @@ def _by_word(words: DataFrame, make: Callable[[str, list[int], int], Iterator[tu
     return words.mapInArrow(run, ", ".join(f"{name} {kind}" for name, kind in fields))
 
 
+def _shuffled(df: DataFrame) -> DataFrame:
+    """A side of a join that is never sent to all tasks: Spark goes by the size of files, and of what their rows are made into, which is far too low."""
+    return df.hint("merge")
+
+
 def _step(rest: Column) -> Column:
     """Letters of the next label, of those that are left."""
     step = F.lit(STEP)
@@ -163,16 +172,17 @@ def neighbours(words: DataFrame) -> DataFrame:
     states = _by_word(keyed.select("word"), word_states, fields)
     skip = trie.where("skipped is not null").select("node", "skipped", "label", "child")
     down = trie.where("skipped is null").select("node", "label", "child")
-    # Inserting a letter before the same one is inserting it behind. Large sides are shuffled, so hot nodes can be split.
+    # Inserting a letter before the same one is inserting it behind. Both sides are shuffled, so hot nodes can be split.
     other = F.when(F.col("inserts"), F.col("skipped") != F.col("letter")).otherwise(F.col("skipped") > F.col("letter"))
-    met = states.join(skip, ["node", "label"]).where(other)
+    met = states.join(_shuffled(skip), ["node", "label"]).where(other)
     met = materialize(met.select("key", F.col("child").alias("node"), (F.col("position") + F.length("label")).alias("position"), (F.length("label") < STEP).alias("ended")))
     found = met.where("ended").select("key", "node")
-    open_ = met.where("not ended").join(keyed, "key")
+    open_ = met.where("not ended").join(_shuffled(keyed), "key")
     # Where two words share a key, this follows both.
     open_ = materialize(open_.select("key", "node", F.expr("substring(word, position + 1)").alias("rest")))
-    while not open_.isEmpty():
+    while (left := open_.agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("rest")).alias("bytes")).first()).n:
         cut = open_.withColumn("step", _step(F.col("rest"))).withColumn("label", F.left("rest", "step"))
+        cut = F.broadcast(cut) if STATE * left.n + left.bytes <= SENT else _shuffled(cut)
         moved = materialize(cut.join(down, ["node", "label"]).select("key", F.col("child").alias("node"), "rest", "step"))
         ended = F.length("rest") < F.col("step")
         found = found.unionByName(moved.where(ended).select("key", "node"))
@@ -180,7 +190,7 @@ def neighbours(words: DataFrame) -> DataFrame:
     pairs = found.where("key <> node").distinct()
     a = keyed.select("key", F.col("word").alias("a"))
     b = keyed.select(F.col("key").alias("node"), F.col("word").alias("b"))
-    return pairs.join(a, "key").join(b, "node").where(F.levenshtein("a", "b", 1) == 1).select("a", "b").distinct()
+    return pairs.join(_shuffled(a), "key").join(_shuffled(b), "node").where(F.levenshtein("a", "b", 1) == 1).select("a", "b").distinct()
 
 
 def _roots(forms: DataFrame) -> DataFrame:
@@ -188,7 +198,7 @@ def _roots(forms: DataFrame) -> DataFrame:
     ways = materialize(forms.select("word", F.col("form").alias("root")))
     while True:
         further = ways.select(F.col("word").alias("root"), F.col("root").alias("further"))
-        ways = materialize(ways.join(further, "root", "left").select("word", F.coalesce("further", "root").alias("root"), F.col("further").isNotNull().alias("moved")))
+        ways = materialize(ways.join(_shuffled(further), "root", "left").select("word", F.coalesce("further", "root").alias("root"), F.col("further").isNotNull().alias("moved")))
         if ways.where("moved").isEmpty():
             return ways.select("word", "root")
         ways = ways.drop("moved")
@@ -205,15 +215,15 @@ def group_variants(words: DataFrame, times: int = 2) -> DataFrame:
     both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
     counts = words.select(F.col("word").alias("b"), "n")
     best = F.min(F.struct((-F.col("n")).alias("minus"), F.col("b").alias("word"))).alias("best")
-    near = both.join(counts, "b").groupBy("a").agg(F.count(F.lit(1)).alias("n_near"), best)
-    joined = words.join(near.withColumnRenamed("a", "word"), "word", "left")
+    near = both.join(_shuffled(counts), "b").groupBy("a").agg(F.count(F.lit(1)).alias("n_near"), best)
+    joined = words.join(_shuffled(near.withColumnRenamed("a", "word")), "word", "left")
     frequent = -F.col("best.minus") >= times * F.col("n")
     judged = materialize(joined.select(
         "word", F.when(frequent, F.col("best.word")).alias("form"), "n", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"),
         F.when(frequent, -F.col("best.minus")).alias("form_n"),
     ))
     roots = _roots(judged.where("form is not null").select("word", "form"))
-    return judged.join(roots, "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
+    return judged.join(_shuffled(roots), "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
 
 
 def variants(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", letters: int = 5, least: int = 3, times: int = 2) -> DataFrame:

@@ -62,6 +62,29 @@ def test_equal_hashes_do_no_harm(spark, monkeypatch):
     assert grouped(spark, words) == plain(words)
 
 
+def test_only_bounded_levels_are_sent_to_all_tasks(spark, monkeypatch):
+    plans, written = [], spelling.materialize
+
+    def planned(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return df
+
+    rng = np.random.default_rng(9)
+    words = {"".join(rng.choice(list("abc"), rng.integers(4, 12))): int(rng.integers(3, 60)) for _ in range(120)}
+    given = spark.createDataFrame(list(words.items()), "word string, n long")
+    monkeypatch.setattr(spelling, "materialize", lambda df: written(planned(df)))
+    # Default of 10 MB: all of these tables are far smaller than that.
+    assert spark.conf.get("spark.sql.autoBroadcastJoinThreshold") == "10485760b"
+    for sent in (0, spelling.SENT):
+        monkeypatch.setattr(spelling, "SENT", sent)
+        plans.clear()
+        assert sorted(map(tuple, planned(spelling.group_variants(given)).collect()), key=repr) == plain(words)
+        joined = [p for p in plans if "Join" in p]
+        found = [p for p in joined if "Broadcast" in p]
+        # Levels only, and of these only the side with the states.
+        assert len(joined) >= 6 and bool(found) == bool(sent) and all("BuildLeft" in p and "step#" in p for p in found)
+
+
 def counted(docs):
     words = Counter()
     for id_, text in docs:
