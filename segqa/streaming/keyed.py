@@ -19,7 +19,10 @@ from pyspark.sql.types import IntegerType, StructField, StructType
 
 @dataclass(frozen=True)
 class KeyedLog:
-    """Rows of ``schema`` under ``root``; of those with equal ``keys``, nulls included, the one that ``order`` puts first counts."""
+    """Rows of ``schema`` under ``root``; of those with equal ``keys``, nulls included, the one that ``order`` puts first counts.
+
+    Logs of one ``root`` read the same rows by keys of their own; ``by``, the keys that the buckets go by, is one for all of them.
+    """
 
     spark: SparkSession
     root: str
@@ -28,6 +31,7 @@ class KeyedLog:
     order: Sequence[str]
     buckets: int = 64
     every: int = 16
+    by: Sequence[str] | None = None
 
     def first(self, rows: DataFrame) -> DataFrame:
         """One row a key."""
@@ -39,11 +43,12 @@ class KeyedLog:
         return rows.groupBy(*self.keys).agg(F.min_by(F.struct(*rest), order).alias("__row")).select(*self.keys, "__row.*").select(*self.schema.names)
 
     def bucket(self) -> Column:
-        return F.pmod(F.xxhash64(*self.keys), F.lit(self.buckets)).cast("int")
+        return F.pmod(F.xxhash64(*(self.by or self.keys)), F.lit(self.buckets)).cast("int")
 
     def _write(self, rows: DataFrame, path: str) -> None:
-        # A bucket of one batch is one task's; it may still write many rows, but never all.
-        rows.select(*self.schema.names, self.bucket().alias("bucket")).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(path)
+        # A task has whole buckets, but Spark splits large ones.
+        dealt = rows.select(*self.schema.names, self.bucket().alias("bucket")).hint("rebalance", "bucket")
+        dealt.write.mode("overwrite").option("compression", "zstd").partitionBy("bucket").parquet(path)
 
     def _read(self, paths: list[str]) -> DataFrame:
         # Batches without rows have no file to tell a schema.

@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -92,3 +93,49 @@ def test_incremental_run_in_one_batch_and_in_many(spark, tmp_path, monkeypatch):
         results.append(texts(rows))
         assert all(any(f.category == "user_phrase_memory" for f in r.findings) for r in rows if r.source_text == "beta")
     assert results[0] == results[1]
+
+
+def shuffled(spark):
+    """Names of the shuffle files that are there."""
+    files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return {files.apply(n).getName() for n in range(files.size()) if files.apply(n).getName().endswith(".data")}
+
+
+def test_incremental_run_keeps_texts_once_in_its_logs_and_no_shuffle_files(spark, tmp_path):
+    given, out, checkpoint = (str(tmp_path / x) for x in ("in", "out", "cp"))
+    for n in (1, 2):
+        rows = [(j, p, f"alpha\nbeta {p}\nalpha\nbeta {p}\ngamma {n}") for p in (2 * n - 1, 2 * n) for j in (1, 2, 3)]
+        spark.createDataFrame(rows, PAGES).coalesce(1).write.mode("append").parquet(given)
+    source = spark.readStream.schema(PAGES).option("maxFilesPerTrigger", 1).parquet(given)
+    before = shuffled(spark)
+    stream.start_incremental(
+        stream.stream_segments(source), out, checkpoint, fx.PrefixTranslator(), translation.RuleReviewer(), fx.terms(), JobConfig(), available_now=True
+    ).awaitTermination()
+    # They are removed in the background.
+    until = time.time() + 20
+    while (left := shuffled(spark) - before) and time.time() < until:
+        time.sleep(0.2)
+    assert not left
+    assert sorted(p.name for p in (tmp_path / "out").glob("log-*")) == ["log-segments", "log-translations"]
+    assert spark.conf.get(stream.CLEANUP) == "false"
+    found = stream.read_results(spark, out)
+    assert found.count() == 60 and "leads" not in found.columns
+    for epoch in (0, 1):
+        kept = spark.read.parquet(f"{out}/log-translations/batch/epoch={epoch}")
+        first = found.where(F.col("epoch") == epoch).groupBy("job_id", "key").agg(F.min("order_index").alias("order_index"))
+        assert kept.count() == first.count() == kept.join(first, ["job_id", "key", "order_index"]).count()
+    # A text of the first batch is known in the second one, in its own job before others.
+    later = found.where("epoch = 1 and source_text = 'alpha'").collect()
+    assert len(later) == 12 and {r.route for r in later} == {"memory"}
+
+
+def test_logs_of_one_folder_are_looked_up_by_keys_of_their_own(spark, tmp_path):
+    schema = spark.createDataFrame([], "job int, k string, at long").schema
+    by_job = KeyedLog(spark, str(tmp_path / "log"), schema, ["job", "k"], ["at"], buckets=8, every=2, by=["k"])
+    by_text = KeyedLog(spark, str(tmp_path / "log"), schema, ["k"], ["job", "at"], buckets=8, every=2, by=["k"])
+    for epoch in range(3):
+        by_job.compact(epoch)
+        by_job.add(spark.createDataFrame([(j, k, 10 * epoch + j) for j in (1 + (epoch == 0), 3) for k in "abc"], schema), epoch)
+    wanted = spark.createDataFrame([(3, "a", 0), (1, "c", 0), (9, "z", 0)], schema)
+    assert sorted(map(tuple, by_job.known(wanted, 3).collect())) == [(1, "c", 11), (3, "a", 3)]
+    assert sorted(map(tuple, by_text.known(wanted, 3).collect())) == [(1, "a", 11), (1, "c", 11)]
